@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwatch.llm.common import small_batches
+from driftwatch.llm.common import small_batches, staged
 
 #: Words of a window.
 WINDOW = 10
@@ -80,40 +79,84 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, max_bytes: int) ->
         yield WindowSet(items)
 
 
+def _spans(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping occurrences as one."""
+    out: list[tuple[int, int]] = []
+    for first, end in sorted(found):
+        if out and first <= out[-1][1]:
+            out[-1] = out[-1][0], max(end, out[-1][1])
+        else:
+            out.append((first, end))
+    return out
+
+
+def _over_blocks(rows: DataFrame, text_col: str, blocks: Iterator[WindowSet], finish, schema) -> DataFrame:
+    """rows through mapInArrow, where finish(batch, words, spans, items) gets what all blocks have found in each row.
+
+    A pass broadcasts one block. With more than one, a pass adds its findings to the rows and stages them for the next.
+    """
+    spark, names, at = rows.sparkSession, rows.columns, rows.columns.index(text_col)
+    small_batches(spark)
+
+    def findings(batch: pa.RecordBatch, block: WindowSet):
+        words, spans, items = [words_of(t) for t in batch.column(at).to_pylist()], [], []
+        held = zip(*(c.to_pylist() for c in batch.columns[len(names) :])) if len(batch.columns) > len(names) else [((), ())] * len(words)
+        for w, (old, known) in zip(words, held):
+            found, own = block.hits(w)
+            pairs = list(zip(old[::2], old[1::2]))
+            spans.append(_spans(found + pairs) if found else pairs)
+            items.append(own | set(known))
+        return words, spans, items
+
+    def last(block):
+        def run(batches):
+            for batch in batches:
+                words, spans, items = findings(batch, block.value)
+                yield finish(pa.RecordBatch.from_arrays(batch.columns[: len(names)], names), words, spans, items)
+
+        return run
+
+    def carry(block):
+        def run(batches):
+            for batch in batches:
+                _, spans, items = findings(batch, block.value)
+                more = [pa.array([[x for s in row for x in s] for row in spans], pa.list_(pa.int32())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *more], [*names, *extra])
+
+        return run
+
+    extra = ["_found_spans", "_found_items"]
+    while set(extra) & set(names):
+        extra = [x + "_" for x in extra]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", {extra[0]} array<int>, {extra[1]} array<string>"
+    block = next(blocks, WindowSet([]))
+    for following in blocks:
+        shared = spark.sparkContext.broadcast(block)
+        rows = staged(rows.mapInArrow(carry(shared), kinds), "decontamination")
+        shared.unpersist()
+        block = following
+    return rows.mapInArrow(last(spark.sparkContext.broadcast(block)), schema)
+
+
 def decontamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_bytes: int = 32 << 20) -> DataFrame:
     """One row per row of docs: words, words inside an occurrence of a benchmark window, and the items that occur.
 
     Null text: no words, no hits. Null or word-less item text: no windows. Null item id: the empty string. Items with
     the same id count as one. Repeated rows give repeated results, a null id stays null, other columns are ignored, an
-    empty benchmark leaves everything clean. The benchmark is broadcast in blocks of max_bytes of text; with one block
-    (32 MB of text here) nothing is shuffled, and with more the blocks' findings are merged row by row.
+    empty benchmark leaves everything clean. Nothing is shuffled. A benchmark of more than max_bytes of text is
+    broadcast and scanned for block by block.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    small_batches(docs.sparkSession)
-    blocks = [docs.sparkSession.sparkContext.broadcast(b) for b in _blocks(benchmark, item_col, item_text_col, max_bytes)]
-    kinds = rows.schema["doc_id"].dataType.simpleString()
-
-    def scan(batches):
-        for batch in batches:
-            out: dict[str, list] = defaultdict(list)
-            for text in batch.column(1).to_pylist():
-                words, found, items = words_of(text), [], set()
-                for block in blocks:
-                    spans, own = block.value.hits(words)
-                    found += spans
-                    items |= own
-                hit, at = 0, 0
-                for first, end in sorted(found):
-                    hit, at = hit + max(0, end - max(first, at)), max(at, end)
-                out["n_words"].append(len(words))
-                out["n_hit"].append(hit)
-                out["n_items"].append(len(items))
-                out["items_sha256"].append(hashlib.sha256(",".join(sorted(items)).encode()).hexdigest() if items else _NO_ITEMS)
-                out["contaminated"].append(hit > 0)
-            if out:
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v) for v in out.values())], ["doc_id", *out])
-
-    return rows.mapInArrow(scan, f"doc_id {kinds}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
+
+    def finish(batch, words, spans, items):
+        hit = [sum(b - a for a, b in row) for row in spans]
+        digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() if x else _NO_ITEMS for x in items]
+        numbers = [pa.array(x, pa.int64()) for x in ([len(w) for w in words], hit, [len(x) for x in items])]
+        return pa.RecordBatch.from_arrays([batch.column(0), *numbers, pa.array(digest, pa.string()), pa.array([h > 0 for h in hit], pa.bool_())], names)
+
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
+    return _over_blocks(rows, "text", _blocks(benchmark, item_col, item_text_col, max_bytes), finish, schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", action: str = "drop", max_bytes: int = 32 << 20) -> DataFrame:
@@ -122,24 +165,22 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     All columns stay. What is cut goes from the first hit word's start to the last one's end; rows without hits are
     passed on unchanged, nulls included.
     """
-    small_batches(docs.sparkSession)
-    blocks = [docs.sparkSession.sparkContext.broadcast(b) for b in _blocks(benchmark, item_col, item_text_col, max_bytes)]
+    if action not in ("drop", "cut"):
+        raise ValueError(f"action must be drop or cut, not {action}")
     at = docs.columns.index(text_col)
 
-    def keep(batches):
-        for batch in batches:
-            texts, kept = batch.column(at).to_pylist(), []
-            for i, text in enumerate(texts):
-                spans = sorted(s for block in blocks for s in block.value.hits(words_of(text))[0])
-                if action == "cut" and spans:
-                    edges, out, place = _edges(text), [], 0
-                    for first, end in spans:
-                        out.append(text[place : max(place, edges[first][0])])
-                        place = max(place, edges[end - 1][1])
-                    texts[i] = "".join(out) + text[place:]
-                if action == "cut" or not spans:
-                    kept.append(i)
-            columns = [pa.array(texts, c.type) if action == "cut" and k == at else c for k, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).take(pa.array(kept, pa.int64()))
-
-    return docs.mapInArrow(keep, docs.schema)
+    def finish(batch, words, spans, items):
+        if action == "drop":
+            return batch.filter(pa.array([not row for row in spans], pa.bool_()))
+        texts = batch.column(at).to_pylist()
+        for k, row in enumerate(spans):
+            if row:
+                edges, out, place = _edges(texts[k]), [], 0
+                for first, end in row:
+                    out.append(texts[k][place : edges[first][0]])
+                    place = edges[end - 1][1]
+                texts[k] = "".join(out) + texts[k][place:]
+        columns = [pa.array(texts, c.type) if k == at else c for k, c in enumerate(batch.columns)]
+        return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return _over_blocks(docs, text_col, _blocks(benchmark, item_col, item_text_col, max_bytes), finish, docs.schema)
