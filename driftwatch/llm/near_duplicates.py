@@ -179,7 +179,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows that repeat the kept id are one document and stay once. Rows with a null id are linked to nothing and all stay.
     """
     gone = near_duplicates(docs, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    repeated = docs.groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1 and _id is not null")
-    kept = docs.join(gone, F.col(id_col).cast("bigint") == F.col("_gone"), "left_anti")
-    once = kept.join(repeated, kept[id_col] == F.col("_id"), "left_semi").dropDuplicates([id_col])
-    return kept.join(repeated, kept[id_col] == F.col("_id"), "left_anti").unionByName(once)
+    kept = docs.join(gone, docs[id_col].cast("bigint") == F.col("_gone"), "left_anti")
+    repeated = staged(docs.where(docs[id_col].isNotNull()).groupBy(docs[id_col].alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1"), "repeated")
+    if repeated.isEmpty():  # else rows would be shuffled twice more for nothing
+        return kept
+    same = kept[id_col] == F.col("_id")
+    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates([id_col]))
