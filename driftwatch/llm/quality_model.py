@@ -25,7 +25,7 @@ CALIBRATE_PART = 5
 #: Hidden units, passes over the sample, rows of a step, rate of learning, weight decay.
 HIDDEN, EPOCHS, STEP, RATE, DECAY = 32, 40, 128, 3e-3, 1e-4
 #: Words whose vectors a worker keeps; words pooled at a time.
-CACHE, BLOCK = 100_000, 8_192
+CACHE, BLOCK = 400_000, 8_192
 #: The seed of index vectors, and how many of their numbers aren't zero.
 SEED, NONZERO = 17, 6
 #: Numbers that describe a text, see Vectors.pooled.
