@@ -52,3 +52,13 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 def held_out(id_col: str, parts: int, part: int):
     """crc32 of the id as text, modulo parts, is part. A null id is never held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % parts == part, F.lit(False))
+
+
+#: Rows of two numbers that may be broadcast: some 100 MB at most.
+SMALL_ROWS = 4_000_000
+
+
+def joined_by_id(docs: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """docs with the columns of known, rows of a number or two by id. Texts are only shuffled when known is too long to broadcast."""
+    few = known.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+    return docs.join(F.broadcast(known) if few else known, key)

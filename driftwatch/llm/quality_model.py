@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwatch.llm.common import held_out, small_batches
+from driftwatch.llm.common import held_out, joined_by_id, small_batches
 
 #: Numbers of a word vector, rows of the table of contexts, words beside a word that count as its context.
 DIMENSIONS, ROWS, CONTEXT = 32, 1 << 13, 2
@@ -216,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col, 4, 2)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("y"))
     share = min(1.0, sample_rows / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(chosen, "_id")
+    rows = joined_by_id(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")), chosen, "_id")
     sample = rows.select("y", "text", F.pmod(F.xxhash64("_id", F.lit(4)), F.lit(SAMPLE_PARTS)).alias("p"), "_id").repartition(SAMPLE_PARTS, "p").sortWithinPartitions("_id", "text").select("y", "text")
     contexts = _contexts(sample)
     shared = spark.sparkContext.broadcast(contexts)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftwatch.llm.common import held_out, small_batches, staged
+from driftwatch.llm.common import held_out, joined_by_id, small_batches, staged
 
 #: Characters of the longest n-grams; orders above SHARED are counted by class, those up to it for both classes together.
 ORDER, SHARED = 5, 2
@@ -198,7 +198,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     small_batches(spark)
     known = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col, 3, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("cls"))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(known, "_id")
+    known = staged(known, "labels")
+    rows = joined_by_id(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")), known, "_id")
     apart = F.pmod(F.xxhash64("_id"), F.lit(CALIBRATE_PART)) == 0
     grams = staged(count_grams(rows.where(~apart).select("cls", "text")), "toxicity-counts")
     models = Models(_tables(grams))
