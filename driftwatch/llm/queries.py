@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftwatch.llm import decontaminate, main_text, near_duplicates, packing, quality_model, quality_rules, secrets, tokens, toxicity, warc
+from driftwatch.llm import decontaminate, main_text, near_duplicates, oracle, packing, quality_model, quality_rules, secrets, tokens, toxicity, warc
 from driftwatch.llm.common import table
 
 
@@ -59,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
