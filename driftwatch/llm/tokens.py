@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftwatch.llm.common import small_batches
+from driftwatch.llm.common import small_batches, staged
 
 #: The vocabulary, by its name among the public tokenizers or as a path; the id that ends a document; ids of special marks.
 VOCABULARY, END_ID, SPECIAL = "byte_bpe_50k.json", 2, {"<|endoftext|>": 50256}
@@ -109,5 +109,8 @@ def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
 
 def token_counts(docs: DataFrame, text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """The whole histogram of docs with its suffix sums. Null and empty texts count with length zero, repeated rows as
-    often as they come, other columns are ignored. An empty table gives an empty result."""
-    return suffix_sums(histogram(docs, text_col, tokenizer))
+    often as they come, other columns are ignored. An empty table gives an empty result.
+
+    The histogram is staged, as the sums within blocks and those over blocks both read it: texts are encoded once.
+    """
+    return suffix_sums(staged(histogram(docs, text_col, tokenizer), "length-counts"))
