@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,13 +17,17 @@ from driftwatch.llm.common import held_out, joined_by_id, small_batches, staged
 
 #: Characters of the longest n-grams; orders above SHARED are counted by class, those up to it for both classes together.
 ORDER, SHARED = 5, 2
-#: Slots of each table of counts, which n-grams share by hash: the models' size, whatever the corpus. 23 tables of 2 MB.
-SLOTS_BITS = 19
+#: Rows of all tables of counts that may be broadcast, some 100 MB; longer ones are joined.
+SMALL_COUNTS = 6_000_000
+#: For the join, fewest chunks into which texts are dealt, and about how many bytes of text a chunk has beyond that.
+CHUNKS, CHUNK_BYTES = 64, 32 << 20
+#: Pairs of chunk and word that a task gathers before it hands them on.
+GATHERED = 1_000_000
 #: What each order takes off a count and gives to the shorter n-grams.
 DISCOUNT = 0.75
 #: Words of the windows whose likelihoods are compared beside the whole text's, and most words kept by a worker's cache.
 WINDOW, CACHE = 20, 200_000
-#: Numbers that describe a text, see Models.features.
+#: Numbers that describe a text, see features_of.
 FEATURES = 6
 #: Share of the labelled rows kept from the counts to fit the scale of the score, and how many of them are used.
 CALIBRATE_PART, CALIBRATE_ROWS = 4, 20_000
@@ -52,10 +57,6 @@ def _hashes(cp: np.ndarray, at: np.ndarray, n: int, skip: int = 0) -> np.ndarray
     return h
 
 
-def _slots(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - SLOTS_BITS)).astype(np.int64)
-
-
 def count_grams(rows: DataFrame) -> DataFrame:
     """From (cls, text) to one row per class and n-gram of ORDER characters: hashes of all its endings, of what precedes
     their last character, and its count. Words are counted before n-grams, batch by batch."""
@@ -81,88 +82,173 @@ def count_grams(rows: DataFrame) -> DataFrame:
     return raw.groupBy("cls", *names).agg(F.sum("n").alias("n"))
 
 
-@dataclass
-class Models:
-    """Tables by (order, kind, class): kind "a" counts n-grams, "t" sums them by context, "f" counts a context's different followers."""
+class Lookup:
+    """Exact counts by 64-bit hash in memory: sorted hashes, the place where each leading part of a hash starts, and columns of counts."""
+
+    def __init__(self, rows: pa.Table):
+        keys = rows.column(0).to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        self.keys, bits = keys[order], max(4, len(keys).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.starts = np.searchsorted(self.keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int64)
+        # the last row is that of hashes not found
+        self.counts = {c: np.append(rows.column(c).to_numpy()[order], 0).astype(np.float64) for c in rows.column_names[1:]}
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        part = (h >> self.shift).astype(np.int64)
+        at, end = self.starts[part], self.starts[part + 1]
+        out = np.full(len(h), len(self.keys))
+        left = np.flatnonzero(at < end)
+        while len(left):
+            hit = self.keys[at[left]] == h[left]
+            out[left[hit]] = at[left[hit]]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return out
 
-    tables: dict[tuple[int, str, int], np.ndarray]
-    weights: np.ndarray | None = None
 
-    def _level(self, n: int, cls: int, gram: np.ndarray, context: np.ndarray, below: np.ndarray) -> np.ndarray:
-        a, t, f = (self.tables[n, kind, cls] for kind in "atf")
-        total = t[context]
-        seen = np.maximum(a[gram] - DISCOUNT, 0.0) / np.maximum(total, 1.0)
-        rest = np.where(total > 0, np.minimum(DISCOUNT * f[context] / np.maximum(total, 1.0), 1.0), 1.0)
-        return seen + rest * below
+@dataclass
+class Tables:
+    """The counts of Models in memory."""
+
+    grams: dict[int, Lookup]
+    contexts: dict[int, Lookup]
+    total: float
 
     def ratios(self, words: list[str]) -> np.ndarray:
-        """For each word, the log of its likelihood as toxic over that as ordinary."""
+        """As Models.ratios."""
         if not words:
             return np.zeros(0)
-        cp, at = _points(words)
-        one = self.tables[1, "a", 0]
-        p = (one[_slots(_hashes(cp, at, 1))] + 0.5) / (one.sum() + 0.5 * 65536)
-        below = [p, p]
+        cp, all_at = _points(words)
+        _, first, inverse = np.unique(_hashes(cp, all_at, ORDER), return_index=True, return_inverse=True)
+        at = all_at[first]
+        below = [(self.grams[1].counts["a1_0"][self.grams[1].find(_hashes(cp, at, 1))] + 0.5) / (self.total + 0.5 * 65536)] * 2
         for n in range(2, ORDER + 1):
-            gram, context = _slots(_hashes(cp, at, n)), _slots(_hashes(cp, at, n - 1, 1))
-            if n <= SHARED:
-                below = [self._level(n, 0, gram, context, below[0])] * 2
-            else:
-                below = [self._level(n, cls, gram, context, below[cls]) for cls in (0, 1)]
+            gram, context = self.grams[n].find(_hashes(cp, at, n)), self.contexts[n].find(_hashes(cp, at, n - 1, 1))
+            out = []
+            for c in (0, 1) if n > SHARED else (0,):
+                a = self.grams[n].counts[f"a{n}_{c}"][gram]
+                t, f = (self.contexts[n].counts[f"{kind}{n}_{c}"][context] for kind in "tf")
+                rest = np.where(t > 0, np.minimum(DISCOUNT * f / np.maximum(t, 1.0), 1.0), 1.0)
+                out.append(np.maximum(a - DISCOUNT, 0.0) / np.maximum(t, 1.0) + rest * below[c])
+            below = out if n > SHARED else out * 2
         starts = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])[:-1]])
-        return np.add.reduceat(np.log(below[1]) - np.log(below[0]), starts)
+        return np.add.reduceat((np.log(below[1]) - np.log(below[0]))[inverse], starts)
 
     def features(self, texts: list[str | None], cache: dict[str, float]) -> np.ndarray:
-        """Of each text: the log ratio by word over the whole text, its most toxic window and its 2, 4 and 8 most toxic words; the log of its length."""
-        split = [words_of(t) for t in texts]
-        new = list({w for words in split for w in words} - cache.keys())
+        """As features_of, whose ratios are looked up for words not met before."""
+        words = {w for text in texts for w in words_of(text)}
+        new = list(words - cache.keys())
         if len(cache) + len(new) > CACHE:
             cache.clear()
-            new = list({w for words in split for w in words})
+            new = list(words)
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             cache.update(zip(part, self.ratios(part).tolist()))
-        out = np.zeros((len(texts), FEATURES))
-        for k, words in enumerate(split):
-            if words:
-                r = np.fromiter(map(cache.__getitem__, words), float, len(words))
-                sums = np.concatenate([[0.0], np.cumsum(r)])
-                w = min(WINDOW, len(r))
-                best = np.sort(np.partition(r, len(r) - 8)[-8:] if len(r) > 8 else r)[::-1]
-                out[k] = r.mean(), (sums[w:] - sums[:-w]).max() / WINDOW, best[:2].mean(), best[:4].mean(), best.mean(), np.log(len(r))
-        return out
+        return features_of(texts, cache)
+
+
+@dataclass
+class Models:
+    """Exact counts as tables keyed by the hash of an n-gram or of a context: by order n, the columns a{n}_{class} count n-grams,
+    t{n}_{class} sum them by context, f{n}_{class} count a context's different followers."""
+
+    grams: dict[int, DataFrame]
+    contexts: dict[int, DataFrame]
+    #: Sum of the counts of single characters.
+    total: float
+    weights: np.ndarray | None = None
+    #: The same counts broadcast, if they are few.
+    shared: Broadcast | None = None
+
+    def ratios(self, words: DataFrame) -> DataFrame:
+        """From different words to (word, ratio): the log of its likelihood as toxic over that as ordinary."""
+        longest = words.mapInArrow(_grams_of, ", ".join(f"{c} bigint" for c in _KEYS)).groupBy(f"h{ORDER}").agg(*(F.first(c).alias(c) for c in _KEYS[1:]))
+        x = longest.join(self.grams[1], "h1", "left")
+        p = (F.coalesce("a1_0", F.lit(0)) + 0.5) / F.lit(self.total + 0.5 * 65536)
+        below = [p, p]
+        for n in range(2, ORDER + 1):
+            x = x.join(self.grams[n], f"h{n}", "left").join(self.contexts[n], f"c{n}", "left")
+            below = [_level(n, c, below[c]) for c in (0, 1)] if n > SHARED else [_level(n, 0, below[0])] * 2
+            # named, as an expression of all orders would grow with their product
+            x = x.withColumn(f"p{n}_0", below[0]).withColumn(f"p{n}_1", below[1])
+            below = [F.col(f"p{n}_0"), F.col(f"p{n}_1")]
+        by_gram = x.select(f"h{ORDER}", (F.log(below[1]) - F.log(below[0])).alias("r"))
+        places = words.mapInArrow(_places_of, f"word string, h{ORDER} bigint")
+        return places.join(by_gram, f"h{ORDER}").groupBy("word").agg(F.sum("r").alias("ratio"))
+
+
+_KEYS = [f"h{n}" for n in range(ORDER, 0, -1)] + [f"c{n}" for n in range(ORDER, 1, -1)]
+
+
+def _level(n: int, cls: int, below: Column) -> Column:
+    """The discounted share of an n-gram among its context's, and what the discount leaves to the shorter one."""
+    a, t, f = (F.coalesce(f"{kind}{n}_{cls}", F.lit(0)) for kind in "atf")
+    seen = F.greatest(a - F.lit(DISCOUNT), F.lit(0.0)) / F.greatest(t, F.lit(1))
+    return seen + F.when(t > 0, F.least(F.lit(DISCOUNT) * f / F.greatest(t, F.lit(1)), F.lit(1.0))).otherwise(1.0) * below
+
+
+def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The n-grams of ORDER characters in a batch of words: hashes of all their endings and of what precedes their last characters."""
+    for batch in batches:
+        if batch.num_rows:
+            cp, at = _points(batch.column(0).to_pylist())
+            top, first = np.unique(_hashes(cp, at, ORDER), return_index=True)
+            at = at[first]
+            columns = [top] + [_hashes(cp, at, n) for n in range(ORDER - 1, 0, -1)] + [_hashes(cp, at, n - 1, 1) for n in range(ORDER, 1, -1)]
+            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], _KEYS)
+
+
+def _places_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each word with the hash of each n-gram of ORDER characters in it, as often as it occurs."""
+    for batch in batches:
+        if batch.num_rows:
+            words = batch.column(0).to_pylist()
+            cp, at = _points(words)
+            which = np.repeat(np.arange(len(words)), [len(w) + 1 for w in words])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), pa.array(_hashes(cp, at, ORDER).view(np.int64))], ["word", f"h{ORDER}"])
+
+
+def features_of(texts: list[str | None], ratios: dict[str, float]) -> np.ndarray:
+    """Of each text: the log ratio by word over the whole text, its most toxic window and its 2, 4 and 8 most toxic words; the log of its length."""
+    out = np.zeros((len(texts), FEATURES))
+    for k, text in enumerate(texts):
+        words = words_of(text)
+        if words:
+            r = np.fromiter(map(ratios.__getitem__, words), float, len(words))
+            sums = np.concatenate([[0.0], np.cumsum(r)])
+            w = min(WINDOW, len(r))
+            best = np.sort(np.partition(r, len(r) - 8)[-8:] if len(r) > 8 else r)[::-1]
+            out[k] = r.mean(), (sums[w:] - sums[:-w]).max() / WINDOW, best[:2].mean(), best[:4].mean(), best.mean(), np.log(len(r))
+    return out
 
-    def score(self, features: np.ndarray) -> np.ndarray:
-        x = np.column_stack([np.clip(features, -20, 20), np.ones(len(features))])
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
+def score_of(features: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    x = np.column_stack([np.clip(features, -20, 20), np.ones(len(features))])
+    return 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
 
-def _tables(grams: DataFrame) -> dict[tuple[int, str, int], np.ndarray]:
+
+def count_tables(grams: DataFrame) -> Models:
     """The counts of all orders. Above the top order's, a count is of the different characters that stand before an
-    n-gram; up to SHARED the classes are put together. What comes to the driver is at most one number a slot."""
-    level, parts = grams, []
+    n-gram; up to SHARED the classes are put together."""
+    level, by_gram, by_context = grams, {}, {}
     for n in range(ORDER, 0, -1):
         kept = [f"h{m}" for m in range(n, 0, -1)] + [f"c{m}" for m in range(n, 1, -1)]
         cls = ["cls"] if n > SHARED else []
         if n < ORDER:
             source = level.select(f"h{n + 1}", *kept).distinct() if n == SHARED else level
             level = source.groupBy(*cls, *kept).agg(F.count("*").alias("n"))
-        own = F.col("cls") if cls else F.lit(0)
-        for kind, key, value in (("a", f"h{n}", F.col("n")), *((("t", f"c{n}", F.col("n")), ("f", f"c{n}", F.lit(1))) if n > 1 else ())):
-            slot = F.shiftrightunsigned(F.col(key), 64 - SLOTS_BITS)
-            parts.append(level.select(F.lit(n).alias("ord"), F.lit(kind).alias("kind"), own.cast("int").alias("cls"), slot.cast("int").alias("slot"), value.cast("double").alias("v")))
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    rows = union.groupBy("ord", "kind", "cls", "slot").agg(F.sum("v").cast("float").alias("v")).toArrow()
-    keys = [(n, kind, c) for n in range(ORDER, 0, -1) for kind in ("atf" if n > 1 else "a") for c in ((0, 1) if n > SHARED else (0,))]
-    out = {k: np.zeros(1 << SLOTS_BITS, np.float32) for k in keys}
-    order, cls, slot, v = (rows.column(c).to_numpy() for c in ("ord", "cls", "slot", "v"))
-    kind = np.array(rows.column("kind").to_pylist(), "U1")
-    for n, k, c in keys:
-        mine = (order == n) & (kind == k) & (cls == c)
-        out[n, k, c][slot[mine]] = v[mine]
-    return out
+        classes = [(c, F.col("cls") == c) for c in (0, 1)] if cls else [(0, F.lit(True))]
+        by_gram[n] = staged(level.groupBy(f"h{n}").agg(*(F.sum(F.when(own, F.col("n"))).alias(f"a{n}_{c}") for c, own in classes)), f"toxicity-grams{n}")
+        if n > 1:
+            sums = [x for c, own in classes for x in (F.sum(F.when(own, F.col("n"))).alias(f"t{n}_{c}"), F.count(F.when(own, 1)).alias(f"f{n}_{c}"))]
+            by_context[n] = staged(level.groupBy(f"c{n}").agg(*sums), f"toxicity-contexts{n}")
+    models = Models(by_gram, by_context, float(by_gram[1].agg(F.sum("a1_0")).first()[0] or 0))
+    if sum(x.count() for x in (*by_gram.values(), *by_context.values())) <= SMALL_COUNTS:
+        held = [{n: Lookup(x.na.fill(0).toArrow()) for n, x in tables.items()} for tables in (by_gram, by_context)]
+        models.shared = grams.sparkSession.sparkContext.broadcast(Tables(*held, models.total))
+    return models
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -178,15 +264,71 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def _features_of(rows: DataFrame, models, extra: str) -> DataFrame:
-    def run(batches):
-        cache: dict[str, float] = {}
+def _described(docs: DataFrame, models: Models, id_col: str, text_col: str, finish: Callable[[np.ndarray], list[np.ndarray]], added: list[str]) -> DataFrame:
+    """docs with the numbers added that finish makes of their features.
+
+    Few counts are broadcast. Otherwise texts are dealt into chunks by hash; a chunk's different words are given their
+    ratios by a join, and come to the task that scores the chunk before its texts do: a task holds the words of one
+    chunk, however many counts and words there are. Both ways give the same numbers.
+    """
+    small_batches(docs.sparkSession)
+    names, at, shared = docs.columns, docs.columns.index(text_col), models.shared
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"`{n}` double" for n in added)])
+    if shared is not None:
+
+        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cache: dict[str, float] = {}
+            for batch in batches:
+                numbers = finish(shared.value.features(batch.column(at).to_pylist(), cache))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, numbers)], [*names, *added])
+
+        return docs.mapInArrow(look_up, schema)
+    text = F.col(text_col).cast("string")
+    chunks = max(CHUNKS, (docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // CHUNK_BYTES)
+    dealt = docs.select(F.pmod(F.xxhash64(id_col, text), F.lit(chunks)).alias("chunk"), text.alias("text"), F.struct("*").alias("row"))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[int, set[str]] = {}
+
+        def gathered() -> pa.RecordBatch:
+            of = np.repeat(np.fromiter(words, np.int64, len(words)), [len(w) for w in words.values()])
+            return pa.RecordBatch.from_arrays([pa.array(of), pa.array([w for own in words.values() for w in own], pa.string())], ["chunk", "word"])
+
         for batch in batches:
-            f = models.value.features(batch.column(1).to_pylist(), cache)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(f[:, k]) for k in range(FEATURES))], [extra, *names])
+            for chunk, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words.setdefault(chunk, set()).update(words_of(text))
+            if sum(map(len, words.values())) > GATHERED:
+                yield gathered()
+                words.clear()
+        if words:
+            yield gathered()
+
+    by_chunk = staged(dealt.select("chunk", "text").mapInArrow(gather, "chunk bigint, word string").distinct(), "toxicity-words")
+    ratios = by_chunk.join(models.ratios(by_chunk.select("word").distinct()), "word")
+    row = dealt.schema["row"].dataType
+    both = ratios.select("chunk", F.lit(False).alias("is_text"), "word", "ratio", F.lit(None).cast(row).alias("row")).unionByName(
+        dealt.select("chunk", F.lit(True).alias("is_text"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("double").alias("ratio"), "row")
+    )
 
-    names = [f"f{k}" for k in range(FEATURES)]
-    return rows.mapInArrow(run, f"{extra} {rows.schema[extra].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, known = None, {}
+        for batch in batches:
+            chunk, is_text = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((chunk[1:] != chunk[:-1]) | (is_text[1:] != is_text[:-1])) + 1).tolist(), len(chunk)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if chunk[a] != current:
+                    current, known = chunk[a], {}
+                own = batch.slice(a, b - a)
+                if is_text[a]:
+                    columns = own.column(4).flatten()
+                    numbers = finish(features_of(columns[at].to_pylist(), known))
+                    yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, numbers)], [*names, *added])
+                else:
+                    known.update(zip(own.column(2).to_pylist(), own.column(3).to_pylist()))
+
+    return both.repartition(chunks, "chunk").sortWithinPartitions("chunk", "is_text").mapInArrow(run, schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Models:
@@ -202,32 +344,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = joined_by_id(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")), known, "_id")
     apart = F.pmod(F.xxhash64("_id"), F.lit(CALIBRATE_PART)) == 0
     grams = staged(count_grams(rows.where(~apart).select("cls", "text")), "toxicity-counts")
-    models = Models(_tables(grams))
-    shared = spark.sparkContext.broadcast(models)
+    models = count_tables(grams)
     # by falling hash, about CALIBRATE_ROWS of the rows set apart, all of them if fewer
     share = min(1.0, CALIBRATE_ROWS * CALIBRATE_PART / max(1, known.count()))
-    sample = rows.where(apart & (F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20)))).select("cls", "text")
-    got = _features_of(sample, shared, "cls").toArrow()
+    sample = rows.where(apart & (F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20)))).select("_id", "cls", "text")
+    got = _described(sample, models, "_id", "text", lambda f: list(f.T), [f"f{k}" for k in range(FEATURES)]).drop("_id", "text").toArrow()
     y = got.column("cls").to_numpy().astype(float)
     x = np.column_stack([got.column(f"f{k}").to_numpy() for k in range(FEATURES)])
     models.weights = _logistic(x, y) if 0 < y.sum() < len(y) else np.array([0.0, 1.0] + [0.0] * (FEATURES - 2) + [-1.0])
-    shared.unpersist()
     return models
 
 
-def scored(docs: DataFrame, models: Models, text_col: str = "text", score_col: str = "score") -> DataFrame:
+def scored(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs with a score added, 0 to 1. A null text is empty; texts without words score as their features of zero do."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared, at, names = spark.sparkContext.broadcast(models), docs.columns.index(text_col), docs.columns
-
-    def run(batches):
-        cache: dict[str, float] = {}
-        for batch in batches:
-            score = shared.value.score(shared.value.features(batch.column(at).to_pylist(), cache))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*names, score_col])
-
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{score_col}` double")
+    weights = models.weights
+    return _described(docs, models, id_col, text_col, lambda f: [score_of(f, weights)], [score_col])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7) -> DataFrame:
@@ -252,4 +383,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     score = "_score"
     while score in docs.columns:
         score += "_"
-    return scored(docs, models, text_col, score).where(F.col(score) < threshold).drop(score)
+    return scored(docs, models, id_col, text_col, score).where(F.col(score) < threshold).drop(score)

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -108,3 +109,34 @@ def archived(pages):
         digest = base64.b32encode(hashlib.sha1(data).digest()).decode()
         out.append((page, len(data), digest, "revisit" if again else "response", first[html or ""] if again else None))
     return out
+
+
+def toxic_ratios(texts, words, order=5, shared=2, discount=0.75):
+    """Log ratios of words of lower-case letters by Kneser-Ney models over (class, text)."""
+    counts = {order: Counter()}
+    for cls, text in texts:
+        for w in text.split():
+            marked = "\2" * (order - 1) + w + "\3"
+            counts[order].update((cls, marked[k - order + 1 : k + 1]) for k in range(order - 1, len(marked)))
+    for n in range(order - 1, 0, -1):
+        longer = {(c, g) if n > shared else (0, g) for c, g in counts[n + 1]}
+        counts[n] = Counter((c, g[1:]) for c, g in longer)
+    totals, followers = {n: Counter() for n in counts}, {n: Counter() for n in counts}
+    for n, by_gram in counts.items():
+        for (c, g), k in by_gram.items():
+            totals[n][c, g[:-1]] += k
+            followers[n][c, g[:-1]] += 1
+
+    def log_likelihood(cls, w):
+        marked, out = "\2" * (order - 1) + w + "\3", 0.0
+        for k in range(order - 1, len(marked)):
+            p = (counts[1][0, marked[k]] + 0.5) / (sum(counts[1].values()) + 0.5 * 65536)
+            for n in range(2, order + 1):
+                g, c = marked[k - n + 1 : k + 1], cls if n > shared else 0
+                t = totals[n][c, g[:-1]]
+                rest = min(discount * followers[n][c, g[:-1]] / t, 1.0) if t else 1.0
+                p = max(counts[n][c, g] - discount, 0.0) / max(t, 1) + rest * p
+            out += math.log(p)
+        return out
+
+    return {w: log_likelihood(1, w) - log_likelihood(0, w) for w in words}

@@ -320,6 +320,32 @@ def test_toxicity_held_out(spark):
     assert sum(r.predicted for r in rows if not r.toxic) <= 0.02 * len(rows)
 
 
+@pytest.mark.parametrize("small", [0, toxicity.SMALL_COUNTS])
+def test_toxicity_counts_are_exact(spark, monkeypatch, small):
+    """Ratios by word against Kneser-Ney over dictionaries; the corpus has more n-grams than 2^19 slots hold without sharing."""
+    monkeypatch.setattr(toxicity, "SMALL_COUNTS", small)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(1, 9)))
+    texts = [(c, " ".join(word() for _ in range(1500))) for c in (0, 1, 0, 1)]
+    models = toxicity.count_tables(toxicity.count_grams(spark.createDataFrame(texts, "cls int, text string")))
+    words = sorted({w for _, t in texts[1:3] for w in t.split()} | {"zzzz", "unseen", "Ωx"})
+    assert (models.shared is None) == (small == 0)
+    got = dict(zip(words, models.shared.value.ratios(words))) if small else dict(models.ratios(spark.createDataFrame([(w,) for w in words], "word string")).collect())
+    wanted = brute.toxic_ratios(texts, words)
+    assert got.keys() == wanted.keys()
+    assert all(got[w] == pytest.approx(wanted[w], abs=1e-6) for w in words)
+
+
+def test_toxicity_by_broadcast_and_by_join_agree(spark, odd, monkeypatch):
+    df, labels = frame(spark, odd), spark.createDataFrame([(k, k % 2) for k in range(17)], "doc_id bigint, toxic int")
+    key = lambda r: (repr(r.doc_id), r.score)
+    held = sorted(toxicity.toxicity(df, labels).collect(), key=key)
+    monkeypatch.setattr(toxicity, "SMALL_COUNTS", 0)
+    joined = sorted(toxicity.toxicity(df, labels).collect(), key=key)
+    assert [r.doc_id for r in held] == [r.doc_id for r in joined]
+    assert [r.score for r in held] == pytest.approx([r.score for r in joined], abs=1e-6)
+
+
 def test_quality_held_out(spark):
     docs, labels = labelled(spark, "quality")
     rows = quality_model.quality(docs, labels).join(labels, "doc_id").where("held_out").collect()
