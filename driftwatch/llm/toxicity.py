@@ -29,7 +29,7 @@ DISCOUNT = 0.75
 WINDOW, CACHE = 20, 200_000
 #: Numbers that describe a text, see features_of.
 FEATURES = 6
-#: Share of the labelled rows kept from the counts to fit the scale of the score, and how many of them are used.
+#: Rows kept from the counts to fit the scale of the score: one labelled row in CALIBRATE_PART, CALIBRATE_ROWS or so at most.
 CALIBRATE_PART, CALIBRATE_ROWS = 4, 20_000
 
 _START, _END = 2, 3
@@ -331,23 +331,26 @@ def _described(docs: DataFrame, models: Models, id_col: str, text_col: str, fini
     return both.repartition(chunks, "chunk").sortWithinPartitions("chunk", "is_text").mapInArrow(run, schema)
 
 
+def set_apart(id_col: str, rows: int) -> Column:
+    """Whether an id's row, of so many labelled ones, fits the scale of the score; chosen by hash. All others are counted."""
+    share = min(1.0, CALIBRATE_ROWS * CALIBRATE_PART / max(1, rows))
+    return (F.pmod(F.xxhash64(id_col), F.lit(CALIBRATE_PART)) == 0) & (F.pmod(F.xxhash64(id_col, F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Models:
     """Models from all labelled rows that are not held out; a null label is none, of conflicting labels the largest counts.
 
-    The counts leave out one row in CALIBRATE_PART; of these, a sample of about CALIBRATE_ROWS fits the score's scale. Without rows
-    of both classes there, the score is that of the log ratio by word in the most toxic window.
+    The counts leave out the sample that fits the score's scale alone, see set_apart. Without rows of both classes
+    there, the score is that of the log ratio by word in the most toxic window.
     """
     spark = docs.sparkSession
     small_batches(spark)
     known = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col, 3, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("cls"))
     known = staged(known, "labels")
     rows = joined_by_id(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")), known, "_id")
-    apart = F.pmod(F.xxhash64("_id"), F.lit(CALIBRATE_PART)) == 0
-    grams = staged(count_grams(rows.where(~apart).select("cls", "text")), "toxicity-counts")
-    models = count_tables(grams)
-    # by falling hash, about CALIBRATE_ROWS of the rows set apart, all of them if fewer
-    share = min(1.0, CALIBRATE_ROWS * CALIBRATE_PART / max(1, known.count()))
-    sample = rows.where(apart & (F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20)))).select("_id", "cls", "text")
+    apart = set_apart("_id", known.count())
+    models = count_tables(staged(count_grams(rows.where(~apart).select("cls", "text")), "toxicity-counts"))
+    sample = rows.where(apart).select("_id", "cls", "text")
     got = _described(sample, models, "_id", "text", lambda f: list(f.T), [f"f{k}" for k in range(FEATURES)]).drop("_id", "text").toArrow()
     y = got.column("cls").to_numpy().astype(float)
     x = np.column_stack([got.column(f"f{k}").to_numpy() for k in range(FEATURES)])

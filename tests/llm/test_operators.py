@@ -346,6 +346,18 @@ def test_toxicity_by_broadcast_and_by_join_agree(spark, odd, monkeypatch):
     assert [r.score for r in held] == pytest.approx([r.score for r in joined], abs=1e-6)
 
 
+def test_toxicity_counts_all_but_a_bounded_sample(spark, monkeypatch):
+    """Of 2,000 labelled rows about 20 fit the scale; the words of all others are counted."""
+    monkeypatch.setattr(toxicity, "CALIBRATE_ROWS", 20)
+    seen = []
+    monkeypatch.setattr(toxicity, "count_grams", lambda rows, own=toxicity.count_grams: seen.append(rows.count()) or own(rows))
+    docs = spark.createDataFrame([(k, f"word{k}") for k in range(2000)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(2000)], "doc_id bigint, toxic int")
+    toxicity.fit(docs, labels)
+    training = sum(zlib.crc32(str(k).encode()) % 3 != 1 for k in range(2000))
+    assert training - 40 <= seen[0] < training
+
+
 def test_quality_held_out(spark):
     docs, labels = labelled(spark, "quality")
     rows = quality_model.quality(docs, labels).join(labels, "doc_id").where("held_out").collect()
