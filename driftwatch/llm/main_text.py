@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from driftwatch.llm.common import small_batches
 
 # Elements by their role in HTML.
-RAW = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "textarea", "select", "title", "head")
+RAW = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "textarea", "select", "title")
 BLOCK = frozenset(
     "address article aside blockquote body br_ caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul video audio".split()
 )
@@ -36,9 +36,10 @@ WEIGHTS = {"bias": -0.6, "content": 3.0, "boilerplate": -7.0, "name": 1.5, "word
 ADJACENT, SIBLING = 0.6, 0.5
 
 _TOKENS = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>?",
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>?",
     re.S | re.I,
 )
+_RAW_ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 _NAMES = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _ROLE = re.compile(r"\brole\s*=\s*[\"']?([\w-]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
@@ -61,6 +62,18 @@ class _Open:
     hints: frozenset[str] = field(default_factory=frozenset)
 
 
+def _after_raw(page: str, tag: str, at: int, last: dict[str, int]) -> int:
+    """Where an element of RAW ends whose start tag ends at a place. Without an end tag a script or style goes on to the
+    page's end, others are their tag alone; last keeps where the last end tag of each kind starts."""
+    if tag not in ("script", "style"):
+        if tag not in last:
+            last[tag] = max((m.start() for m in _RAW_ENDS[tag].finditer(page)), default=-1)
+        if last[tag] < at:
+            return at
+    m = _RAW_ENDS[tag].search(page, at)
+    return m.end() if m else len(page)
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """Text between the tags of block elements, in order. Unclosed elements end where their parent does."""
     page = page or ""
@@ -69,6 +82,8 @@ def blocks_of(page: str | None) -> list[Block]:
     parts: list[str] = []
     linked: list[str] = []
     state = {"links": 0, "number": 0}
+    last_ends: dict[str, int] = {}
+    head: tuple[int, int] | None = None  # lengths of parts and linked where a head starts
 
     def flush() -> None:
         text = " ".join(entities.unescape("".join(parts)).split())
@@ -81,7 +96,7 @@ def blocks_of(page: str | None) -> list[Block]:
         linked.clear()
 
     at = 0
-    for m in _TOKENS.finditer(page):
+    while m := _TOKENS.search(page, at):
         if m.start() > at:
             parts.append(page[at : m.start()])
             if state["links"]:
@@ -90,8 +105,16 @@ def blocks_of(page: str | None) -> list[Block]:
         tag = (m["name"] or "").lower()
         if not tag:
             if m["raw"]:
+                at = _after_raw(page, m["raw"].lower(), at, last_ends)
                 parts.append(" ")
             continue
+        if tag == "head":
+            if not m["end"]:
+                head = len(parts), len(linked)
+            elif head is not None:  # its text is dropped; without an end tag, text ends a head
+                del parts[head[0] :], linked[head[1] :]
+                head = None
+            parts.append(" ")
         if tag == "a":
             state["links"] = 0 if m["end"] else 1
         elif tag == "br":
@@ -99,7 +122,7 @@ def blocks_of(page: str | None) -> list[Block]:
         if tag not in BLOCK and tag not in BOILERPLATE_TAGS:
             continue
         flush()
-        state["links"] = 0
+        state["links"], head = 0, None
         if m["end"]:
             place = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
             if place:

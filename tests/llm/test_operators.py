@@ -296,6 +296,16 @@ def test_main_text(spark):
     assert main_text.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("lead", ["<html><head><title>No</title><script>t='<p>no</p>'</script><meta name=a>", "<html><head><style>p{}</style></head><body><iframe src=a>", "<select><option>", "<svg><path d=''>", "<object data=a>"])
+def test_main_text_after_unclosed_elements(lead):
+    """Neither an open head nor an element without an end tag takes the rest of the page along."""
+    for body in ("<body>", ""):
+        text = main_text.main_text(f"{lead}{body}<article><p>The article is here, with quite a few words in it.</p></article>")
+        assert text.endswith("The article is here, with quite a few words in it.") and "no" not in text.lower()
+    assert main_text.main_text("<p>Words stay, and there are some.</p><script>var t = '<p>not this one</p>'") == "Words stay, and there are some."
+    assert main_text.main_text("<head>left out</head><p>Words stay, and there are some.</p>") == "Words stay, and there are some."
+
+
 def test_minimum_cuts_cost_as_little_as_any_labelling():
     rng = random.Random(8)
     for _ in range(200):
