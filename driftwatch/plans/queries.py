@@ -362,13 +362,13 @@ def ks_two_sample(spark, d):
 
 @query
 def t_copula_score(spark, d):
-    x = M.walk_forward(V.returns(spark, d).where("t <= 400"), RETURNS)
+    x = M.walk_forward(V.returns(spark, d), RETURNS)
     return x.select("t", r("z").alias("z"), "df")
 
 
 @query
 def walk_forward(spark, d):
-    x = M.walk_forward(V.returns(spark, d).where("t <= 600"), RETURNS, every=50)
+    x = M.walk_forward(V.returns(spark, d), RETURNS)
     return x.where("abs(z) >= 3").select("t", r("z").alias("score"), r("rolling_ll").alias("price"))
 
 
