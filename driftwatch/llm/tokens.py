@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -20,12 +21,31 @@ VOCABULARY, END_ID, SPECIAL = "byte_bpe_50k.json", 2, {"<|endoftext|>": 50256}
 BLOCK = 4096
 
 
+#: Characters of a text that are encoded at a time, and up to which the ranks' library takes any text.
+PART, PART_MAX = 1 << 15, 1 << 16
+#: A word may be cut from the next before a single space or line feed: no id of the vocabulary reaches across.
+_CUT = re.compile(r"(?<=\S)[ \n](?=\S)")
+
+
+def _parts(text: str) -> Iterator[str]:
+    """text in parts of some PART characters, longer where there is no place to cut."""
+    at = 0
+    while len(text) - at > PART_MAX:
+        m = _CUT.search(text, at + PART)
+        if m is None:
+            break
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
+
+
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str | None = None) -> Callable[[str], np.ndarray]:
     """What turns a text into ids as the vocabulary's file does without marks of its own.
 
-    Of the file's two forms with the same ids, the ranks are several times as fast; a text with a special mark, or a
-    vocabulary without ranks, goes by the file itself.
+    Of the file's two forms with the same ids, the ranks are several times as fast. They can't take long runs of white
+    space, so a part of more than PART_MAX characters goes by the file itself, as do a text with a special mark and a
+    vocabulary without ranks.
     """
     import public_tokenizers
     import tiktoken
@@ -41,7 +61,13 @@ def encoder(vocabulary: str | None = None) -> Callable[[str], np.ndarray]:
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: slow(text) if any(mark in text for mark in SPECIAL) else np.array(fast.encode_ordinary(text), np.uint32)
+
+    def encode(text: str) -> np.ndarray:
+        marked = any(mark in text for mark in SPECIAL)
+        ids = [slow(part) if marked or len(part) > PART_MAX else np.array(fast.encode_ordinary(part), np.uint32) for part in _parts(text)]
+        return ids[0] if len(ids) == 1 else np.concatenate(ids)
+
+    return encode
 
 
 def encoded_lengths(docs: DataFrame, text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
