@@ -130,12 +130,20 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
 
 def parse(stream: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Records from pieces of archives in order: headers, with names in lower case, and blocks."""
-    buffer = bytearray()
+    """Records from pieces of archives in order: headers, with names in lower case, and blocks.
+
+    Line ends between records are passed over, however many there are: a file whose last block ends in one may be
+    handed on with a separator too many.
+    """
+    buffer, at = bytearray(), 0
     for piece in stream:
         buffer += piece
-        while (end := buffer.find(SEPARATOR)) >= 0:
-            head = bytes(buffer[:end]).decode("utf-8", "replace").split("\r\n")
+        while True:
+            while at < len(buffer) and buffer[at] in b"\r\n":
+                at += 1
+            if (end := buffer.find(SEPARATOR, at)) < 0:
+                break
+            head = bytes(buffer[at:end]).decode("utf-8", "replace").split("\r\n")
             if not head[0].startswith("WARC/"):
                 raise ValueError(f"not a record: {head[0][:40]!r}")
             fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head[1:])}
@@ -144,8 +152,11 @@ def parse(stream: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
             if len(buffer) < start + length + len(SEPARATOR):
                 break
             yield fields, bytes(buffer[start : start + length])
-            del buffer[: start + length + len(SEPARATOR)]
-    if buffer:
+            at = start + length
+        if at > 1 << 20 or at == len(buffer):
+            del buffer[:at]
+            at = 0
+    if buffer[at:].strip(b"\r\n"):
         raise ValueError("an archive breaks off within a record")
 
 
