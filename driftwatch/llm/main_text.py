@@ -5,7 +5,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 from driftwatch.llm.common import small_batches
 
 # Elements by their role in HTML.
-RAW = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "textarea", "select", "title")
+RAW = ("script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "textarea", "select", "title")
 BLOCK = frozenset(
     "address article aside blockquote body br_ caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul video audio".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTENT_TAGS, BOILERPLATE_TAGS = frozenset(("article", "main")), frozenset("nav footer header aside form menu dialog button".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that end an open paragraph.
 ENDS_P = BLOCK - {"br_", "body", "html"}
 BOILERPLATE_NAMES = re.compile(
@@ -35,10 +36,11 @@ BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary searc
 WEIGHTS = {"bias": -0.6, "content": 3.0, "boilerplate": -7.0, "name": 1.5, "words": 0.45, "links": -4.0, "heading": 0.6, "sentence": 0.8, "rights": -3.0}
 ADJACENT, SIBLING = 0.6, 0.5
 
-_TOKENS = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>?",
-    re.S | re.I,
-)
+#: A tag without "<" in its attributes, as nearly all are; the start of any other; what may end one or begin a value.
+_TAG = re.compile(r"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/<>]*+)(?P<attrs>(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)>")
+_START = re.compile(r"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/<>]*+)")
+_STOP, _ANGLE = re.compile("[>\"']"), re.compile("[<>]")
+_LONG_NUMBER = re.compile(r"&#[0-9]{20,};?")
 _RAW_ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 _NAMES = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _ROLE = re.compile(r"\brole\s*=\s*[\"']?([\w-]+)", re.I)
@@ -59,9 +61,15 @@ class Block:
 class _Open:
     tag: str
     number: int
+    #: The number of the nearest element around text that isn't a paragraph, list item or heading; whether there is a heading.
+    own: int = 0
+    heading: bool = False
     hints: frozenset[str] = field(default_factory=frozenset)
 
 
+_INNER = frozenset("p li h1 h2 h3 h4 h5 h6".split())
+
+
 def _after_raw(page: str, tag: str, at: int, last: dict[str, int]) -> int:
     """Where an element of RAW ends whose start tag ends at a place. Without an end tag a script or style goes on to the
     page's end, others are their tag alone; last keeps where the last end tag of each kind starts."""
@@ -74,83 +82,144 @@ def _after_raw(page: str, tag: str, at: int, last: dict[str, int]) -> int:
     return m.end() if m else len(page)
 
 
+def _close(page: str, at: int) -> int:
+    """The place of the ">" that ends a tag, from a place in it; -1 if the page ends before. Only a value that begins with a quote hides one."""
+    while m := _STOP.search(page, at):
+        if m[0] == ">":
+            return m.start()
+        if not page[at : m.start()].rstrip().endswith("="):
+            at = m.end()
+        elif (at := page.find(m[0], m.end()) + 1) == 0:
+            return -1
+    return -1
+
+
+def _pieces(page: str) -> Iterator[tuple[str, str, bool, str]]:
+    """Text and tags in order, as (text, name, whether it is an end tag, attributes); a piece of text has no name.
+
+    Each character is looked at a bounded number of times. Comments and raw elements are left out; an element of RAW
+    comes as a tag without its content. Once a tag has no end, those after it end at the next angle bracket.
+    """
+    at, broken, last = 0, False, {}
+    while (start := page.find("<", at)) >= 0:
+        if start > at:
+            yield page[at:start], "", False, ""
+        if m := _TAG.match(page, start):
+            end, name, attrs = m.end(), m["name"], m["attrs"]
+        elif page.startswith("<!--", start):
+            at = page.find("-->", start + 2) + 3
+            if at == 2:
+                return
+            continue
+        elif page.startswith(("<!", "<?"), start):
+            at = page.find(">", start) + 1
+            if not at:
+                return
+            continue
+        elif m := _START.match(page, start):
+            close = -1 if broken else _close(page, m.end())
+            if close >= 0:
+                end = close + 1
+            else:
+                broken = True
+                stop = _ANGLE.search(page, m.end())
+                if stop is None:  # the page's end cuts the tag off
+                    return
+                close = stop.start()
+                end = close + (stop[0] == ">")
+            name, attrs = m["name"], page[m.end() : close]
+        else:
+            yield "<", "", False, ""
+            at = start + 1
+            continue
+        name, at = name.lower(), end
+        if name in _RAW_ENDS and not m["end"]:
+            at = _after_raw(page, name, end, last)
+        yield "", name, bool(m["end"]), attrs
+    if at < len(page):
+        yield page[at:], "", False, ""
+
+
+def _plain(parts: list[str]) -> str:
+    """Parts of a block as one text: references decoded, white space as single spaces."""
+    text = "".join(parts)
+    try:
+        text = entities.unescape(text)
+    except ValueError:  # a number of thousands of digits
+        text = entities.unescape(_LONG_NUMBER.sub("\ufffd", text))
+    return " ".join(text.split())
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """Text between the tags of block elements, in order. Unclosed elements end where their parent does."""
-    page = page or ""
     out: list[Block] = []
     stack = [_Open("html", 0)]
+    open_tags: Counter[str] = Counter()
     parts: list[str] = []
     linked: list[str] = []
-    state = {"links": 0, "number": 0}
-    last_ends: dict[str, int] = {}
+    in_link, number = False, 0
     head: tuple[int, int] | None = None  # lengths of parts and linked where a head starts
 
     def flush() -> None:
-        text = " ".join(entities.unescape("".join(parts)).split())
+        text = _plain(parts)
         if text:
-            links = len(" ".join(entities.unescape("".join(linked)).split()))
-            own = next(x for x in reversed(stack) if x.tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6"))
-            heading = any(re.fullmatch("h[1-6]", x.tag) for x in stack)
-            out.append(Block(text, min(links, len(text)), own.number, stack[-1].hints, heading))
+            links = len(_plain(linked))
+            top = stack[-1]
+            out.append(Block(text, min(links, len(text)), top.own, top.hints, top.heading))
         parts.clear()
         linked.clear()
 
-    at = 0
-    while m := _TOKENS.search(page, at):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-            if state["links"]:
-                linked.append(page[at : m.start()])
-        at = m.end()
-        tag = (m["name"] or "").lower()
+    def pop() -> None:
+        open_tags[stack.pop().tag] -= 1
+
+    for text, tag, is_end, attrs in _pieces(page or ""):
         if not tag:
-            if m["raw"]:
-                at = _after_raw(page, m["raw"].lower(), at, last_ends)
-                parts.append(" ")
+            parts.append(text)
+            if in_link:
+                linked.append(text)
             continue
-        if tag == "head":
-            if not m["end"]:
+        if tag in _RAW_ENDS or tag == "br":
+            parts.append(" ")
+        elif tag == "head":
+            if not is_end:
                 head = len(parts), len(linked)
             elif head is not None:  # its text is dropped; without an end tag, text ends a head
                 del parts[head[0] :], linked[head[1] :]
                 head = None
             parts.append(" ")
-        if tag == "a":
-            state["links"] = 0 if m["end"] else 1
-        elif tag == "br":
-            parts.append(" ")
+        elif tag == "a":
+            in_link = not is_end
         if tag not in BLOCK and tag not in BOILERPLATE_TAGS:
             continue
         flush()
-        state["links"], head = 0, None
-        if m["end"]:
-            place = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if place:
-                del stack[place:]
+        in_link, head = False, None
+        if is_end:
+            if open_tags[tag]:
+                while stack[-1].tag != tag:
+                    pop()
+                pop()
             continue
         if tag in VOID:
             continue
         if tag in ENDS_P and stack[-1].tag == "p":
-            stack.pop()
+            pop()
         if tag == "li" and stack[-1].tag == "li":
-            stack.pop()
-        attrs = m["attrs"] or ""
-        names = " ".join(a or b or c for a, b, c in _NAMES.findall(attrs))
-        hints = set(stack[-1].hints)
-        role = _ROLE.search(attrs)
+            pop()
+        around = stack[-1]
+        names = " ".join(a or b or c for a, b, c in _NAMES.findall(attrs)) if attrs else ""
+        hints = around.hints
+        role = _ROLE.search(attrs) if attrs else None
         in_article = "content" in hints
         if tag in BOILERPLATE_TAGS and not (tag == "header" and in_article) or BOILERPLATE_NAMES.search(names) and tag not in ("body", "html", "article", "main") or role and role[1].lower() in BOILERPLATE_ROLES or _HIDDEN.search(attrs):
-            hints.add("boilerplate")
+            hints |= {"boilerplate"}
         elif tag in CONTENT_TAGS or role and role[1].lower() == "main":
-            hints.add("content")
+            hints |= {"content"}
         elif CONTENT_NAMES.search(names) and tag not in ("body", "html"):
-            hints.add("name")
-        state["number"] += 1
-        stack.append(_Open(tag, state["number"], frozenset(hints)))
-    rest = page[at:]
-    if (cut := rest.rfind("<")) >= 0 and re.match(r"</?[a-zA-Z]", rest[cut:]):  # a tag that the page's end cuts off
-        rest = rest[:cut]
-    parts.append(rest)
+            hints |= {"name"}
+        number += 1
+        own = around.own if tag in _INNER else number
+        stack.append(_Open(tag, number, own, around.heading or tag in HEADINGS, hints))
+        open_tags[tag] += 1
     flush()
     return out
 
