@@ -65,6 +65,9 @@ _ASSIGN = (
     r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 )
 _RUN = "[A-Za-z0-9+/_=-]{20,}"
+_ALLOWED = "(?i)^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$|example|sample|dummy|placeholder|abcdefgh|01234567|" + "|".join(
+    ("[+]" if c == "+" else c) + "{6,}" for c in "abcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+)
 
 
 def _found(kind: str, rank: int, pattern: str, keep: str, group: int = 0) -> str:
@@ -83,9 +86,11 @@ base AS ({_found("assign", 0, _ASSIGN, "length(value) >= 8", 2)}
   UNION ALL {_found("access", 1, "AKIA[A-Z0-9]+", "length(whole) >= 16")}
   UNION ALL {_found("hex", 2, "[0-9a-f]+", "length(whole) >= 32")}),
 runs AS ({_found("entropy", 3, _RUN, "true")}),
-apart AS (SELECT * FROM runs c WHERE NOT EXISTS (FROM base b WHERE b.r = c.r AND b.start < c.stop AND c.start < b.stop)
-  AND NOT regexp_matches(value, '(?i)^[0-9a-f]{{8}}(-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}}$|example|sample|dummy|placeholder|abcdefgh|01234567')
-  AND len(list_filter(range(1, length(value) - 4), lambda i: lower(substr(value, i, 6)) = repeat(lower(substr(value, i, 1)), 6))) = 0),
+gaps AS (SELECT r, start AS run, unnest(range(1, len(g) + 1)) AS k, unnest(g) AS value, unnest(list_concat(m, [''])) AS allowed FROM (
+  SELECT r, start, regexp_split_to_array(value, '{_ALLOWED}') AS g, regexp_extract_all(value, '{_ALLOWED}') AS m FROM runs)),
+parts AS (SELECT r, value, stop - length(value) AS start, stop FROM (
+  SELECT r, value, run + sum(length(value) + length(allowed)) OVER (PARTITION BY r, run ORDER BY k) - length(allowed) AS stop FROM gaps) WHERE length(value) >= 20),
+apart AS (SELECT * FROM parts c WHERE NOT EXISTS (FROM base b WHERE b.r = c.r AND b.start < c.stop AND c.start < b.stop)),
 candidates AS (
   SELECT *, 3.0 AS bits FROM apart WHERE regexp_full_match(value, '[0-9a-fA-F]+') AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-fA-F]')
   UNION ALL SELECT *, 3.9 AS bits FROM apart WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]')),

@@ -1,6 +1,7 @@
 import json
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -145,7 +146,32 @@ def test_secrets(spark, odd):
         rows = got.collect()
         same([(r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in rows], [(i, *brute.secrets(t)) for i, t in texts_of(df)])
     rows = {r.doc_id: r.spans for r in secrets.secret_scan(frame(spark, more)).collect()}
-    assert rows[53].startswith("entropy:") and rows[54].startswith("assign:0:47") and not rows[55] and not rows[56]
+    assert rows[53].startswith("entropy:") and rows[54].startswith("assign:0:47") and not rows[55]
+    # the allow list takes the windows that overlap "Example", not those after it
+    assert [int(x) - 3 for x in rows[56].split(":")[1:]] == [int(x) for x in rows[53].split(":")[1:]]
+
+
+def test_secrets_beside_what_is_allowed(spark):
+    rng = random.Random(9)
+    key = lambda n: "".join(rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789+/", k=n))
+    one, two = "A1b" + key(40), "B2c" + key(40)
+    texts = [f"{one}example{two}", one + "======" + two, "123e4567-e89b-12d3-a456-426614174000", f"{one} token=abcdefghijk {two}"]
+    rows = {r.doc_id: r.spans for r in secrets.secret_scan(frame(spark, [(k, t, "s") for k, t in enumerate(texts)])).collect()}
+    assert rows[0] == "entropy:0:43,entropy:50:93" and rows[1] == "entropy:0:43,entropy:49:92" and rows[2] == ""
+    assert rows[3] == "entropy:0:43,assign:44:61,entropy:62:105"
+    with pytest.raises(ValueError):
+        secrets.with_spans(frame(spark, []).withColumn("base_spans", F.lit(1)))
+
+
+def test_secrets_in_long_texts(spark):
+    """A candidate of 200,000 characters, and tens of thousands of matches in one text."""
+    rng = random.Random(10)
+    key = lambda n: "".join(rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789+/", k=n))
+    texts = ["A1b" + key(200_000), "token=abcdefgh1 " * 20_000, " ".join("A1b" + key(30) for _ in range(5_000)), "a" * 300_000]
+    rows = {r.doc_id: r for r in secrets.secret_scan(frame(spark, [(k, t, "s") for k, t in enumerate(texts)])).collect()}
+    assert rows[0].spans == "entropy:0:200003" and rows[1].n_assign == 20_000 and rows[3].n_hex == 1
+    assert 4_800 < rows[2].spans.count("entropy") <= 5_000  # a few keys repeat characters
+    assert secrets.redact(frame(spark, [(1, texts[1], "s")])).first().text == "[SECRET] " * 20_000
 
 
 def test_redaction(spark, odd):
@@ -157,10 +183,10 @@ def test_redaction(spark, odd):
 
 def test_window_entropy_by_counts_equals_the_definition(spark):
     rng = random.Random(4)
-    alphabet, _, bits = secrets.CLASSES["base64"]
+    alphabet, bits = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", secrets.CLASSES["base64"]
     values = ["".join(rng.choice(alphabet[: rng.choice((8, 16, 64))]) for _ in range(rng.randrange(20, 60))) for _ in range(40)]
     df = spark.createDataFrame([(v,) for v in values], "v string")
-    got = {r.v: (r.d.first, r.d.last) for r in df.select("v", secrets._dense(F.col("v"), alphabet, bits).alias("d")).collect()}
+    got = {r.v: (r.d.first, r.d.last) for r in df.select("v", secrets._dense(F.col("v"), bits).alias("d")).collect()}
     for v in values:
         w = secrets.WINDOW
         h = [-sum(c / w * math.log2(c / w) for c in np.unique(list(v[i : i + w]), return_counts=True)[1]) for i in range(len(v) - w + 1)]
@@ -197,6 +223,18 @@ def test_packing(spark, odd):
     assert packing.packing(frame(spark, [])).count() == 0
 
 
+def test_texts_are_encoded_as_by_the_vocabularys_file():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t, encode, rng = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), tokens.encoder(), random.Random(12)
+    pick = lambda alphabet, n: "".join(rng.choices(alphabet, k=n))
+    texts = [" " * 1_000_000, "\n" * 1_000_000, "a" * 300_000, pick("ab c\n1.'s", 300_000), pick("日本語", 100_000), pick(" \n\t\u3000\xa0\x1c", 200_000), pick("ab \n", 90_000) + "<|endoftext|>" + pick("ab \n", 90_000)]
+    texts += [(" " * 65_000 + "x") * 3, "1234567890" * 9_000, pick("!?#.'s ", 200_000)]
+    for text in texts:
+        assert np.array_equal(encode(text), t.encode(text, add_special_tokens=False).ids)
+
+
 def test_groups_exchange_what_they_could_not_certify(spark):
     rng = np.random.default_rng(6)
     lengths = rng.integers(1, 700, 3000)
@@ -254,6 +292,27 @@ def test_archives(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_archives_of_blocks_that_end_in_a_line_end(spark, tmp_path, monkeypatch):
+    """Each record in a file of its own, segments of all sizes around the chunks' ends, pages of carriage returns and line feeds."""
+    monkeypatch.setattr(warc, "FILE_RECORDS", 1)
+    pages = spark.createDataFrame([(1, "u", "<p>line\r\n</p>\r\n" * 30), (2, "u", "\r\n" * 150), (3, "u", "\n\r\r\n" * 80)], "page_id bigint, url string, html string").coalesce(1)
+    for segment in (*range(200, 216), 250, 301, 399):
+        folder = f"file://{tmp_path}/{segment}"
+        warc.write_archives(pages, folder, segment=segment)
+        assert {r.page_id: bytes(r.payload).decode() for r in warc.read_archives(spark, folder, payloads=True).collect()} == {r.page_id: r.html for r in pages.collect()}
+
+
+def test_records_are_parsed_whatever_the_pieces():
+    block = b"HTTP/1.1 200 OK\r\n\r\nbody\r\n"
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n%b" % (len(block), block)
+    data = (record + warc.SEPARATOR) * 3
+    for size in (1, 7, 1000):
+        got = list(warc.parse(data[k : k + size] for k in range(0, len(data), size)))
+        assert [b for _, b in got] == [block] * 3
+    with pytest.raises(ValueError):
+        list(warc.parse([data[:-8]]))
+
+
 def test_archives_give_the_payloads_back(spark, tmp_path):
     df = table(spark, SF, "pages")
     folder = f"file://{tmp_path}/w"
@@ -306,6 +365,20 @@ def test_main_text_after_unclosed_elements(lead):
     assert main_text.main_text("<head>left out</head><p>Words stay, and there are some.</p>") == "Words stay, and there are some."
 
 
+@pytest.mark.parametrize("unit", ["<a ", "<p a='x ", "<div>x", "<p class=nav>y <p>z", "<a<b", "<div>x</b></p></section>", "<title>", "<!--", "&#99999999999", "<", "<select>x", "<p>Some words, and more of them, in a block.<li>x"])
+def test_main_text_takes_pages_of_a_megabyte(unit):
+    began = time.monotonic()
+    main_text.main_text(unit * (1_000_000 // len(unit)))
+    assert time.monotonic() - began < 20  # seconds; what isn't linear takes hours
+
+
+def test_main_text_keeps_formulas_and_odd_tags():
+    assert main_text.main_text("<p>We see that <math><mi>x</mi></math> equals a long value, and it stays.</p>") == "We see that x equals a long value, and it stays."
+    assert main_text.main_text("<p title=it's>Words that are kept, since they're <b a='1>2'>good</b> ones.</p>") == "Words that are kept, since they're good ones."
+    assert main_text.main_text("<p>Here 1 < 2 and, so they say, 3 <4 as well.</p>") == "Here 1 < 2 and, so they say, 3 <4 as well."
+    assert main_text.main_text(f"<p>A number &#{'9' * 6000}; of thousands of digits is here.</p>") == "A number \ufffd of thousands of digits is here."
+
+
 def test_minimum_cuts_cost_as_little_as_any_labelling():
     rng = random.Random(8)
     for _ in range(200):
