@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +35,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Folders made by this process and not yet deleted.
+_folders: list[str] = []
+
+
 def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    _folders.append(f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}")
+    return _folders[-1]
+
+
+def made() -> int:
+    """How many folders there are, for release."""
+    return len(_folders)
+
+
+def release(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
+    """Delete the folders made from the since-th to the until-th. Results that read them must have been written before."""
+    context = spark.sparkContext
+    for folder in _folders[since:until]:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    del _folders[since:until]
 
 
 def staged(df: DataFrame, what: str) -> DataFrame:
@@ -43,7 +66,10 @@ def staged(df: DataFrame, what: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows that one Arrow batch brings to a Python worker; texts may be long."""
+    """Bound the rows that one Arrow batch brings to a Python worker, for the session.
+
+    Its bytes are bounded by spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless set: a longer text comes alone.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
@@ -62,3 +88,71 @@ def joined_by_id(docs: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """docs with the columns of known, rows of a number or two by id. Texts are only shuffled when known is too long to broadcast."""
     few = known.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
     return docs.join(F.broadcast(known) if few else known, key)
+
+
+#: For beside_texts: fewest chunks into which texts are dealt, and about how many bytes of text a chunk has beyond that.
+CHUNKS, CHUNK_BYTES = 64, 32 << 20
+#: Pairs of chunk and key that a task gathers before it hands them on.
+GATHERED = 1_000_000
+
+
+def beside_texts(
+    docs: DataFrame, id_col: str, text_col: str, keys_of: Callable[[list[str | None]], Any], key_type: str, look_up: Callable[[DataFrame], DataFrame],
+    value: str, value_type: str, prepare: Callable[[dict], Any], finish: Callable[[list[str | None], Any], list], added: str,
+) -> DataFrame:
+    """docs with columns that depend on the texts and on values looked up by key, for tables too long to broadcast.
+
+    Texts are dealt into chunks by hash. Each chunk's different keys are looked up by a join: look_up takes (chunk, key)
+    and returns it with value. They come to the task that has the chunk before its texts do; there prepare makes of them
+    what finish needs beside the texts. A task holds the keys of one chunk, however long the table is.
+    """
+    text = F.col(text_col).cast("string")
+    chunks = int(max(CHUNKS, (docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // CHUNK_BYTES))
+    dealt = docs.select(F.pmod(F.xxhash64(id_col, text), F.lit(chunks)).alias("chunk"), text.alias("text"), F.struct("*").alias("row"))
+    names, at, made_names = docs.columns, docs.columns.index(text_col), [part.split()[0].strip("`") for part in added.split(", ")]
+    arrow = {"string": pa.string(), "bigint": pa.int64()}[key_type]
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: dict[int, set] = {}
+
+        def gathered() -> pa.RecordBatch:
+            of = np.repeat(np.fromiter(keys, np.int64, len(keys)), [len(x) for x in keys.values()])
+            return pa.RecordBatch.from_arrays([pa.array(of), pa.array([x for own in keys.values() for x in own], arrow)], ["chunk", "key"])
+
+        for batch in batches:
+            chunk, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for c in np.unique(chunk).tolist():
+                keys.setdefault(c, set()).update(keys_of([texts[k] for k in np.flatnonzero(chunk == c)]))
+            if sum(map(len, keys.values())) > GATHERED:
+                yield gathered()
+                keys.clear()
+        if keys:
+            yield gathered()
+
+    by_chunk = staged(dealt.select("chunk", "text").mapInArrow(gather, f"chunk bigint, key {key_type}").distinct(), "keys")
+    none = lambda kind: F.lit(None).cast(kind)
+    both = look_up(by_chunk).select("chunk", F.lit(False).alias("is_text"), "key", F.col(value).alias("value"), none(dealt.schema["row"].dataType).alias("row")).unionByName(
+        dealt.select("chunk", F.lit(True).alias("is_text"), none(key_type).alias("key"), none(value_type).alias("value"), "row")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, known, ready = None, {}, None
+        for batch in batches:
+            chunk, is_text = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((chunk[1:] != chunk[:-1]) | (is_text[1:] != is_text[:-1])) + 1).tolist(), len(chunk)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if chunk[a] != current:
+                    current, known, ready = chunk[a], {}, None
+                own = batch.slice(a, b - a)
+                if is_text[a]:
+                    if ready is None:
+                        ready = prepare(known)
+                    columns = own.column(4).flatten()
+                    yield pa.RecordBatch.from_arrays([*columns, *finish(columns[at].to_pylist(), ready)], [*names, *made_names])
+                else:
+                    known.update(zip(own.column(2).to_pylist(), own.column(3).to_pylist()))
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), added])
+    return both.repartition(chunks, "chunk").sortWithinPartitions("chunk", "is_text").mapInArrow(run, schema)

@@ -2,132 +2,193 @@
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwatch.llm.common import held_out, joined_by_id, small_batches
+from driftwatch.llm.common import beside_texts, held_out, joined_by_id, small_batches, staged
 
-#: Numbers of a word vector, rows of the table of contexts, words beside a word that count as its context.
-DIMENSIONS, ROWS, CONTEXT = 32, 1 << 13, 2
-#: Labelled rows that vectors and network are fitted to, and parts into which that sample is dealt.
+#: Numbers of a word vector, words beside a word that count as its context, how many numbers of an index vector aren't zero.
+DIMENSIONS, CONTEXT, NONZERO = 32, 2, 6
+#: How often a word must stand in all documents together to have a context vector of its own. Its parts describe a rarer one.
+MIN_COUNT = 64
+#: Words with context vectors that may be broadcast, some 80 MB; with more, the texts' words are joined to them.
+SMALL_VOCABULARY = 2_000_000
+#: Labelled rows that the network is fitted to, and parts into which that sample is dealt.
 SAMPLE_ROWS, SAMPLE_PARTS = 20_000, 16
 #: Share of the sample kept from the network to calibrate its probabilities: one in so many.
 CALIBRATE_PART = 5
 #: Hidden units, passes over the sample, rows of a step, rate of learning, weight decay.
 HIDDEN, EPOCHS, STEP, RATE, DECAY = 32, 40, 128, 3e-3, 1e-4
-#: Words whose vectors a worker keeps; words pooled at a time.
-CACHE, BLOCK = 400_000, 8_192
-#: The seed of index vectors, and how many of their numbers aren't zero.
-SEED, NONZERO = 17, 6
-#: Numbers that describe a text, see Vectors.pooled.
+#: Words whose vectors a worker keeps; words of the texts pooled together; words whose vectors are laid out at a time;
+#: different words, or context vectors, that a task gathers before it hands them on.
+CACHE, GROUP, BLOCK, GATHERED, GATHERED_VECTORS = 400_000, 1 << 18, 1 << 15, 1_000_000, 250_000
+#: The seed of the network's start and of the order of its sample.
+SEED = 17
+#: Numbers that describe a text, see pooled.
 FEATURES = 4 * DIMENSIONS + 4
 
-_WORDS = re.compile(r"\S+")
+_KINDS = np.zeros(0x110000, np.uint64)  # by code point; 0: not met yet
 
 
-def _hash(part: str) -> int:
-    return zlib.crc32(part.encode("utf-8", "replace"), SEED)
+def grouped(texts: list[str | None]) -> Iterator[tuple[int, list[str], np.ndarray, np.ndarray]]:
+    """Texts in groups of some GROUP words: the first text's place, the different words, each word by its number among these, and words by text."""
+    words, lengths, first = [], [], 0
+    for k, text in enumerate(texts):
+        own = text.split() if text else []
+        words += own
+        lengths.append(len(own))
+        if len(words) >= GROUP or k == len(texts) - 1:
+            coded = pa.array(words, pa.string()).dictionary_encode()
+            yield first, coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.array(lengths)
+            words, lengths, first = [], [], k + 1
 
 
-def _index_table() -> np.ndarray:
-    """Sparse index vectors of plus and minus ones, by row of the table that parts of words are hashed to."""
-    rng = np.random.default_rng(SEED)
-    table = np.zeros((ROWS, DIMENSIONS), np.float32)
-    for k in range(NONZERO):
-        table[np.arange(ROWS), rng.integers(0, DIMENSIONS, ROWS)] = 1.0 if k % 2 else -1.0
-    return table
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(30))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _ordered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of values."""
+    at = np.arange(len(values)) - np.repeat(starts, lengths)
+    return _mixed(np.add.reduceat(_mixed(values + (at.astype(np.uint64) << np.uint64(32))), starts))
+
+
+def _marked(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of the words between marks, where each word starts, and its length."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    cp = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
+    return cp, np.cumsum(lengths) - lengths, lengths
+
+
+def hashes_of(words: list[str]) -> np.ndarray:
+    return _ordered(*_marked(words)) if words else np.zeros(0, np.uint64)
+
 
+def _kinds(cp: np.ndarray) -> np.ndarray:
+    """Kinds of characters: 1 upper case, 2 other letters, 3 digits; others are each their own."""
+    for c in np.unique(cp[_KINDS[cp] == 0]).tolist():
+        x = chr(c)
+        _KINDS[c] = 1 if x.isupper() else 2 if x.isalpha() else 3 if x.isdigit() else c + 4
+    return _KINDS[cp]
 
-def _shape(word: str) -> str:
-    """The word with runs of kinds of characters in place of characters: A upper case, a lower case, 0 digits, others as they are."""
-    if word.isalpha():
-        return "a" if word.islower() else "Aa" if word.istitle() else "A" if word.isupper() else "aA"
-    kinds = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64]]
-    return "".join(c for k, c in enumerate(kinds) if not k or c != kinds[k - 1])
 
+def _index_vectors(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Sums by owner of sparse vectors: NONZERO places drawn from each hash hold plus and minus one in turn."""
+    places = [owner * DIMENSIONS + (hashes >> np.uint64(5 * k)).astype(np.int64) % DIMENSIONS for k in range(NONZERO)]
+    plus, minus = (np.bincount(np.concatenate(places[k::2]), minlength=n * DIMENSIONS) for k in (0, 1))
+    return (plus - minus).astype(np.float32).reshape(n, DIMENSIONS)
 
-@lru_cache(1 << 16)
-def _row(part: str) -> int:
-    return _hash(part) % ROWS
 
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-6)
 
-def _parts(word: str) -> list[int]:
-    """Rows of the table that a word's index vector is summed from: its shape, its characters in threes, itself."""
-    marked = f"<{word[:64]}>"
-    return [_row("s" + _shape(word)), *map(_row, map("".join, zip(marked, marked[1:], marked[2:]))), _hash("w" + word) % ROWS]
+
+def part_vectors(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word its hash, and the sum of the index vectors of its parts, at unit length: its characters in threes, its
+    shape (runs of kinds of characters), itself."""
+    cp, starts, lengths = _marked(words)
+    n = len(words)
+    own = _ordered(cp, starts, lengths)
+    owner = np.repeat(np.arange(n), lengths)
+    last = np.ones(len(cp), bool)
+    last[starts + lengths - 1] = last[starts + lengths - 2] = False
+    at = np.flatnonzero(last)
+    threes = _mixed(cp[at] | cp[at + 1] << np.uint64(21) | cp[at + 2] << np.uint64(42))
+    kinds = _kinds(cp)
+    runs = np.flatnonzero(np.r_[True, (kinds[1:] != kinds[:-1]) | (owner[1:] != owner[:-1])])
+    sizes = np.bincount(owner[runs], minlength=n)
+    shapes = _ordered(kinds[runs] | np.uint64(1 << 40), np.cumsum(sizes) - sizes, sizes)
+    hashes = np.concatenate([threes, shapes, own])
+    return own, _unit(_index_vectors(hashes, np.concatenate([owner[at], np.arange(n), np.arange(n)]), n))
+
+
+@dataclass
+class Contexts:
+    """Context vectors by word: sorted 64-bit hashes, and vectors of unit length as multiples of 1/127."""
+
+    keys: np.ndarray
+    vectors: np.ndarray
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(hashes), DIMENSIONS), np.float32)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+            found = self.keys[at] == hashes
+            out[found] = self.vectors[at[found]].astype(np.float32) / 127
+        return out
 
 
 class Vectors:
-    """Word vectors: an index vector made of hashed parts of the word, beside the sum of the index vectors that stood around words of its row."""
+    """Word vectors: what a word's parts say, and its context vector if it has one. A worker keeps CACHE of them."""
 
-    def __init__(self, contexts: np.ndarray | None = None):
-        self.index = _index_table()
+    def __init__(self, contexts: Contexts):
         self.contexts = contexts
         self.slots: dict[str, int] = {}
-        self.rows = np.zeros((CACHE, DIMENSIONS), np.float32)
-        self.own = np.zeros(CACHE, np.int64)
+        self.rows = np.zeros((0, DIMENSIONS), np.float32)
 
     def of(self, words: list[str]) -> np.ndarray:
-        """Of each word, the place in rows of its vector, which has unit length, and in own of its row in the table of contexts."""
-        new = [w for w in dict.fromkeys(words) if w not in self.slots]
+        new = [w for w in words if w not in self.slots]
         if len(self.slots) + len(new) > CACHE:
-            self.slots.clear()
-            new = list(dict.fromkeys(words))
+            self.slots, self.rows, new = {}, self.rows[:0], words
         if new:
-            parts = [_parts(w) for w in new]
-            starts = np.cumsum([0] + [len(p) for p in parts[:-1]])
-            v = np.add.reduceat(self.index[np.fromiter(chain.from_iterable(parts), np.int64)], starts, axis=0)
-            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-6)
-            own = np.array([p[-1] for p in parts])
-            if self.contexts is not None:
-                v = v + self.contexts[own]
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-6)
-            at = len(self.slots)
-            self.rows[at : at + len(new)], self.own[at : at + len(new)] = v, own
-            self.slots.update(zip(new, range(at, at + len(new))))
-        return np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
-
-    def pooled(self, text: str | None) -> np.ndarray:
-        """A text's numbers: mean and spread of its word vectors, mean over different words, mean product with the next
-        word's vector, share of different words, likeness of neighbours, log of the length, share of repeated lines."""
-        words = _WORDS.findall(text or "")
-        out = np.zeros(FEATURES)
-        if not words:
-            return out
-        total, square, product, near, last = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS), np.zeros(DIMENSIONS), 0.0, None
-        once, different = np.zeros(DIMENSIONS), set()
-        for a in range(0, len(words), BLOCK):
-            part = words[a : a + BLOCK]
-            v = self.rows[self.of(part)]
-            total += v.sum(0)
-            square += np.einsum("ij,ij->j", v, v)
-            fresh = [w for w in dict.fromkeys(part) if w not in different]
-            once += self.rows[self.of(fresh)].sum(0)
-            different.update(fresh)
-            joined = v if last is None else np.concatenate([last, v])
-            pairs = np.einsum("ij,ij->j", joined[1:], joined[:-1])
-            product += pairs
-            near += float(pairs.sum())
-            last = v[-1:]
-        n = len(words)
-        mean = total / n
-        lines = [x for x in (text or "").split("\n") if x.strip()]
-        out[:] = np.concatenate([mean, np.sqrt(np.maximum(square / n - mean * mean, 0)), once / len(different), product / n, [len(different) / n, near / n, np.log1p(n) / 8, 1 - len(set(lines)) / len(lines)]])
-        return out
+            hashes, v = part_vectors(new)
+            self.slots.update(zip(new, range(len(self.slots), len(self.slots) + len(new))))
+            self.rows = np.concatenate([self.rows[: len(self.slots) - len(new)], _unit(v + self.contexts.of(hashes))])
+        return self.rows[np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))]
+
+
+def _by_text(out: np.ndarray, doc: np.ndarray, rows: np.ndarray) -> None:
+    """Add rows, those of a text side by side, to the text's."""
+    starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+    out[doc[starts]] += np.add.reduceat(rows, starts, axis=0, dtype=np.float64)
+
+
+def pooled(texts: list[str | None], vectors: Vectors) -> np.ndarray:
+    """A text's numbers: mean and spread of its word vectors, mean over different words, mean product with the next
+    word's vector, share of different words, likeness of neighbours, log of the length, share of repeated lines."""
+    out = np.zeros((len(texts), FEATURES))
+    for first, words, codes, lengths in grouped(texts):
+        if not len(codes):
+            continue
+        own, n = vectors.of(words), len(lengths)
+        doc = np.repeat(np.arange(n), lengths)
+        total, square, product, once = (np.zeros((n, DIMENSIONS)) for _ in range(4))
+        for a in range(0, len(codes), BLOCK):
+            here = slice(a, a + BLOCK)
+            v = own[codes[here]]
+            _by_text(total, doc[here], v)
+            _by_text(square, doc[here], v * v)
+            before = np.concatenate([own[codes[a - 1 : a]] if a else v[:1], v[:-1]])
+            same = doc[here] == np.concatenate([doc[a - 1 : a] if a else [-1], doc[here][:-1]])
+            _by_text(product, doc[here], v * before * same[:, None])
+        different = np.unique(doc * len(words) + codes)
+        for a in range(0, len(different), BLOCK):
+            part = different[a : a + BLOCK]
+            _by_text(once, part // len(words), own[part % len(words)])
+        size = np.maximum(lengths, 1)[:, None]
+        kinds = np.bincount(different // len(words), minlength=n)
+        mean = total / size
+        rest = np.column_stack([kinds / size[:, 0], product.sum(1) / size[:, 0], np.log1p(lengths) / 8, np.zeros(n)])
+        numbers = np.concatenate([mean, np.sqrt(np.maximum(square / size - mean * mean, 0)), once / np.maximum(kinds, 1)[:, None], product / size, rest], axis=1)
+        for k in np.flatnonzero(lengths):
+            lines = [x for x in texts[first + k].split("\n") if x.strip()]
+            numbers[k, -1] = 1 - len(set(lines)) / len(lines)
+        out[first : first + n] = numbers
+    return out
 
 
 @dataclass
 class Classifier:
-    contexts: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
     layers: list[np.ndarray]
@@ -142,12 +203,12 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -30, 30)))
 
 
-def train(x: np.ndarray, y: np.ndarray, contexts: np.ndarray) -> Classifier:
+def train(x: np.ndarray, y: np.ndarray) -> Classifier:
     """The network on most rows, by Adam; its temperature on one row in CALIBRATE_PART. With one class alone, its share decides."""
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-4)
     rng = np.random.default_rng(SEED)
     layers = [rng.normal(0, np.sqrt(2 / FEATURES), (FEATURES, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, np.sqrt(1 / HIDDEN), HIDDEN), np.zeros(())]
-    model = Classifier(contexts, mean, scale, layers)
+    model = Classifier(mean, scale, layers)
     if not 0 < y.sum() < len(y):
         model.layers[2], model.layers[3] = np.zeros(HIDDEN), np.array(5.0 if y.sum() else -5.0)
         return model
@@ -177,80 +238,232 @@ def train(x: np.ndarray, y: np.ndarray, contexts: np.ndarray) -> Classifier:
     return model
 
 
-def _contexts(sample: DataFrame) -> np.ndarray:
-    """For each row of the table, the sum of the index vectors of words beside words of that row, at unit length.
+def _summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys and the sums of their values."""
+    key = np.concatenate(keys)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return key[starts], np.add.reduceat(np.concatenate(values)[order], starts, axis=0) if len(key) else np.concatenate(values)
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """From (text) to (key, n): the hash of each word and how often it stands in all texts."""
 
-    A task's sums are a table of fixed size, and there are SAMPLE_PARTS tasks.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, held = [], [], 0
+
+        def summed() -> pa.RecordBatch:
+            key, n = _summed(keys, counts)
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
+
+        for batch in batches:
+            for _, words, codes, _ in grouped(batch.column(0).to_pylist()):
+                keys.append(hashes_of(words))
+                counts.append(np.bincount(codes, minlength=len(words)).astype(np.int64))
+                held += len(words)
+                if held > GATHERED:
+                    own = _summed(keys, counts)
+                    keys, counts, held = [own[0]], [own[1]], len(own[0])
+                    if held > GATHERED // 2:
+                        yield summed()
+                        keys, counts, held = [], [], 0
+        if keys:
+            yield summed()
+
+    return texts.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def _around(codes: np.ndarray, doc: np.ndarray, index: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the words that are wanted, those that occur and the sums of the index vectors up to CONTEXT words beside them, in the same text."""
+    out, met = np.zeros((len(index), DIMENSIONS), np.int32), np.zeros(len(index), bool)
+    for a in range(0, len(codes), BLOCK):
+        at = a + np.flatnonzero(wanted[codes[a : a + BLOCK]])
+        if not len(at):
+            continue
+        v = np.zeros((len(at), DIMENSIONS), np.int32)
+        for d in (*range(-CONTEXT, 0), *range(1, CONTEXT + 1)):
+            beside = np.clip(at + d, 0, len(codes) - 1)
+            v += index[codes[beside]] * ((doc[beside] == doc[at]) & (beside == at + d))[:, None]
+        word, sums = _summed([codes[at]], [v])
+        out[word] += sums
+        met[word] = True
+    own = np.flatnonzero(met)
+    return own, out[own]
+
+
+def context_vectors(texts: DataFrame, min_count: int) -> DataFrame:
+    """From (text) to (key, vector): for each word that stands min_count times or more in all texts, the sum of the index
+    vectors of the words up to CONTEXT places beside it, over all texts; as DIMENSIONS whole numbers in bytes, little-endian.
+
+    Words are counted first, so that what tasks hand on is one row a frequent word. A task's table of wanted words is
+    broadcast up to SMALL_VOCABULARY; beyond, all words' sums are handed on and the rare ones left out afterwards.
     """
+    spark = texts.sparkSession
+    frequent = staged(word_counts(texts).where(F.col("n") >= min_count).select("key"), "frequent-words")
+    few = frequent.count() <= SMALL_VOCABULARY
+    shared = spark.sparkContext.broadcast(np.sort(frequent.toArrow().column("key").to_numpy().view(np.uint64))) if few else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, sums = Vectors(), np.zeros((ROWS, DIMENSIONS), np.float32)
+        keys, sums, held = [], [], 0
+
+        def summed() -> pa.RecordBatch:
+            key, v = _summed(keys, sums)
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), _as_bytes(v)], ["key", "vector"])
+
         for batch in batches:
-            for text in batch.column(1).to_pylist():
-                words = _WORDS.findall(text or "")
-                for a in range(0, len(words), BLOCK):
-                    part = words[a : a + BLOCK]
-                    at = vectors.of(part)
-                    v = vectors.rows[at]
-                    around = np.zeros_like(v)
-                    for d in range(1, CONTEXT + 1):
-                        around[d:] += v[:-d]
-                        around[:-d] += v[d:]
-                    np.add.at(sums, vectors.own[at], around)
-        yield pa.RecordBatch.from_arrays([pa.array([sums.astype(np.float32).tobytes()], pa.binary())], ["sums"])
-
-    total = np.zeros((ROWS, DIMENSIONS), np.float64)
-    for row in sample.mapInArrow(run, "sums binary").toArrow().column("sums").to_pylist():
-        total += np.frombuffer(row, np.float32).reshape(ROWS, DIMENSIONS)
-    total -= total.mean(0)
-    return (total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-6)).astype(np.float32)
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Classifier:
-    """A classifier from about sample_rows labelled rows, chosen by hash from those that are not held out; all of them if fewer.
+            for _, words, codes, lengths in grouped(batch.column(0).to_pylist()):
+                own = hashes_of(words)
+                wanted = np.ones(len(words), bool) if shared is None else _member(own, shared.value)
+                index = _index_vectors(own, np.arange(len(words)), len(words)).astype(np.int32)
+                met, v = _around(codes, np.repeat(np.arange(len(lengths)), lengths), index, wanted)
+                keys.append(own[met])
+                sums.append(v)
+                held += len(met)
+                if held > GATHERED_VECTORS:
+                    got = _summed(keys, sums)
+                    keys, sums, held = [got[0]], [got[1]], len(got[0])
+                    if held > GATHERED_VECTORS // 2:
+                        yield summed()
+                        keys, sums, held = [], [], 0
+        if keys:
+            yield summed()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums by key of rows that come sorted by it."""
+        rest: tuple[np.ndarray, np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, v = batch.column(0).to_numpy(), _from_bytes(batch.column(1))
+            if rest is not None:
+                key, v = np.concatenate([rest[0], key]), np.concatenate([rest[1], v])
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            key, v = key[starts], np.add.reduceat(v, starts, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(key[:-1]), _as_bytes(v[:-1])], ["key", "vector"])
+            rest = key[-1:], v[-1:]
+        if rest is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(rest[0]), _as_bytes(rest[1])], ["key", "vector"])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sums = texts.mapInArrow(run, "key bigint, vector binary").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(add, "key bigint, vector binary")
+    return sums if few else sums.join(frequent, "key")
+
+
+def _member(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x if len(keys) else np.zeros(len(x), bool)
+
+
+def _as_bytes(v: np.ndarray) -> pa.Array:
+    """Rows of whole numbers as binary values."""
+    data, width = np.ascontiguousarray(v, "<i8").tobytes(), DIMENSIONS * 8
+    return pa.Array.from_buffers(pa.binary(), len(v), [None, pa.py_buffer((np.arange(len(v) + 1) * width).astype("<i4").tobytes()), pa.py_buffer(data)])
+
+
+def _from_bytes(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<i8").reshape(-1, DIMENSIONS)
+
+
+@dataclass
+class Corpus:
+    """Context vectors of all documents' words: broadcast, or as a table (key, vector) if there are more than SMALL_VOCABULARY."""
+
+    shared: Broadcast | None = None
+    table: DataFrame | None = None
+
+
+def _as_contexts(known: dict[int, bytes]) -> Contexts:
+    keys = np.fromiter(known, np.int64, len(known)).view(np.uint64)
+    order = np.argsort(keys)
+    return Contexts(keys[order], np.frombuffer(b"".join(known.values()), np.int8).reshape(-1, DIMENSIONS)[order])
+
+
+def contexts_of(texts: DataFrame, min_count: int | None = None) -> Corpus:
+    """Context vectors less their mean, at unit length, of a (text) table's words; every row of it counts."""
+    sums = staged(context_vectors(texts, min_count or MIN_COUNT), "contexts")
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, v = 0, np.zeros(DIMENSIONS)
+        for batch in batches:
+            n += batch.num_rows
+            v += _from_bytes(batch.column(1)).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([v.tobytes()], pa.binary())], ["n", "v"])
+
+    parts = sums.mapInArrow(total, "n bigint, v binary").toArrow()  # one short row a task
+    n = sum(parts.column("n").to_pylist())
+    mean = sum(np.frombuffer(v) for v in parts.column("v").to_pylist()) / max(1, n) if n else np.zeros(DIMENSIONS)
+
+    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = np.rint(_unit(_from_bytes(batch.column(1)) - mean) * 127).astype(np.int8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in v], pa.binary())], ["key", "vector"])
+
+    table = sums.mapInArrow(unit, "key bigint, vector binary")
+    if n > SMALL_VOCABULARY:
+        return Corpus(table=staged(table, "context-vectors"))
+    got = table.toArrow()
+    return Corpus(shared=texts.sparkSession.sparkContext.broadcast(_as_contexts(dict(zip(got.column("key").to_pylist(), got.column("vector").to_pylist())))))
+
+
+def _numbered(docs: DataFrame, corpus: Corpus, id_col: str, text_col: str, finish: Callable[[np.ndarray], list[pa.Array]], added: str) -> DataFrame:
+    """docs with the columns that finish makes of their texts' numbers."""
+    at, names, shared = docs.columns.index(text_col), docs.columns, corpus.shared
+    made = [part.split()[0] for part in added.split(", ")]
+    if shared is None:
+        numbers = lambda texts, vectors: finish(pooled(texts, vectors))
+        keys = lambda texts: hashes_of(list({w for t in texts for w in (t or "").split()})).view(np.int64).tolist()
+        return beside_texts(docs, id_col, text_col, keys, "bigint", lambda x: x.join(corpus.table, "key"), "vector", "binary", lambda known: Vectors(_as_contexts(known)), numbers, added)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), added])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors = Vectors(shared.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *finish(pooled(batch.column(at).to_pylist(), vectors))], [*names, *made])
+
+    return docs.mapInArrow(run, schema)
+
+
+@dataclass
+class Model:
+    corpus: Corpus
+    classifier: Classifier
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:
+    """Word vectors from all of docs, and a network from about sample_rows labelled rows, chosen by hash from those that
+    are not held out; all of them if fewer.
 
     A null label is none; of conflicting labels of one id the largest counts.
     """
     spark = docs.sparkSession
     small_batches(spark)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
+    corpus = contexts_of(rows.select("text"))
     known = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col, 4, 2)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("y"))
     share = min(1.0, sample_rows / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = joined_by_id(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")), chosen, "_id")
-    sample = rows.select("y", "text", F.pmod(F.xxhash64("_id", F.lit(4)), F.lit(SAMPLE_PARTS)).alias("p"), "_id").repartition(SAMPLE_PARTS, "p").sortWithinPartitions("_id", "text").select("y", "text")
-    contexts = _contexts(sample)
-    shared = spark.sparkContext.broadcast(contexts)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors = Vectors(shared.value)
-        for batch in batches:
-            x = [vectors.pooled(t).astype(np.float32).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], ["y", "x"])
-
-    got = sample.mapInArrow(run, "y int, x binary").toArrow()
+    sample = staged(joined_by_id(rows, chosen, "_id").select("_id", "y", "text"), "quality-sample").repartition(SAMPLE_PARTS)
+    as_bytes = lambda x: [pa.array([row.astype(np.float32).tobytes() for row in x], pa.binary())]
+    got = _numbered(sample, corpus, "_id", "text", as_bytes, "x binary").select("y", "x").toArrow()
     y = got.column("y").to_numpy().astype(float)
     x = np.array([np.frombuffer(b, np.float32) for b in got.column("x").to_pylist()], float).reshape(-1, FEATURES)
-    order = np.lexsort((*x.T[:2], y))  # whatever the order in which tasks end
+    if not len(y):
+        empty = [np.zeros((FEATURES, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), np.zeros(())]
+        return Model(corpus, Classifier(np.zeros(FEATURES), np.ones(FEATURES), empty))
+    order = np.lexsort((*np.round(x.T[:3], 4), y))  # whatever the order in which tasks end
     mixed = np.random.default_rng(SEED).permutation(len(order))
-    return train(x[order][mixed], y[order][mixed], contexts) if len(y) else Classifier(contexts, np.zeros(FEATURES), np.ones(FEATURES), [np.zeros((FEATURES, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), np.zeros(())])
+    return Model(corpus, train(x[order][mixed], y[order][mixed]))
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score and predicted for each row of docs.
 
-    Each row is scored by its text alone: repeated rows get the same score, a null text is empty, a null id stays null
-    and is not held out, other columns are ignored. An empty table gives an empty result; without labels all scores are 0.5.
+    Each row is scored by its text and the word vectors of docs: repeated rows get the same score, a null text is empty,
+    a null id stays null and is not held out, other columns are ignored. An empty table gives an empty result; without
+    labels all scores are 0.5.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(fit(docs, labels, id_col, text_col, label_col))
+    model = fit(docs, labels, id_col, text_col, label_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model.classifier)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        vectors = Vectors(model.contexts)
-        for batch in batches:
-            x = np.array([vectors.pooled(t) for t in batch.column(1).to_pylist()]).reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], ["doc_id", "score"])
-
-    out = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    out = _numbered(rows, model.corpus, "doc_id", "text", lambda x: [pa.array(shared.value.score(x))], "score double")
     return out.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))

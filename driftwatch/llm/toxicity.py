@@ -13,16 +13,12 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftwatch.llm.common import held_out, joined_by_id, small_batches, staged
+from driftwatch.llm.common import beside_texts, held_out, joined_by_id, small_batches, staged
 
 #: Characters of the longest n-grams; orders above SHARED are counted by class, those up to it for both classes together.
 ORDER, SHARED = 5, 2
 #: Rows of all tables of counts that may be broadcast, some 100 MB; longer ones are joined.
 SMALL_COUNTS = 6_000_000
-#: For the join, fewest chunks into which texts are dealt, and about how many bytes of text a chunk has beyond that.
-CHUNKS, CHUNK_BYTES = 64, 32 << 20
-#: Pairs of chunk and word that a task gathers before it hands them on.
-GATHERED = 1_000_000
 #: What each order takes off a count and gives to the shorter n-grams.
 DISCOUNT = 0.75
 #: Words of the windows whose likelihoods are compared beside the whole text's, and most words kept by a worker's cache.
@@ -267,9 +263,8 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _described(docs: DataFrame, models: Models, id_col: str, text_col: str, finish: Callable[[np.ndarray], list[np.ndarray]], added: list[str]) -> DataFrame:
     """docs with the numbers added that finish makes of their features.
 
-    Few counts are broadcast. Otherwise texts are dealt into chunks by hash; a chunk's different words are given their
-    ratios by a join, and come to the task that scores the chunk before its texts do: a task holds the words of one
-    chunk, however many counts and words there are. Both ways give the same numbers.
+    Few counts are broadcast. Otherwise the texts' words are given their ratios by a join, see beside_texts. Both ways
+    give the same numbers.
     """
     small_batches(docs.sparkSession)
     names, at, shared = docs.columns, docs.columns.index(text_col), models.shared
@@ -283,52 +278,10 @@ def _described(docs: DataFrame, models: Models, id_col: str, text_col: str, fini
                 yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, numbers)], [*names, *added])
 
         return docs.mapInArrow(look_up, schema)
-    text = F.col(text_col).cast("string")
-    chunks = max(CHUNKS, (docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // CHUNK_BYTES)
-    dealt = docs.select(F.pmod(F.xxhash64(id_col, text), F.lit(chunks)).alias("chunk"), text.alias("text"), F.struct("*").alias("row"))
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[int, set[str]] = {}
-
-        def gathered() -> pa.RecordBatch:
-            of = np.repeat(np.fromiter(words, np.int64, len(words)), [len(w) for w in words.values()])
-            return pa.RecordBatch.from_arrays([pa.array(of), pa.array([w for own in words.values() for w in own], pa.string())], ["chunk", "word"])
-
-        for batch in batches:
-            for chunk, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words.setdefault(chunk, set()).update(words_of(text))
-            if sum(map(len, words.values())) > GATHERED:
-                yield gathered()
-                words.clear()
-        if words:
-            yield gathered()
-
-    by_chunk = staged(dealt.select("chunk", "text").mapInArrow(gather, "chunk bigint, word string").distinct(), "toxicity-words")
-    ratios = by_chunk.join(models.ratios(by_chunk.select("word").distinct()), "word")
-    row = dealt.schema["row"].dataType
-    both = ratios.select("chunk", F.lit(False).alias("is_text"), "word", "ratio", F.lit(None).cast(row).alias("row")).unionByName(
-        dealt.select("chunk", F.lit(True).alias("is_text"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("double").alias("ratio"), "row")
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, known = None, {}
-        for batch in batches:
-            chunk, is_text = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero((chunk[1:] != chunk[:-1]) | (is_text[1:] != is_text[:-1])) + 1).tolist(), len(chunk)]
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
-                if chunk[a] != current:
-                    current, known = chunk[a], {}
-                own = batch.slice(a, b - a)
-                if is_text[a]:
-                    columns = own.column(4).flatten()
-                    numbers = finish(features_of(columns[at].to_pylist(), known))
-                    yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, numbers)], [*names, *added])
-                else:
-                    known.update(zip(own.column(2).to_pylist(), own.column(3).to_pylist()))
-
-    return both.repartition(chunks, "chunk").sortWithinPartitions("chunk", "is_text").mapInArrow(run, schema)
+    keys = lambda texts: {w for t in texts for w in words_of(t)}
+    look_up = lambda by_chunk: by_chunk.join(models.ratios(by_chunk.select(F.col("key").alias("word")).distinct()).withColumnRenamed("word", "key"), "key")
+    numbers = lambda texts, known: [pa.array(x) for x in finish(features_of(texts, known))]
+    return beside_texts(docs, id_col, text_col, keys, "string", look_up, "ratio", "double", lambda known: known, numbers, ", ".join(f"`{n}` double" for n in added))
 
 
 def set_apart(id_col: str, rows: int) -> Column:
