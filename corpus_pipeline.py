@@ -1,14 +1,16 @@
-"""From raw documents to packed sequences: the stages in order, each over all that its predecessor kept."""
+"""From raw documents to packed sequences: the stages in order, each over all that its predecessor kept.
 
-from __future__ import annotations
+In every stage null texts are empty texts, null ids stay null, repeated rows are taken as they come (near-duplicates keep
+one of those with the same id), and an empty table gives an empty result.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwatch.llm import decontaminate, near_duplicates, packing, secrets, toxicity
-from driftwatch.llm.common import shared_folder, table
+from driftwatch.llm.common import made, new_folder, release, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,11 +52,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the table documents; each one's result is written to the shared folder and read again."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """The stages over the table documents; each one's result is written to the shared folder and read again.
+
+    What a stage and those before it left in the shared folder is deleted once its result is written. The last stage's
+    folders stay, as the result reads them: common.release deletes them when it has been used.
+    """
+    docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
+        since = made()
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{k}")
-            docs = spark.read.schema(docs.schema).parquet(f"{folder}/{k}")
+            until, folder = made(), new_folder(spark, f"pipeline-{k}")
+            docs.write.parquet(folder)
+            docs = spark.read.schema(docs.schema).parquet(folder)
+            release(spark, since - (k > 0), until)  # from the stage before's result on
     return docs

@@ -176,7 +176,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component: that with the smallest id. All columns stay.
 
-    Rows that repeat the kept id are one document and stay once. Rows with a null id are linked to nothing and all stay.
+    Rows that repeat the kept id are one document and stay once: the row whose values' hash is least, so that the
+    choice is the same in every run. Rows with a null id are linked to nothing and all stay. An empty table stays empty.
     """
     gone = near_duplicates(docs, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
     kept = docs.join(gone, docs[id_col].cast("bigint") == F.col("_gone"), "left_anti")
@@ -184,4 +185,6 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if repeated.isEmpty():  # else rows would be shuffled twice more for nothing
         return kept
     same = kept[id_col] == F.col("_id")
-    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates([id_col]))
+    again = kept.join(repeated, same, "left_semi").select(F.struct("*").alias("_row"), F.xxhash64("*").alias("_h"))
+    one = again.groupBy(F.col("_row")[id_col]).agg(F.min_by("_row", "_h").alias("_row")).select("_row.*")
+    return kept.join(repeated, same, "left_anti").unionByName(one)
