@@ -1,64 +1,78 @@
 """The detectors over tables: events dealt out by symbol, sorted, and fed to each symbol's small state in a stream.
 
-A task never holds a symbol's events, only its state, so a symbol may have any number of rows. What follows from the
-order of a symbol's events (resets, cooldowns, latches) can't be split; how many symbols there are bounds the parallelism.
+A task never holds a symbol's events, only its state and a batch, so a symbol may have any number of rows. What follows
+from the order of a symbol's events (resets, cooldowns, latches) can't be split; how many symbols there are bounds the
+parallelism.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import replace
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwatch.functions.scalar import microprice_drift, mid
-from driftwatch.operators.kernels import LIBRARY, P2, Ewma, Params, Symbol, as_row
-from driftwatch.operators.windows import by_symbol
+from driftwatch.operators.kernels import LIBRARY, P2, Cusum, Ewma, Params, Returns, Symbol, as_rows, robust_z
 from driftwatch.schemas import ALERT
 
+_ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+#: What a symbol's state makes of a run of its rows: columns of the output, or None.
+Step = Callable[[str, list[np.ndarray]], list | None]
+
 
-def in_order(rows: DataFrame, keys: list[str], fresh: Callable[[], Callable[[tuple], list[tuple]]], schema: str) -> DataFrame:
-    """The rows that a step gives for each row, in the order of (keys, ts_ns, seq). Each key has a step of its own, made by fresh."""
+def in_order(rows: DataFrame, fresh: Callable[[str], Step], schema: str) -> DataFrame:
+    """What a step makes of the rows of each symbol in the order of (ts_ns, seq), run by run. Each symbol has a step of
+    its own, made by fresh. The columns after symbol come as arrays, nulls as NaN."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, *keys).sortWithinPartitions(*keys, "ts_ns", "seq")
-    width = len(keys)
-    fields = [(f.split()[0], _ARROW[f.split()[1]]) for f in schema.split(", ")]
+    dealt = rows.repartition(parts, "symbol").sortWithinPartitions("symbol", "ts_ns", "seq")
+    fields = [tuple(f.split()) for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, own = None, None
+        symbol, own = object(), None
         for batch in batches:
-            out: list[tuple] = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:width] != key:
-                    key, own = row[:width], fresh()
-                out += own(row)
-            columns = list(zip(*out)) or [()] * len(fields)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields)], [n for n, _ in fields])
+            if not batch.num_rows:
+                continue
+            names = batch.column(0).to_pylist()
+            arrays = [c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]
+            start = 0
+            while start < len(names):
+                end = start + 1
+                while end < len(names) and names[end] == names[start]:
+                    end += 1
+                if names[start] != symbol or own is None:
+                    symbol, own = names[start], fresh(names[start])
+                columns = own(symbol, [c[start:end] for c in arrays])
+                if columns is not None and len(columns[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, (_, t) in zip(columns, fields)], [n for n, _ in fields])
+                start = end
 
     return dealt.mapInArrow(run, schema)
 
 
-_ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}
-
+def detect(events: DataFrame, params: Params = LIBRARY, overrides: dict[str, float] | None = None, kinds: Iterable[str] | None = None) -> DataFrame:
+    """All alerts of a stream of trades and quotes, or those of some kinds, whose detectors alone then run.
 
-def detect(events: DataFrame, params: Params = LIBRARY, overrides: dict[str, float] | None = None) -> DataFrame:
-    """All alerts of a stream of trades and quotes. overrides: another z threshold for some symbols."""
+    overrides: another z threshold for some symbols. A trade without a price, and a quote without bid or ask, are passed
+    over; what follows a price that isn't positive is a session's first tick.
+    """
+    wanted = None if kinds is None else frozenset(kinds)
 
-    def fresh():
-        state: list[Symbol] = []
+    def fresh(symbol: str) -> Step:
+        state = Symbol(replace(params, z_thresh=(overrides or {}).get(symbol, params.z_thresh)), wanted)
 
-        def own(row):
-            symbol, ts, seq, etype, *values = row
-            if not state:
-                state.append(Symbol(replace(params, z_thresh=(overrides or {}).get(symbol, params.z_thresh))))
-            return [as_row(symbol, ts, seq, k, a) for k, a in enumerate(state[0].on_event(etype, ts, *values))]
+        def own(symbol: str, columns: list[np.ndarray]) -> list | None:
+            ts, seq, etype, *values = columns
+            found = as_rows(symbol, ts, seq, state.run(etype == "q", ts, *values))
+            return list(zip(*found)) or None
 
         return own
 
     rows = events.select("symbol", "ts_ns", "seq", "etype", "price", "size", "bid", "ask", "bid_size", "ask_size")
-    return in_order(rows, ["symbol"], fresh, ALERT)
+    return in_order(rows, fresh, ALERT)
 
 
 def from_ticks(ticks: DataFrame, sizes: bool = False) -> DataFrame:
@@ -73,65 +87,62 @@ def from_quotes(quotes: DataFrame) -> DataFrame:
 
 
 def price_scores(ticks: DataFrame, params: Params = LIBRARY) -> DataFrame:
-    """What the price detector knows after each tick: mean, mad, and z where the tick is scored."""
+    """What the price detector knows after each tick: mean, mad, and r and z where the tick is scored. Ticks without a price are left out."""
 
-    def fresh():
-        state = Symbol(params)
+    def fresh(symbol: str) -> Step:
+        state = Returns(params)
 
-        def own(row):
-            symbol, ts, seq, price = row
-            scored = state._score(price, ts)
-            return [(symbol, ts, seq, state.base.mean, state.base.mad, scored and scored[0], scored and scored[1])]
+        def own(symbol: str, columns: list[np.ndarray]) -> list:
+            ts, seq, price = columns
+            x = state.add(price, ts)
+            hidden = ~x["scored"]
+            return [[symbol] * len(ts), ts, seq, x["mean"], x["mad"], pa.array(x["r"], mask=hidden), pa.array(x["z"], mask=hidden)]
 
         return own
 
-    return in_order(ticks.select("symbol", "ts_ns", "seq", "price"), ["symbol"], fresh, "symbol string, ts_ns bigint, seq bigint, mean double, mad double, r double, z double")
+    return in_order(ticks.where("price is not null").select("symbol", "ts_ns", "seq", "price"), fresh, "symbol string, ts_ns bigint, seq bigint, mean double, mad double, r double, z double")
 
 
 def sweep(ticks: DataFrame, z_grid: list[float], h_grid: list[float], params: Params = LIBRARY) -> DataFrame:
-    """Alerts of each pair of thresholds. z depends on neither, so it is computed once; a CUSUM runs for each h."""
-    scores = price_scores(ticks, params)
-
-    def fresh():
-        states = [Symbol(replace(params, cusum_h=h)) for h in h_grid]
-
-        def own(row):
-            symbol, ts, seq, z, broke = row
-            hits = []
-            for h, s in zip(h_grid, states):
-                if broke:
-                    s.up = s.down = 0.0
-                if z is not None and (hit := s._cusum(z)):
-                    hits.append((symbol, h, hit))
-            return hits
+    """Alerts of each pair of thresholds. z depends on neither, so it is computed once; in the same pass a CUSUM runs for
+    each h, and a task hands on its counts alone."""
+
+    def fresh(symbol: str) -> Step:
+        state, sums = Returns(params), [Cusum(params.cusum_k, h) for h in h_grid]
+
+        def own(symbol: str, columns: list[np.ndarray]) -> list:
+            ts, _, price = columns
+            x = state.add(price, ts)
+            size = np.abs(x["z"][x["scored"]])
+            seen = np.where(x["broke"], np.nan, x["z"])[x["scored"] | x["broke"]].tolist()
+            hits = [[abs(hit) for _, hit in s.add(seen)] for s in sums]
+            over = [size[size > z] for z in z_grid]
+            kinds = ["z"] * len(z_grid) + ["h"] * len(h_grid) + ["ticks"]
+            return [kinds, [*z_grid, *h_grid, 0.0], [*map(len, over), *map(len, hits), len(ts)], [max(v, default=0.0) for v in (*(o.tolist() for o in over), *hits, [])]]
 
         return own
 
-    gap = F.col("ts_ns") - F.lag("ts_ns").over(by_symbol()) > int(params.session_gap * 1e9)
-    marked = scores.select("symbol", "ts_ns", "seq", "z", F.coalesce(gap, F.lit(False)).alias("broke"))
-    hits = in_order(marked, ["symbol"], fresh, "symbol string, h double, hit double")
-    by_h = hits.groupBy("h").agg(F.count("*").alias("n"), F.max(F.abs("hit")).alias("m"))
-    zs = scores.agg(F.array(*(F.struct(F.lit(float(z)).alias("z_thresh"), F.count(F.when(F.abs("z") > z, 1)).alias("z_alerts"), F.max(F.when(F.abs("z") > z, F.abs("z"))).alias("mz")) for z in z_grid)).alias("a"), F.count("*").alias("ticks"))
-    grid = zs.select("ticks", F.inline("a")).withColumn("cusum_h", F.explode(F.array(*map(F.lit, map(float, h_grid)))))
-    joined = grid.join(by_h, grid["cusum_h"] == by_h["h"], "left")
-    n = F.coalesce("n", F.lit(0).cast("bigint"))
-    return joined.select("z_thresh", "cusum_h", "z_alerts", n.alias("cusum_alerts"), ((F.col("z_alerts") + n) / F.col("ticks") * 100).alias("pct_ticks"), F.coalesce(F.greatest("mz", "m"), F.lit(0.0)).alias("max_abs_score"))
+    found = in_order(ticks.where("price is not null").select("symbol", "ts_ns", "seq", "price"), fresh, "kind string, x double, n bigint, m double")
+    counts = found.groupBy("kind", "x").agg(F.sum("n").alias("n"), F.max("m").alias("m"))
+    of = lambda kind, x, n, m: counts.where(F.col("kind") == kind).select(F.col("x").alias(x), F.col("n").alias(n), F.col("m").alias(m))
+    grid = of("z", "z_thresh", "z_alerts", "mz").join(of("h", "cusum_h", "cusum_alerts", "mh"), F.lit(True)).join(of("ticks", "_x", "ticks", "_m"), F.lit(True))  # some tens of rows
+    n = F.col("z_alerts") + F.col("cusum_alerts")
+    return grid.select("z_thresh", "cusum_h", "z_alerts", "cusum_alerts", (n / F.col("ticks") * 100).alias("pct_ticks"), F.greatest("mz", "mh").alias("max_abs_score"))
 
 
 def ewma_scores(rows: DataFrame, value: str, params: Params = LIBRARY) -> DataFrame:
     """z of a value against its symbol's EWMA mean and deviation, which begin at the first value and include it. Nulls are skipped."""
 
-    def fresh():
+    def fresh(symbol: str) -> Step:
         state = Ewma(params.alpha, True)
 
-        def own(row):
-            symbol, ts, seq, x = row
-            state.add(x)
-            return [(symbol, ts, seq, x, state.z(x))]
+        def own(symbol: str, columns: list[np.ndarray]) -> list:
+            ts, seq, x = columns
+            return [[symbol] * len(ts), ts, seq, x, robust_z(x, *state.add(x))]
 
         return own
 
-    return in_order(rows.where(F.col(value).isNotNull()).select("symbol", "ts_ns", "seq", F.col(value).alias("x")), ["symbol"], fresh, "symbol string, ts_ns bigint, seq bigint, x double, z double")
+    return in_order(rows.where(F.col(value).isNotNull()).select("symbol", "ts_ns", "seq", F.col(value).alias("x")), fresh, "symbol string, ts_ns bigint, seq bigint, x double, z double")
 
 
 def volume_spikes(ticks: DataFrame, params: Params = LIBRARY) -> DataFrame:
@@ -144,22 +155,19 @@ def microprice_drifts(quotes: DataFrame, params: Params = LIBRARY) -> DataFrame:
 
 
 def p2_quantiles(ticks: DataFrame, value: str, shares: tuple[float, ...] = (0.25, 0.5, 0.75), fallback: str = "parity") -> DataFrame:
-    """Streaming quantiles of a value by symbol, as they stand after its last row."""
+    """Streaming quantiles of a value by symbol, as they stand after its last row. Nulls are skipped."""
 
-    def fresh():
-        states, seen = [P2(p, fallback) for p in shares], [0]
+    def fresh(symbol: str) -> Step:
+        states = [P2(p, fallback) for p in shares]
 
-        def own(row):
-            symbol, ts, seq, x = row
-            for s in states:
-                s.add(x)
-            seen[0] += 1
-            return [(symbol, seen[0], *(s.value for s in states))]
+        def own(symbol: str, columns: list[np.ndarray]) -> list:
+            values = columns[2].tolist()
+            return [[symbol], [states[0].n + len(values)], *([s.add(values)[-1]] for s in states)]
 
         return own
 
     names = [f"q{round(p * 100)}" for p in shares]
-    rows = in_order(ticks.select("symbol", "ts_ns", "seq", F.col(value).cast("double").alias("x")), ["symbol"], fresh, "symbol string, n bigint, " + ", ".join(f"{n} double" for n in names))
+    rows = in_order(ticks.where(F.col(value).isNotNull()).select("symbol", "ts_ns", "seq", F.col(value).cast("double").alias("x")), fresh, "symbol string, n bigint, " + ", ".join(f"{n} double" for n in names))
     return rows.groupBy("symbol").agg(F.max("n").alias("n"), *(F.max_by(n, "n").alias(n) for n in names))
 
 

@@ -1,4 +1,8 @@
-"""What one symbol's detectors remember, and how an event changes it: a small state per symbol, whatever its events."""
+"""What one symbol's detectors remember, and how a run of its events changes that: a small state per symbol, whatever its events.
+
+Events come in arrays. Windows, gaps, sessions and comparisons are worked out for a whole array; tight loops go over
+numbers alone for what depends on the order: means, resets, markers.
+"""
 
 from __future__ import annotations
 
@@ -52,93 +56,128 @@ LIBRARY = Params()
 LIVE = replace(LIBRARY, warmup=50, min_obs=100)
 
 
+#: The kinds of alerts in the order in which one event gives them.
+KINDS = ("cusum", "robust_z", "regime_shift", "volume_spike", "crossed_book", "spread_widen", "obi_extreme", "quote_rate_spike", "microprice_drift", "burst")
+_ORDER = {k: i for i, k in enumerate(KINDS)}
+_PRICE_KINDS = frozenset(KINDS[:3])
+
+#: An alert of an event of an array: its place, the order of its kind, kind, price, score, details.
+Alert = tuple[int, int, str, float, float, dict]
+
+
+def smoothed(alpha: float, start: float, x: np.ndarray) -> np.ndarray:
+    """The exponentially weighted mean after each value, from a mean before them. In order, so that results are the same
+    to the last digit wherever arrays are cut."""
+    keep, out = 1 - alpha, []
+    for v in x.tolist():
+        start = keep * start + alpha * v
+        out.append(start)
+    return np.array(out, float)
+
+
 class Ewma:
     """Exponentially weighted mean, and mean absolute deviation from it. ``primed``: the first value is the mean."""
 
-    __slots__ = ("alpha", "primed", "mean", "mad", "n")
-
     def __init__(self, alpha: float, primed: bool):
         self.alpha, self.primed, self.mean, self.mad, self.n = alpha, primed, 0.0, 0.0, 0
 
-    def add(self, x: float) -> None:
-        self.n += 1
-        if self.primed and self.n == 1:
-            self.mean = x
-            return
-        keep = 1 - self.alpha
-        self.mean = keep * self.mean + self.alpha * x
-        self.mad = keep * self.mad + self.alpha * abs(x - self.mean)
+    def add(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mean and deviation after each value."""
+        mean, mad = np.empty(len(x)), np.empty(len(x))
+        first = int(self.primed and self.n == 0 and len(x) > 0)
+        if first:
+            self.mean = mean[0] = x[0]
+            mad[0] = self.mad
+        mean[first:] = smoothed(self.alpha, self.mean, x[first:])
+        mad[first:] = smoothed(self.alpha, self.mad, np.abs(x[first:] - mean[first:]))
+        if len(x):
+            self.mean, self.mad, self.n = float(mean[-1]), float(mad[-1]), self.n + len(x)
+        return mean, mad
 
-    def z(self, x: float) -> float:
-        return (x - self.mean) / (MAD_TO_SIGMA * self.mad) if self.mad > TINY else 0.0
+
+def robust_z(x: np.ndarray, mean: np.ndarray, mad: np.ndarray) -> np.ndarray:
+    return np.where(mad > TINY, (x - mean) / (MAD_TO_SIGMA * np.maximum(mad, TINY)), 0.0)
 
 
 class P2:
     """A quantile by five moving markers (Jain and Chlamtac, 1985)."""
 
-    __slots__ = ("p", "fallback", "heights", "places", "n")
-
     def __init__(self, p: float, fallback: str = "parity"):
         self.p, self.fallback, self.n = p, fallback, 0
         self.heights: list[float] = []
         self.places = [1, 2, 3, 4, 5]
 
-    @property
-    def ready(self) -> bool:
-        return self.n >= 5
-
     @property
     def value(self) -> float:
-        return self.heights[2] if self.ready else 0.0
-
-    def add(self, x: float) -> None:
-        self.n += 1
-        h, at = self.heights, self.places
-        if self.n <= 5:
-            h.append(x)
-            if self.n == 5:
-                h.sort()
-            return
-        h[0], h[4] = min(h[0], x), max(h[4], x)
-        cell = min(sum(x >= m for m in h[1:4]), 3)
-        for i in range(cell + 1, 5):
-            at[i] += 1
-        for i in (1, 2, 3):
-            share = (self.p / 2, self.p, (1 + self.p) / 2)[i - 1]
-            lag = 1 + (self.n - 1) * share - at[i]
-            right, left = at[i + 1] - at[i], at[i] - at[i - 1]
-            if lag >= 1 and right > 1:
-                step = 1
-            elif lag <= -1 and left > 1:
-                step = -1
-            else:
+        return self.heights[2] if self.n >= 5 else 0.0
+
+    def add(self, values: list[float]) -> list[float]:
+        """The estimate after each value; 0 before the fifth."""
+        out, h, at, n = [], self.heights, self.places, self.n
+        shares = (self.p / 2, self.p, (1 + self.p) / 2)
+        sign = 1.0 if self.fallback == "parity" else -1.0
+        for x in values:
+            n += 1
+            if n <= 5:
+                h.append(x)
+                if n == 5:
+                    h.sort()
+                out.append(h[2] if n == 5 else 0.0)
                 continue
-            up, down = (h[i + 1] - h[i]) / right, (h[i] - h[i - 1]) / left
-            moved = h[i] + step / (right + left) * ((left + step) * up + (right - step) * down)
-            if not h[i - 1] < moved < h[i + 1]:
-                moved = h[i] + (up if step > 0 else down if self.fallback == "parity" else -down)
-            h[i] = moved
-            at[i] += step
+            if x < h[0]:
+                h[0], cell = x, 0
+            elif x < h[1]:
+                cell = 0
+            elif x < h[2]:
+                cell = 1
+            elif x < h[3]:
+                cell = 2
+            else:
+                cell = 3
+                if x > h[4]:
+                    h[4] = x
+            at[4] += 1
+            if cell < 3:
+                at[3] += 1
+                if cell < 2:
+                    at[2] += 1
+                    if cell < 1:
+                        at[1] += 1
+            for i in (1, 2, 3):
+                lag = 1 + (n - 1) * shares[i - 1] - at[i]
+                if -1 < lag < 1:
+                    continue
+                right, left = at[i + 1] - at[i], at[i] - at[i - 1]
+                if lag >= 1 and right > 1:
+                    step = 1
+                elif lag <= -1 and left > 1:
+                    step = -1
+                else:
+                    continue
+                low, here, high = h[i - 1], h[i], h[i + 1]
+                up, down = (high - here) / right, (here - low) / left
+                moved = here + step / (right + left) * ((left + step) * up + (right - step) * down)
+                if not low < moved < high:
+                    moved = here + (up if step > 0 else sign * down)
+                h[i] = moved
+                at[i] += step
+            out.append(h[2])
+        self.n = n
+        return out
 
 
 class Quartiles:
     """Robust z by three P2 quantiles."""
 
-    __slots__ = ("low", "middle", "high")
-
     def __init__(self, fallback: str):
-        self.low, self.middle, self.high = (P2(p, fallback) for p in (0.25, 0.5, 0.75))
-
-    def add(self, x: float) -> None:
-        for q in (self.low, self.middle, self.high):
-            q.add(x)
-
-    @property
-    def scale(self) -> float:
-        return (self.high.value - self.low.value) / IQR_TO_SIGMA if self.middle.ready else 0.0
+        self.parts = [P2(p, fallback) for p in (0.25, 0.5, 0.75)]
 
-    def z(self, x: float) -> float:
-        return (x - self.middle.value) / self.scale if self.scale * IQR_TO_SIGMA > TINY else 0.0
+    def add(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """z of each value against the quartiles that include it, and the median; 0 before the fifth value or without spread."""
+        values = x.tolist()
+        low, middle, high = (np.array(q.add(values), float) for q in self.parts)
+        spread = high - low
+        return np.where(spread > TINY, (x - middle) * IQR_TO_SIGMA / np.maximum(spread, TINY), 0.0), middle
 
 
 def ks_distance(a, b) -> float:
@@ -150,154 +189,231 @@ def ks_distance(a, b) -> float:
     return float(np.abs(np.searchsorted(a, at, "right") / len(a) - np.searchsorted(b, at, "right") / len(b)).max())
 
 
+class Cusum:
+    """Two sums that drift back towards zero; the one that passes h fires and starts anew."""
+
+    def __init__(self, k: float, h: float):
+        self.k, self.h, self.up, self.down = k, h, 0.0, 0.0
+
+    def add(self, scores: list[float]) -> list[tuple[int, float]]:
+        """Where it fires and how far the sum had come. A score that isn't a number starts both sums anew."""
+        k, h, up, down, out = self.k, self.h, self.up, self.down, []
+        for i, z in enumerate(scores):
+            if z != z:
+                up = down = 0.0
+                continue
+            up = max(0.0, up + z - k)
+            down = min(0.0, down + z + k)
+            if up > h:
+                out.append((i, up))
+                up = 0.0
+            elif -down > h:
+                out.append((i, down))
+                down = 0.0
+        self.up, self.down = up, down
+        return out
+
+
+class Returns:
+    """A price's log returns against their own history, by session."""
+
+    def __init__(self, params: Params):
+        self.p, self.price, self.at, self.warm = params, math.nan, 0, 0
+        self.base = Ewma(params.alpha, False)
+
+    def add(self, price: np.ndarray, ts: np.ndarray) -> dict[str, np.ndarray]:
+        """For each price: r, mean, mad and z of its return, whether it is scored, and whether a session broke before it.
+
+        The first price, one after a gap and one after a price that isn't positive start a session: they have no
+        return. A price that isn't positive has the return 0. The first returns of a session warm up unscored.
+        """
+        p, n = self.p, len(price)
+        before, last = np.r_[self.price, price[:-1]], np.r_[self.at, ts[:-1]]
+        known = ~np.isnan(before)
+        fresh = ~known | (before <= 0) | (ts - last > int(p.session_gap * NS))
+        good = ~fresh & (price > 0)
+        r = np.zeros(n)
+        r[good] = np.log(price[good] / before[good])
+        rows = np.flatnonzero(~fresh)
+        start, count = (self.base.mean, self.base.mad), self.base.n
+        means, mads = self.base.add(r[rows])
+        done = np.cumsum(~fresh)  # returns up to each price
+        mean, mad = np.r_[start[0], means][done], np.r_[start[1], mads][done]
+        began = np.maximum.accumulate(np.where(fresh, np.arange(n), -1))
+        inside = began >= 0
+        left = np.maximum(0, np.where(inside, p.warmup, self.warm) - (done - np.where(inside, done[began], 0)))
+        if n:
+            self.price, self.at, self.warm = float(price[-1]), int(ts[-1]), int(left[-1])
+        return {"r": r, "mean": mean, "mad": mad, "z": robust_z(r, mean, mad), "scored": ~fresh & (left == 0) & (count + done >= p.min_obs), "broke": fresh & known}
+
+
 class Symbol:
-    """One symbol's detectors. An event gives a list of (kind, price, score, details), in the order of the detectors."""
+    """One symbol's detectors, or those of some kinds alone."""
 
-    def __init__(self, params: Params = LIBRARY):
+    def __init__(self, params: Params = LIBRARY, kinds: frozenset[str] | None = None):
         p = self.p = params
-        self.price, self.at, self.warm = None, 0, 0
-        self.base, self.sizes, self.micro = Ewma(p.alpha, False), Ewma(p.alpha, True), Ewma(p.alpha, True)
-        self.up = self.down = 0.0
-        self.short, self.ref = deque(maxlen=p.regime_short), deque(maxlen=p.regime_ref)
-        self.stride = self.since = 0
+        self.kinds = frozenset(KINDS) if kinds is None or "burst" in kinds else frozenset(kinds)
+        self.wanted = frozenset(KINDS if kinds is None else kinds)
+        self.returns, self.cusum = Returns(p), Cusum(p.cusum_k, p.cusum_h)
+        self.sizes, self.micro = Ewma(p.alpha, True), Ewma(p.alpha, True)
+        self.short, self.ref, self.scored = np.zeros(0), deque(maxlen=p.regime_ref), 0
         self.regime_until = self.rate_until = self.burst_until = 0
         self.spreads, self.rates = Quartiles(p.p2_fallback), Quartiles(p.p2_fallback)
         self.n_spreads = self.n_rates = 0
         self.extreme = False
-        self.stamps: deque[int] = deque(maxlen=p.qrate_window)
+        self.stamps = np.zeros(0, np.int64)
         self.recent: deque[int] = deque()
         self.usual = 0.0
 
-    def _score(self, price: float, ts: int) -> tuple[float, float] | None:
-        """Return and z of a price, or None if it isn't scored: the first, after a gap, or while warming up."""
-        p, before, gap = self.p, self.price, ts - self.at > int(self.p.session_gap * NS)
-        self.price, self.at = price, ts
-        if before is None or gap:
-            self.warm = p.warmup
-            if before is not None:
-                self.up = self.down = 0.0
-            return None
-        r = math.log(price / before) if price > 0 else 0.0
-        self.base.add(r)
-        self.warm = max(0, self.warm - 1)
-        if self.warm or self.base.n < p.min_obs:
-            return None
-        return r, self.base.z(r)
-
-    def _cusum(self, z: float) -> float:
-        self.up, self.down = max(0.0, self.up + z - self.p.cusum_k), min(0.0, self.down + z + self.p.cusum_k)
-        hit = 0.0
-        if self.up > self.p.cusum_h:
-            hit, self.up = self.up, 0.0
-        elif -self.down > self.p.cusum_h:
-            hit, self.down = self.down, 0.0
-        return hit
-
-    def _regime(self, r: float, ts: int) -> float | None:
-        p = self.p
-        self.short.append(r)
-        self.stride = (self.stride + 1) % p.regime_stride
-        if not self.stride:
-            self.ref.append(r)
-        self.since += 1
-        if self.since < p.regime_check or len(self.short) < p.regime_short or len(self.ref) < p.regime_ref:
-            return None
-        self.since = 0
-        if ts <= self.regime_until:
-            return None
-        d = ks_distance(self.short, self.ref)
-        if d <= p.regime_ks:
-            return None
-        self.regime_until = ts + int(p.regime_cooldown * NS)
-        return d
-
-    def _on_price(self, price: float, ts: int) -> list[tuple]:
+    def run(self, is_quote: np.ndarray, ts: np.ndarray, price: np.ndarray, size: np.ndarray, bid: np.ndarray, ask: np.ndarray, bid_size: np.ndarray, ask_size: np.ndarray) -> list[Alert]:
+        """Alerts of events in order. What isn't known is NaN: a trade without price and a quote without bid or ask are
+        passed over, a missing size is no size."""
+        known = ~np.where(is_quote, np.isnan(bid) | np.isnan(ask), np.isnan(price))
+        mid = np.where(ask > 0, 0.5 * (bid + ask), 0.0)
+        value = np.where(is_quote, mid, price)
+        out: list[Alert] = []
+        if self.kinds & _PRICE_KINDS:
+            out += self._on_prices(np.flatnonzero(known & (~is_quote | (self.p.use_quote_mid & (mid > 0)))), value, ts)
+        if "volume_spike" in self.kinds:
+            out += self._on_sizes(np.flatnonzero(known & ~is_quote & (size > 0)), price, size)
+        quotes = np.flatnonzero(known & is_quote)
+        if len(quotes):
+            out += self._on_quotes(quotes, mid[quotes], ts[quotes], bid[quotes], ask[quotes], bid_size[quotes], ask_size[quotes])
+        out.sort(key=lambda a: a[:2])
+        if "burst" in self.kinds:
+            out = self._with_bursts(out, value, ts)
+        return out if self.wanted == self.kinds else [a for a in out if a[2] in self.wanted]
+
+    def _on_prices(self, rows: np.ndarray, value: np.ndarray, ts: np.ndarray) -> list[Alert]:
+        p, out = self.p, []
+        x = self.returns.add(value[rows], ts[rows])
+        price, r, z, scored = value[rows], x["r"], x["z"], x["scored"]
+        if "cusum" in self.kinds:
+            seen = np.flatnonzero(scored | x["broke"])
+            for i, hit in self.cusum.add(np.where(x["broke"], math.nan, z)[seen].tolist()):
+                k = seen[i]
+                out.append((rows[k], 0, "cusum", price[k], hit, {"cusum_h": p.cusum_h, "cusum_k": p.cusum_k, "log_return": r[k], "z_in": z[k]}))
+        if "robust_z" in self.kinds:
+            for k in np.flatnonzero(scored & (np.abs(z) > p.z_thresh)):
+                out.append((rows[k], 1, "robust_z", price[k], z[k], {"log_return": r[k], "baseline_mean": x["mean"][k], "baseline_mad": x["mad"][k], "z_threshold": p.z_thresh}))
+        if "regime_shift" in self.kinds:
+            at = np.flatnonzero(scored)
+            for i, d in self._regimes(r[at], ts[rows[at]]):
+                out.append((rows[at[i]], 2, "regime_shift", price[at[i]], d, {"ks_statistic": d, "ks_threshold": p.regime_ks, "short_window": p.regime_short, "ref_window": p.regime_ref}))
+        return out
+
+    def _regimes(self, r: np.ndarray, ts: np.ndarray) -> list[tuple[int, float]]:
+        """Scored returns whose latest regime_short differ from every regime_stride-th before: looked at once both
+        windows are full and every regime_check returns from then on, except while the last shift cools down."""
         p, out = self.p, []
-        scored = self._score(price, ts)
-        if scored is None:
-            return out
-        r, z = scored
-        if hit := self._cusum(z):
-            out.append(("cusum", price, hit, {"cusum_h": p.cusum_h, "cusum_k": p.cusum_k, "log_return": r, "z_in": z}))
-        if abs(z) > p.z_thresh:
-            out.append(("robust_z", price, z, {"log_return": r, "baseline_mean": self.base.mean, "baseline_mad": self.base.mad, "z_threshold": p.z_thresh}))
-        if (d := self._regime(r, ts)) is not None:
-            out.append(("regime_shift", price, d, {"ks_statistic": d, "ks_threshold": p.regime_ks, "short_window": p.regime_short, "ref_window": p.regime_ref}))
+        first = max(p.regime_check, p.regime_short, p.regime_stride * p.regime_ref)
+        done, before = self.scored, len(self.short)
+        both = np.concatenate([self.short, r])
+        taken = done
+        for n in range(done + 1 + (first - done - 1) % p.regime_check if done >= first else first, done + len(r) + 1, p.regime_check):
+            new = range(-(-(taken + 1) // p.regime_stride) * p.regime_stride, n + 1, p.regime_stride)
+            self.ref.extend(r[k - done - 1] for k in new)
+            taken = n
+            i = n - done - 1
+            if ts[i] > self.regime_until:
+                d = ks_distance(both[before + i + 1 - p.regime_short : before + i + 1], self.ref)
+                if d > p.regime_ks:
+                    self.regime_until = int(ts[i]) + int(p.regime_cooldown * NS)
+                    out.append((i, d))
+        self.scored = done + len(r)
+        self.ref.extend(r[k - done - 1] for k in range(-(-(taken + 1) // p.regime_stride) * p.regime_stride, self.scored + 1, p.regime_stride))
+        self.short = both[max(0, len(both) - p.regime_short) :]
         return out
 
-    def _burst(self, out: list[tuple], price: float, ts: int) -> list[tuple]:
-        if not out:
-            return out
-        p = self.p
-        self.recent.extend([ts] * len(out))
-        while self.recent and self.recent[0] < ts - int(p.burst_window * NS):
-            self.recent.popleft()
-        n = len(self.recent)
-        self.usual = (1 - p.burst_alpha) * self.usual + p.burst_alpha * n
-        floor = max(self.usual, 1.0)
-        if n > p.burst_k * floor and ts > self.burst_until:
-            self.burst_until = ts + int(p.burst_cooldown * NS)
-            out.append(("burst", price, n / floor, {"intensity_ratio": n / floor, "k_threshold": p.burst_k, "window_sec": p.burst_window, "alerts_in_window": n}))
+    def _on_sizes(self, rows: np.ndarray, price: np.ndarray, size: np.ndarray) -> list[Alert]:
+        p, x, n = self.p, np.log(size[rows]), self.sizes.n
+        mean, mad = self.sizes.add(x)
+        z = robust_z(x, mean, mad)
+        out = []
+        for k in np.flatnonzero((z > p.vol_z) & (n + 1 + np.arange(len(x)) >= p.min_obs)):
+            usual, own = math.exp(mean[k]), size[rows[k]]
+            out.append((rows[k], 3, "volume_spike", price[rows[k]], z[k], {"size": own, "baseline_mean_size": usual, "ratio_to_baseline": own / max(usual, TINY), "z_threshold": p.vol_z}))
         return out
 
-    def on_tick(self, price: float, ts: int, size: float = 0.0) -> list[tuple]:
-        p, out = self.p, self._on_price(price, ts)
-        if size > 0:
-            x = math.log(size)
-            self.sizes.add(x)
-            z = self.sizes.z(x)
-            if self.sizes.n >= p.min_obs and z > p.vol_z:
-                usual = math.exp(self.sizes.mean)
-                out.append(("volume_spike", price, z, {"size": size, "baseline_mean_size": usual, "ratio_to_baseline": size / max(usual, TINY), "z_threshold": p.vol_z}))
-        return self._burst(out, price, ts)
-
-    def on_quote(self, bid: float, ask: float, bid_size: float, ask_size: float, ts: int) -> list[tuple]:
-        p = self.p
-        mid = 0.5 * (bid + ask) if ask > 0 else 0.0
-        out = self._on_price(mid, ts) if p.use_quote_mid and mid > 0 else []
-        if bid > ask > 0:
-            out.append(("crossed_book", mid, bid - ask, {"bid": bid, "ask": ask, "cross_amount": bid - ask}))
-        valid = ask > bid > 0
-        if valid:
-            bps = (ask - bid) / mid * 1e4
-            self.spreads.add(bps)
-            self.n_spreads += 1
-            z = self.spreads.z(bps)
-            if self.n_spreads >= p.min_obs and abs(z) > p.spread_z:
-                out.append(("spread_widen", mid, z, {"spread_bps": bps, "baseline_bps": self.spreads.middle.value, "z_threshold": p.spread_z, "bid": bid, "ask": ask}))
-        sized = bid_size > 0 and ask_size > 0
-        if sized:
-            obi = (bid_size - ask_size) / (bid_size + ask_size)
-            if abs(obi) > p.obi_extreme and not self.extreme:
-                self.extreme = True
-                side = "bid" if obi > 0 else "ask"
-                out.append(("obi_extreme", mid, obi, {"obi": obi, "side": side, "bid_size": bid_size, "ask_size": ask_size, "fire_threshold": p.obi_extreme, "rearm_threshold": p.obi_rearm}))
-            elif abs(obi) < p.obi_rearm:
-                self.extreme = False
-        self.stamps.append(ts)
-        span = ts - self.stamps[0]
-        if len(self.stamps) == p.qrate_window and span > 0:
-            rate = p.qrate_window / (span / NS)
-            self.rates.add(rate)
-            self.n_rates += 1
-            z = self.rates.z(rate)
-            if self.n_rates >= p.min_obs and ts > self.rate_until and z > p.qrate_z:
-                self.rate_until = ts + int(p.qrate_cooldown * NS)
-                out.append(("quote_rate_spike", mid, z, {"rate_qps": rate, "baseline_qps": self.rates.middle.value, "z_threshold": p.qrate_z, "cooldown_sec": p.qrate_cooldown}))
-        if valid and sized:
-            drift = ((bid * ask_size + ask * bid_size) / (bid_size + ask_size) - mid) / (ask - bid)
-            self.micro.add(drift)
-            z = self.micro.z(drift)
-            if self.micro.n >= p.min_obs and abs(z) > p.micro_z:
-                out.append(("microprice_drift", mid, z, {"drift": drift, "side": "ask" if drift > 0 else "bid", "baseline_drift": self.micro.mean, "z_threshold": p.micro_z}))
-        return self._burst(out, mid, ts)
-
-    def on_event(self, etype: str, ts: int, price, size, bid, ask, bid_size, ask_size) -> list[tuple]:
-        if etype == "q":
-            return self.on_quote(bid, ask, bid_size, ask_size, ts)
-        return self.on_tick(price, ts, 0.0 if size is None else size)
-
-
-def as_row(symbol: str, ts: int, seq: int, order: int, alert: tuple) -> tuple:
-    kind, price, score, details = alert
-    return symbol, ts, seq, order, kind, price, score, json.dumps(details)
+    def _on_quotes(self, rows, mid, ts, bid, ask, bid_size, ask_size) -> list[Alert]:
+        p, out = self.p, []
+
+        def tell(k: int, kind: str, score: float, details: dict) -> None:
+            out.append((rows[k], _ORDER[kind], kind, mid[k], score, details))
+
+        if "crossed_book" in self.kinds:
+            for k in np.flatnonzero((bid > ask) & (ask > 0)):
+                tell(k, "crossed_book", bid[k] - ask[k], {"bid": bid[k], "ask": ask[k], "cross_amount": bid[k] - ask[k]})
+        valid, sized = (ask > bid) & (bid > 0), (bid_size > 0) & (ask_size > 0)
+        if "spread_widen" in self.kinds:
+            at = np.flatnonzero(valid)
+            bps = (ask[at] - bid[at]) / mid[at] * 1e4
+            z, middle = self.spreads.add(bps)
+            for i in np.flatnonzero((np.abs(z) > p.spread_z) & (self.n_spreads + 1 + np.arange(len(at)) >= p.min_obs)):
+                k = at[i]
+                tell(k, "spread_widen", z[i], {"spread_bps": bps[i], "baseline_bps": middle[i], "z_threshold": p.spread_z, "bid": bid[k], "ask": ask[k]})
+            self.n_spreads += len(at)
+        if "obi_extreme" in self.kinds:
+            at = np.flatnonzero(sized)
+            obi = (bid_size[at] - ask_size[at]) / (bid_size[at] + ask_size[at])
+            high, low = np.abs(obi) > p.obi_extreme, np.abs(obi) < p.obi_rearm
+            marks = np.maximum.accumulate(np.where(high | low, np.arange(1, len(at) + 1), 0))  # the latest mark's number; 0: one before
+            latched = np.r_[self.extreme, np.where(marks > 0, high[marks - 1], self.extreme)] if len(at) else np.array([self.extreme])
+            self.extreme = bool(latched[-1])
+            for i in np.flatnonzero(high & ~latched[:-1]):
+                k = at[i]
+                tell(k, "obi_extreme", obi[i], {"obi": obi[i], "side": "bid" if obi[i] > 0 else "ask", "bid_size": bid_size[k], "ask_size": ask_size[k], "fire_threshold": p.obi_extreme, "rearm_threshold": p.obi_rearm})
+        if "quote_rate_spike" in self.kinds:
+            stamps, back = np.r_[self.stamps, ts], p.qrate_window - 1
+            end = np.arange(len(ts)) + len(self.stamps)
+            span = np.where(end >= back, ts - stamps[np.maximum(end - back, 0)], 0)
+            self.stamps = stamps[max(0, len(stamps) - back) :]
+            at = np.flatnonzero(span > 0)
+            rate = p.qrate_window / (span[at] / NS)
+            z, middle = self.rates.add(rate)
+            for i in np.flatnonzero((z > p.qrate_z) & (self.n_rates + 1 + np.arange(len(at)) >= p.min_obs)):
+                k = at[i]
+                if ts[k] > self.rate_until:
+                    self.rate_until = int(ts[k]) + int(p.qrate_cooldown * NS)
+                    tell(k, "quote_rate_spike", z[i], {"rate_qps": rate[i], "baseline_qps": middle[i], "z_threshold": p.qrate_z, "cooldown_sec": p.qrate_cooldown})
+            self.n_rates += len(at)
+        if "microprice_drift" in self.kinds:
+            at = np.flatnonzero(valid & sized)
+            b, a, bs, az = bid[at], ask[at], bid_size[at], ask_size[at]
+            drift = ((b * az + a * bs) / (bs + az) - mid[at]) / (a - b)
+            n = self.micro.n
+            mean, mad = self.micro.add(drift)
+            z = robust_z(drift, mean, mad)
+            for i in np.flatnonzero((np.abs(z) > p.micro_z) & (n + 1 + np.arange(len(at)) >= p.min_obs)):
+                tell(at[i], "microprice_drift", z[i], {"drift": drift[i], "side": "ask" if drift[i] > 0 else "bid", "baseline_drift": mean[i], "z_threshold": p.micro_z})
+        return out
+
+    def _with_bursts(self, alerts: list[Alert], value: np.ndarray, ts: np.ndarray) -> list[Alert]:
+        """Alerts with bursts after those of the event that completes one."""
+        p, out, k = self.p, [], 0
+        while k < len(alerts):
+            i, first = alerts[k][0], k
+            while k < len(alerts) and alerts[k][0] == i:
+                k += 1
+            out += alerts[first:k]
+            now = int(ts[i])
+            self.recent.extend([now] * (k - first))
+            while self.recent[0] < now - int(p.burst_window * NS):
+                self.recent.popleft()
+            n = len(self.recent)
+            self.usual = (1 - p.burst_alpha) * self.usual + p.burst_alpha * n
+            floor = max(self.usual, 1.0)
+            if n > p.burst_k * floor and now > self.burst_until:
+                self.burst_until = now + int(p.burst_cooldown * NS)
+                out.append((i, 9, "burst", value[i], n / floor, {"intensity_ratio": n / floor, "k_threshold": p.burst_k, "window_sec": p.burst_window, "alerts_in_window": n}))
+        return out
+
+
+def as_rows(symbol: str, ts: np.ndarray, seq: np.ndarray, alerts: list[Alert]) -> list[tuple]:
+    """Alerts as rows of the alert schema, numbered within their event."""
+    out, last, k = [], -1, 0
+    for i, _, kind, price, score, details in alerts:
+        k = k + 1 if i == last else 0
+        last = i
+        out.append((symbol, int(ts[i]), int(seq[i]), k, kind, float(price), float(score), json.dumps({a: b.item() if isinstance(b, np.generic) else b for a, b in details.items()})))
+    return out

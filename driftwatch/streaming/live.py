@@ -9,15 +9,14 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwatch.operators.kernels import LIBRARY, Params, Symbol, as_row
+from driftwatch.operators.kernels import LIBRARY, Params, Symbol, as_rows
 from driftwatch.schemas import ALERT
 
-_EVENT = ["etype", "ts_ns", "price", "size", "bid", "ask", "bid_size", "ask_size"]
-
 
 def detect_stream(events: DataFrame, params: Params = LIBRARY) -> DataFrame:
     """Alerts of a stream of events, by the same states as over tables."""
@@ -25,9 +24,9 @@ def detect_stream(events: DataFrame, params: Params = LIBRARY) -> DataFrame:
     def update(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         symbol = pickle.loads(state.get[0]) if state.exists else Symbol(params)
         rows = pd.concat(list(frames)).sort_values(["ts_ns", "seq"], kind="stable")
-        out = []
-        for seq, event in zip(rows["seq"], rows[_EVENT].astype(object).where(rows[_EVENT].notna(), None).itertuples(index=False, name=None)):
-            out += [as_row(key[0], int(event[1]), int(seq), k, a) for k, a in enumerate(symbol.on_event(event[0], int(event[1]), *event[2:]))]
+        ts = rows["ts_ns"].to_numpy(np.int64)
+        values = [pd.to_numeric(rows[c]).to_numpy(np.float64) for c in ("price", "size", "bid", "ask", "bid_size", "ask_size")]
+        out = as_rows(key[0], ts, rows["seq"].to_numpy(np.int64), symbol.run((rows["etype"] == "q").to_numpy(bool), ts, *values))
         state.update((pickle.dumps(symbol),))
         yield pd.DataFrame(out, columns=[part.split()[0] for part in ALERT.split(", ")]).astype({"ts_ns": "int64", "seq": "int64", "ord": "int32", "price": "float64", "score": "float64"})
 

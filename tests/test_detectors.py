@@ -6,14 +6,50 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftwatch.operators import detect, evaluate, models
-from driftwatch.operators.kernels import LIBRARY, P2, Ewma, Params, Symbol, ks_distance
+from driftwatch.operators import kernels as K
+from driftwatch.operators.kernels import LIBRARY, Params, ks_distance
 from driftwatch.plans import queries
 from driftwatch.sources import files, views
 from driftwatch.streaming import live
+from tests.plain_detector import P2, Ewma, Symbol
 
 SF = "/root/testdata/sf0.001"
 
 
+def random_events(rng, n, symbols=1):
+    """Trades and quotes with ties, gaps, prices that aren't known or positive, crossed and one-sided books."""
+    ts = np.cumsum(rng.choice([0, 10**7, 10**9, 3 * 10**9, 10**12], n, p=[0.2, 0.4, 0.3, 0.09, 0.01]))
+    mid = 100 * np.exp(np.cumsum(rng.standard_t(2, n) * 1e-3))
+    pick = lambda x, *odd: np.where(rng.random(n) < 0.01, rng.choice(odd, n), x)
+    half = mid * rng.gamma(1.0, 1e-4, n)
+    cross = np.where(rng.random(n) < 0.02, -1, 1)
+    sizes = lambda: pick(np.round(rng.lognormal(3, 1.5, n)), 0.0, np.nan, -1.0)
+    return rng.random(n) < 0.6, ts, pick(mid, np.nan, 0.0, -1.0), sizes(), pick(mid - half * cross, np.nan, 0.0), pick(mid + half * cross, np.nan, 0.0), sizes(), sizes()
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_arrays_give_what_single_events_give(seed):
+    """All kinds of alerts, whatever the cuts between arrays; and kinds on their own."""
+    rng = np.random.default_rng(seed)
+    p = Params(session_gap=100.0, warmup=seed, min_obs=10 * (seed % 3), spread_z=2.0, qrate_z=1.5, vol_z=1.5, micro_z=1.5, z_thresh=2.0, cusum_h=3.0, burst_k=1.5, burst_window=3.0, regime_short=20, regime_ref=12, regime_stride=5, regime_check=7, regime_ks=0.2, regime_cooldown=20.0, use_quote_mid=seed % 2 == 0, p2_fallback="parity" if seed < 4 else "published")
+    events = random_events(rng, 3000)
+    plain, wanted = Symbol(p), []
+    for i, row in enumerate(zip(*(x.tolist() for x in events))):
+        wanted += [(i, *a) for a in plain.on_event(*row)]
+    cuts = np.sort(rng.integers(0, 3000, 40))
+    for kinds in (None, {"robust_z"}, {"spread_widen", "quote_rate_spike"}, {"burst"}, {"regime_shift", "obi_extreme"}):
+        state, got = K.Symbol(p, kinds), []
+        for a, b in zip([0, *cuts], [*cuts, 3000]):
+            got += [(a + i, kind, price, score, details) for i, _, kind, price, score, details in state.run(*(x[a:b] for x in events))]
+        own = [w for w in wanted if kinds is None or w[1] in kinds]
+        assert [(g[0], g[1]) for g in got] == [(w[0], w[1]) for w in own]
+        for g, w in zip(got, own):
+            assert g[2:4] == pytest.approx(w[2:4], rel=1e-7, abs=1e-9)
+            assert g[4].keys() == w[4].keys() and all(g[4][k] == (w[4][k] if isinstance(w[4][k], str) else pytest.approx(w[4][k], rel=1e-7, abs=1e-9)) for k in g[4])
+    if seed == 0:
+        assert {w[1] for w in wanted} == set(K.KINDS)
+
+
 def test_a_jump_alerts():
     s, price, kinds = Symbol(), 100.0, []
     for i in range(300):
