@@ -4,21 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwatch.llm.common import beside_texts, held_out, joined_by_id, small_batches, staged
+from driftwatch.llm.common import held_out, joined_by_id, small_batches, staged
 
 #: Numbers of a word vector, words beside a word that count as its context, how many numbers of an index vector aren't zero.
 DIMENSIONS, CONTEXT, NONZERO = 32, 2, 6
-#: How often a word must stand in all documents together to have a context vector of its own. Its parts describe a rarer one.
-MIN_COUNT = 64
-#: Words with context vectors that may be broadcast, some 80 MB; with more, the texts' words are joined to them.
-SMALL_VOCABULARY = 2_000_000
+#: A word has a context vector of its own if it is one in so many words of all texts together, and stands in them so
+#: often; its parts alone describe a rarer one. So there are at most ONE_IN vectors, 20 MB, whatever the input.
+ONE_IN, MIN_COUNT = 500_000, 5
 #: Labelled rows that the network is fitted to, and parts into which that sample is dealt.
 SAMPLE_ROWS, SAMPLE_PARTS = 20_000, 16
 #: Share of the sample kept from the network to calibrate its probabilities: one in so many.
@@ -28,6 +29,8 @@ HIDDEN, EPOCHS, STEP, RATE, DECAY = 32, 40, 128, 3e-3, 1e-4
 #: Words whose vectors a worker keeps; words of the texts pooled together; words whose vectors are laid out at a time;
 #: different words, or context vectors, that a task gathers before it hands them on.
 CACHE, GROUP, BLOCK, GATHERED, GATHERED_VECTORS = 400_000, 1 << 18, 1 << 15, 1_000_000, 250_000
+#: Index vectors from which each word and each part of a word draws one by its hash.
+POOL = 1 << 14
 #: The seed of the network's start and of the order of its sample.
 SEED = 17
 #: Numbers that describe a text, see pooled.
@@ -36,17 +39,21 @@ FEATURES = 4 * DIMENSIONS + 4
 _KINDS = np.zeros(0x110000, np.uint64)  # by code point; 0: not met yet
 
 
-def grouped(texts: list[str | None]) -> Iterator[tuple[int, list[str], np.ndarray, np.ndarray]]:
-    """Texts in groups of some GROUP words: the first text's place, the different words, each word by its number among these, and words by text."""
-    words, lengths, first = [], [], 0
-    for k, text in enumerate(texts):
-        own = text.split() if text else []
-        words += own
-        lengths.append(len(own))
-        if len(words) >= GROUP or k == len(texts) - 1:
-            coded = pa.array(words, pa.string()).dictionary_encode()
-            yield first, coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.array(lengths)
-            words, lengths, first = [], [], k + 1
+def grouped(texts: pa.Array) -> Iterator[tuple[int, list[str], np.ndarray, np.ndarray]]:
+    """Texts in groups of some GROUP words: the first text's place, the different words, each word by its number among
+    these, and words by text. White space parts words; a null text has none."""
+    lists = pc.utf8_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+    words = lists.flatten()
+    full = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)  # not what is before the first and after the last
+    before = np.r_[0, np.cumsum(full)]
+    bounds = before[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+    words = words.filter(pa.array(full))
+    first = 0
+    while first < len(lists):
+        last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + GROUP, "right")) - 1)
+        coded = words.slice(bounds[first], bounds[last] - bounds[first]).dictionary_encode()
+        yield first, coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.diff(bounds[first : last + 1])
+        first = last
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -82,11 +89,18 @@ def _kinds(cp: np.ndarray) -> np.ndarray:
     return _KINDS[cp]
 
 
-def _index_vectors(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """Sums by owner of sparse vectors: NONZERO places drawn from each hash hold plus and minus one in turn."""
-    places = [owner * DIMENSIONS + (hashes >> np.uint64(5 * k)).astype(np.int64) % DIMENSIONS for k in range(NONZERO)]
-    plus, minus = (np.bincount(np.concatenate(places[k::2]), minlength=n * DIMENSIONS) for k in (0, 1))
-    return (plus - minus).astype(np.float32).reshape(n, DIMENSIONS)
+@lru_cache(maxsize=1)
+def _pool() -> np.ndarray:
+    """Sparse vectors: NONZERO places, drawn at random, hold plus and minus one in turn."""
+    rng, out = np.random.default_rng(SEED), np.zeros((POOL, DIMENSIONS), np.int8)
+    for k in range(NONZERO):
+        np.add.at(out, (np.arange(POOL), rng.integers(0, DIMENSIONS, POOL)), -1 if k % 2 else 1)
+    return out
+
+
+def _drawn(hashes: np.ndarray) -> np.ndarray:
+    """Which index vector each hash draws."""
+    return (hashes >> np.uint64(20)).astype(np.int64) % POOL
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -108,8 +122,13 @@ def part_vectors(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     runs = np.flatnonzero(np.r_[True, (kinds[1:] != kinds[:-1]) | (owner[1:] != owner[:-1])])
     sizes = np.bincount(owner[runs], minlength=n)
     shapes = _ordered(kinds[runs] | np.uint64(1 << 40), np.cumsum(sizes) - sizes, sizes)
-    hashes = np.concatenate([threes, shapes, own])
-    return own, _unit(_index_vectors(hashes, np.concatenate([owner[at], np.arange(n), np.arange(n)]), n))
+    pool, drawn, out = _pool(), _drawn(threes), np.empty((n, DIMENSIONS), np.float32)
+    ends = np.cumsum(lengths - 2)  # each word has as many threes as characters
+    for a in range(0, n, BLOCK):
+        b = min(a + BLOCK, n)
+        first = ends[a] - lengths[a] + 2
+        out[a:b] = np.add.reduceat(pool[drawn[first : ends[b - 1]]], ends[a:b] - lengths[a:b] + 2 - first, axis=0, dtype=np.int32)
+    return own, _unit(out + pool[_drawn(shapes)] + pool[_drawn(own)])
 
 
 @dataclass
@@ -153,7 +172,7 @@ def _by_text(out: np.ndarray, doc: np.ndarray, rows: np.ndarray) -> None:
     out[doc[starts]] += np.add.reduceat(rows, starts, axis=0, dtype=np.float64)
 
 
-def pooled(texts: list[str | None], vectors: Vectors) -> np.ndarray:
+def pooled(texts: pa.Array, vectors: Vectors) -> np.ndarray:
     """A text's numbers: mean and spread of its word vectors, mean over different words, mean product with the next
     word's vector, share of different words, likeness of neighbours, log of the length, share of repeated lines."""
     out = np.zeros((len(texts), FEATURES))
@@ -181,7 +200,7 @@ def pooled(texts: list[str | None], vectors: Vectors) -> np.ndarray:
         rest = np.column_stack([kinds / size[:, 0], product.sum(1) / size[:, 0], np.log1p(lengths) / 8, np.zeros(n)])
         numbers = np.concatenate([mean, np.sqrt(np.maximum(square / size - mean * mean, 0)), once / np.maximum(kinds, 1)[:, None], product / size, rest], axis=1)
         for k in np.flatnonzero(lengths):
-            lines = [x for x in texts[first + k].split("\n") if x.strip()]
+            lines = [x for x in texts[first + k].as_py().split("\n") if x.strip()]
             numbers[k, -1] = 1 - len(set(lines)) / len(lines)
         out[first : first + n] = numbers
     return out
@@ -247,87 +266,78 @@ def _summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarra
     return key[starts], np.add.reduceat(np.concatenate(values)[order], starts, axis=0) if len(key) else np.concatenate(values)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], most: int, look: Callable[[pa.Array], Iterator[tuple[np.ndarray, np.ndarray]]], row: Callable[[np.ndarray, np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums by key of what look finds in the texts, handed on when some most of them are held."""
+    keys, values, held = [], [], 0
+    for batch in batches:
+        for key, value in look(batch.column(0)):
+            keys.append(key)
+            values.append(value)
+            held += len(key)
+            if held > most:
+                own = _summed(keys, values)
+                keys, values, held = [own[0]], [own[1]], len(own[0])
+                if held > most // 2:
+                    yield row(*own)
+                    keys, values, held = [], [], 0
+    if keys:
+        yield row(*_summed(keys, values))
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """From (text) to (key, n): the hash of each word and how often it stands in all texts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, held = [], [], 0
+    def look(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for _, words, codes, _ in grouped(column):
+            yield hashes_of(words), np.bincount(codes, minlength=len(words)).astype(np.int64)
 
-        def summed() -> pa.RecordBatch:
-            key, n = _summed(keys, counts)
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
-
-        for batch in batches:
-            for _, words, codes, _ in grouped(batch.column(0).to_pylist()):
-                keys.append(hashes_of(words))
-                counts.append(np.bincount(codes, minlength=len(words)).astype(np.int64))
-                held += len(words)
-                if held > GATHERED:
-                    own = _summed(keys, counts)
-                    keys, counts, held = [own[0]], [own[1]], len(own[0])
-                    if held > GATHERED // 2:
-                        yield summed()
-                        keys, counts, held = [], [], 0
-        if keys:
-            yield summed()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _gathered(batches, GATHERED, look, lambda key, n: pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"]))
 
     return texts.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _around(codes: np.ndarray, doc: np.ndarray, index: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _around(codes: np.ndarray, doc: np.ndarray, drawn: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the words that are wanted, those that occur and the sums of the index vectors up to CONTEXT words beside them, in the same text."""
-    out, met = np.zeros((len(index), DIMENSIONS), np.int32), np.zeros(len(index), bool)
+    pool, out, met = _pool(), np.zeros((len(drawn), DIMENSIONS), np.int32), np.zeros(len(drawn), bool)
     for a in range(0, len(codes), BLOCK):
         at = a + np.flatnonzero(wanted[codes[a : a + BLOCK]])
         if not len(at):
             continue
-        v = np.zeros((len(at), DIMENSIONS), np.int32)
+        at = at[np.argsort(codes[at], kind="stable")]
+        v = np.zeros((len(at), DIMENSIONS), np.int8)
         for d in (*range(-CONTEXT, 0), *range(1, CONTEXT + 1)):
             beside = np.clip(at + d, 0, len(codes) - 1)
-            v += index[codes[beside]] * ((doc[beside] == doc[at]) & (beside == at + d))[:, None]
-        word, sums = _summed([codes[at]], [v])
-        out[word] += sums
-        met[word] = True
+            v += pool[drawn[codes[beside]]] * ((doc[beside] == doc[at]) & (beside == at + d))[:, None]
+        word = codes[at]
+        starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        out[word[starts]] += np.add.reduceat(v, starts, axis=0, dtype=np.int32)
+        met[word[starts]] = True
     own = np.flatnonzero(met)
     return own, out[own]
 
 
-def context_vectors(texts: DataFrame, min_count: int) -> DataFrame:
-    """From (text) to (key, vector): for each word that stands min_count times or more in all texts, the sum of the index
-    vectors of the words up to CONTEXT places beside it, over all texts; as DIMENSIONS whole numbers in bytes, little-endian.
+def context_vectors(texts: DataFrame, one_in: int, min_count: int) -> DataFrame:
+    """From (text) to (key, vector): for each frequent word the sum of the index vectors of the words up to CONTEXT places
+    beside it, over all texts; as DIMENSIONS whole numbers in bytes, little-endian.
 
-    Words are counted first, so that what tasks hand on is one row a frequent word. A task's table of wanted words is
-    broadcast up to SMALL_VOCABULARY; beyond, all words' sums are handed on and the rare ones left out afterwards.
+    Words are counted first: a word is frequent if it is one in so many of all words and stands min_count times or more.
+    There are at most one_in frequent words, so the set of their hashes is broadcast.
     """
     spark = texts.sparkSession
-    frequent = staged(word_counts(texts).where(F.col("n") >= min_count).select("key"), "frequent-words")
-    few = frequent.count() <= SMALL_VOCABULARY
-    shared = spark.sparkContext.broadcast(np.sort(frequent.toArrow().column("key").to_numpy().view(np.uint64))) if few else None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sums, held = [], [], 0
+    counts = staged(word_counts(texts), "word-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    frequent = counts.where((F.col("n") >= min_count) & (F.col("n") * one_in >= total)).select("key")
+    shared = spark.sparkContext.broadcast(np.sort(frequent.toArrow().column("key").to_numpy().view(np.uint64)))
 
-        def summed() -> pa.RecordBatch:
-            key, v = _summed(keys, sums)
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), _as_bytes(v)], ["key", "vector"])
+    def look(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for _, words, codes, lengths in grouped(column):
+            own = hashes_of(words)
+            met, v = _around(codes, np.repeat(np.arange(len(lengths)), lengths), _drawn(own), _member(own, shared.value))
+            yield own[met], v
 
-        for batch in batches:
-            for _, words, codes, lengths in grouped(batch.column(0).to_pylist()):
-                own = hashes_of(words)
-                wanted = np.ones(len(words), bool) if shared is None else _member(own, shared.value)
-                index = _index_vectors(own, np.arange(len(words)), len(words)).astype(np.int32)
-                met, v = _around(codes, np.repeat(np.arange(len(lengths)), lengths), index, wanted)
-                keys.append(own[met])
-                sums.append(v)
-                held += len(met)
-                if held > GATHERED_VECTORS:
-                    got = _summed(keys, sums)
-                    keys, sums, held = [got[0]], [got[1]], len(got[0])
-                    if held > GATHERED_VECTORS // 2:
-                        yield summed()
-                        keys, sums, held = [], [], 0
-        if keys:
-            yield summed()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _gathered(batches, GATHERED_VECTORS, look, lambda key, v: pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), _as_bytes(v, "<i4")], ["key", "vector"]))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums by key of rows that come sorted by it."""
@@ -335,7 +345,7 @@ def context_vectors(texts: DataFrame, min_count: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, v = batch.column(0).to_numpy(), _from_bytes(batch.column(1))
+            key, v = batch.column(0).to_numpy(), _from_bytes(batch.column(1), "<i4").astype(np.int64)
             if rest is not None:
                 key, v = np.concatenate([rest[0], key]), np.concatenate([rest[1], v])
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -346,41 +356,26 @@ def context_vectors(texts: DataFrame, min_count: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(rest[0]), _as_bytes(rest[1])], ["key", "vector"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sums = texts.mapInArrow(run, "key bigint, vector binary").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(add, "key bigint, vector binary")
-    return sums if few else sums.join(frequent, "key")
+    return texts.mapInArrow(run, "key bigint, vector binary").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(add, "key bigint, vector binary")
 
 
 def _member(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x if len(keys) else np.zeros(len(x), bool)
 
 
-def _as_bytes(v: np.ndarray) -> pa.Array:
+def _as_bytes(v: np.ndarray, kind: str = "<i8") -> pa.Array:
     """Rows of whole numbers as binary values."""
-    data, width = np.ascontiguousarray(v, "<i8").tobytes(), DIMENSIONS * 8
-    return pa.Array.from_buffers(pa.binary(), len(v), [None, pa.py_buffer((np.arange(len(v) + 1) * width).astype("<i4").tobytes()), pa.py_buffer(data)])
-
-
-def _from_bytes(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<i8").reshape(-1, DIMENSIONS)
-
+    width = DIMENSIONS * int(kind[-1])
+    return pa.Array.from_buffers(pa.binary(), len(v), [None, pa.py_buffer((np.arange(len(v) + 1) * width).astype("<i4").tobytes()), pa.py_buffer(np.ascontiguousarray(v, kind).tobytes())])
 
-@dataclass
-class Corpus:
-    """Context vectors of all documents' words: broadcast, or as a table (key, vector) if there are more than SMALL_VOCABULARY."""
-
-    shared: Broadcast | None = None
-    table: DataFrame | None = None
 
+def _from_bytes(column: pa.Array, kind: str = "<i8") -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, DIMENSIONS)
 
-def _as_contexts(known: dict[int, bytes]) -> Contexts:
-    keys = np.fromiter(known, np.int64, len(known)).view(np.uint64)
-    order = np.argsort(keys)
-    return Contexts(keys[order], np.frombuffer(b"".join(known.values()), np.int8).reshape(-1, DIMENSIONS)[order])
 
-
-def contexts_of(texts: DataFrame, min_count: int | None = None) -> Corpus:
-    """Context vectors less their mean, at unit length, of a (text) table's words; every row of it counts."""
-    sums = staged(context_vectors(texts, min_count or MIN_COUNT), "contexts")
+def contexts_of(texts: DataFrame, one_in: int | None = None, min_count: int | None = None) -> Broadcast:
+    """The Contexts of a (text) table's frequent words, less their mean; every row of it counts."""
+    sums = staged(context_vectors(texts, one_in or ONE_IN, min_count or MIN_COUNT), "contexts")
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, v = 0, np.zeros(DIMENSIONS)
@@ -390,42 +385,36 @@ def contexts_of(texts: DataFrame, min_count: int | None = None) -> Corpus:
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([v.tobytes()], pa.binary())], ["n", "v"])
 
     parts = sums.mapInArrow(total, "n bigint, v binary").toArrow()  # one short row a task
-    n = sum(parts.column("n").to_pylist())
-    mean = sum(np.frombuffer(v) for v in parts.column("v").to_pylist()) / max(1, n) if n else np.zeros(DIMENSIONS)
+    mean = sum((np.frombuffer(v) for v in parts.column("v").to_pylist()), np.zeros(DIMENSIONS)) / max(1, sum(parts.column("n").to_pylist()))
 
     def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = np.rint(_unit(_from_bytes(batch.column(1)) - mean) * 127).astype(np.int8)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in v], pa.binary())], ["key", "vector"])
 
-    table = sums.mapInArrow(unit, "key bigint, vector binary")
-    if n > SMALL_VOCABULARY:
-        return Corpus(table=staged(table, "context-vectors"))
-    got = table.toArrow()
-    return Corpus(shared=texts.sparkSession.sparkContext.broadcast(_as_contexts(dict(zip(got.column("key").to_pylist(), got.column("vector").to_pylist())))))
+    got = sums.mapInArrow(unit, "key bigint, vector binary").toArrow()
+    keys = got.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    vectors = np.frombuffer(b"".join(got.column("vector").to_pylist()), np.int8).reshape(-1, DIMENSIONS)
+    return texts.sparkSession.sparkContext.broadcast(Contexts(keys[order], vectors[order]))
 
 
-def _numbered(docs: DataFrame, corpus: Corpus, id_col: str, text_col: str, finish: Callable[[np.ndarray], list[pa.Array]], added: str) -> DataFrame:
+def _numbered(docs: DataFrame, contexts: Broadcast, text_col: str, finish: Callable[[np.ndarray], list[pa.Array]], added: str) -> DataFrame:
     """docs with the columns that finish makes of their texts' numbers."""
-    at, names, shared = docs.columns.index(text_col), docs.columns, corpus.shared
+    at, names = docs.columns.index(text_col), docs.columns
     made = [part.split()[0] for part in added.split(", ")]
-    if shared is None:
-        numbers = lambda texts, vectors: finish(pooled(texts, vectors))
-        keys = lambda texts: hashes_of(list({w for t in texts for w in (t or "").split()})).view(np.int64).tolist()
-        return beside_texts(docs, id_col, text_col, keys, "bigint", lambda x: x.join(corpus.table, "key"), "vector", "binary", lambda known: Vectors(_as_contexts(known)), numbers, added)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors = Vectors(shared.value)
+        vectors = Vectors(contexts.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, *finish(pooled(batch.column(at).to_pylist(), vectors))], [*names, *made])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *finish(pooled(batch.column(at), vectors))], [*names, *made])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), added]))
 
 
 @dataclass
 class Model:
-    corpus: Corpus
+    contexts: Broadcast
     classifier: Classifier
 
 
@@ -438,21 +427,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
-    corpus = contexts_of(rows.select("text"))
+    contexts = contexts_of(rows.select("text"))
     known = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col, 4, 2)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("y"))
     share = min(1.0, sample_rows / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)))
     sample = staged(joined_by_id(rows, chosen, "_id").select("_id", "y", "text"), "quality-sample").repartition(SAMPLE_PARTS)
     as_bytes = lambda x: [pa.array([row.astype(np.float32).tobytes() for row in x], pa.binary())]
-    got = _numbered(sample, corpus, "_id", "text", as_bytes, "x binary").select("y", "x").toArrow()
+    got = _numbered(sample, contexts, "text", as_bytes, "x binary").select("y", "x").toArrow()
     y = got.column("y").to_numpy().astype(float)
     x = np.array([np.frombuffer(b, np.float32) for b in got.column("x").to_pylist()], float).reshape(-1, FEATURES)
     if not len(y):
         empty = [np.zeros((FEATURES, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), np.zeros(())]
-        return Model(corpus, Classifier(np.zeros(FEATURES), np.ones(FEATURES), empty))
+        return Model(contexts, Classifier(np.zeros(FEATURES), np.ones(FEATURES), empty))
     order = np.lexsort((*np.round(x.T[:3], 4), y))  # whatever the order in which tasks end
     mixed = np.random.default_rng(SEED).permutation(len(order))
-    return Model(corpus, train(x[order][mixed], y[order][mixed]))
+    return Model(contexts, train(x[order][mixed], y[order][mixed]))
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7) -> DataFrame:
@@ -465,5 +454,5 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     model = fit(docs, labels, id_col, text_col, label_col)
     shared = docs.sparkSession.sparkContext.broadcast(model.classifier)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = _numbered(rows, model.corpus, "doc_id", "text", lambda x: [pa.array(shared.value.score(x))], "score double")
+    out = _numbered(rows, model.contexts, "text", lambda x: [pa.array(shared.value.score(x))], "score double")
     return out.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
