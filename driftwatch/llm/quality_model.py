@@ -34,7 +34,7 @@ POOL = 1 << 14
 #: The seed of the network's start and of the order of its sample.
 SEED = 17
 #: Numbers that describe a text, see pooled.
-FEATURES = 4 * DIMENSIONS + 4
+FEATURES = 3 * DIMENSIONS + 4
 
 _KINDS = np.zeros(0x110000, np.uint64)  # by code point; 0: not met yet
 
@@ -166,39 +166,30 @@ class Vectors:
         return self.rows[np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))]
 
 
-def _by_text(out: np.ndarray, doc: np.ndarray, rows: np.ndarray) -> None:
-    """Add rows, those of a text side by side, to the text's."""
-    starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    out[doc[starts]] += np.add.reduceat(rows, starts, axis=0, dtype=np.float64)
-
-
 def pooled(texts: pa.Array, vectors: Vectors) -> np.ndarray:
-    """A text's numbers: mean and spread of its word vectors, mean over different words, mean product with the next
-    word's vector, share of different words, likeness of neighbours, log of the length, share of repeated lines."""
+    """A text's numbers: mean and spread of its word vectors, mean product with the next word's vector, share of different
+    words, likeness of neighbours, log of the length, share of repeated lines."""
     out = np.zeros((len(texts), FEATURES))
     for first, words, codes, lengths in grouped(texts):
         if not len(codes):
             continue
         own, n = vectors.of(words), len(lengths)
         doc = np.repeat(np.arange(n), lengths)
-        total, square, product, once = (np.zeros((n, DIMENSIONS)) for _ in range(4))
-        for a in range(0, len(codes), BLOCK):
-            here = slice(a, a + BLOCK)
-            v = own[codes[here]]
-            _by_text(total, doc[here], v)
-            _by_text(square, doc[here], v * v)
-            before = np.concatenate([own[codes[a - 1 : a]] if a else v[:1], v[:-1]])
-            same = doc[here] == np.concatenate([doc[a - 1 : a] if a else [-1], doc[here][:-1]])
-            _by_text(product, doc[here], v * before * same[:, None])
-        different = np.unique(doc * len(words) + codes)
-        for a in range(0, len(different), BLOCK):
-            part = different[a : a + BLOCK]
-            _by_text(once, part // len(words), own[part % len(words)])
+        total, square, product = (np.zeros((n, DIMENSIONS)) for _ in range(3))
+        ends = np.cumsum(lengths).tolist()
+        for k, end in enumerate(ends):
+            start = ends[k - 1] if k else 0
+            for a in range(start, end, BLOCK):
+                v = own[codes[max(a - 1, start) : min(a + BLOCK, end)]]  # with the word before the block
+                product[k] += np.einsum("ij,ij->j", v[1:], v[:-1])
+                v = v[int(a > start) :]
+                total[k] += v.sum(0)
+                square[k] += np.einsum("ij,ij->j", v, v)
         size = np.maximum(lengths, 1)[:, None]
-        kinds = np.bincount(different // len(words), minlength=n)
+        kinds = np.bincount(np.unique(doc * len(words) + codes) // len(words), minlength=n)
         mean = total / size
         rest = np.column_stack([kinds / size[:, 0], product.sum(1) / size[:, 0], np.log1p(lengths) / 8, np.zeros(n)])
-        numbers = np.concatenate([mean, np.sqrt(np.maximum(square / size - mean * mean, 0)), once / np.maximum(kinds, 1)[:, None], product / size, rest], axis=1)
+        numbers = np.concatenate([mean, np.sqrt(np.maximum(square / size - mean * mean, 0)), product / size, rest], axis=1)
         for k in np.flatnonzero(lengths):
             lines = [x for x in texts[first + k].as_py().split("\n") if x.strip()]
             numbers[k, -1] = 1 - len(set(lines)) / len(lines)
