@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwatch.functions.scalar import wilson
+from driftwatch.operators.models import poisson_intervals
+from driftwatch.operators.windows import at_ranks
+from driftwatch.sources.files import alerts_csv, catalog_csv, file_sha256
 
 NS, DAY = 1_000_000_000, 86_400
 
@@ -17,8 +25,8 @@ def windows_of(events: DataFrame, tolerance_sec: float) -> DataFrame:
     return events.withColumn("we_from", F.when(point, F.col("ts_ns") - t).otherwise(F.col("ts_ns"))).withColumn("we_to", F.when(point, F.col("ts_ns") + t).otherwise(F.col("ts_ns") + d))
 
 
-def interval_join(alerts: DataFrame, events: DataFrame, tolerance_sec: float, bucket_sec: int = DAY) -> DataFrame:
-    """Each pair of an alert and an event of its symbol whose window it lies in.
+def interval_join(alerts: DataFrame, events: DataFrame, tolerance_sec: float, bucket_sec: int = DAY, how: str = "inner") -> DataFrame:
+    """Each pair of an alert and an event of its symbol whose window it lies in; how left: alerts in no window too, alone.
 
     Both sides are dealt out by symbol and time bucket, so that one symbol's rows don't meet in one task; an event is
     repeated for each bucket that its window touches.
@@ -26,7 +34,9 @@ def interval_join(alerts: DataFrame, events: DataFrame, tolerance_sec: float, bu
     size = bucket_sec * NS
     e = windows_of(events, tolerance_sec).withColumnRenamed("ts_ns", "event_ts").withColumn("bucket", F.explode(F.sequence(F.floor(F.col("we_from") / size), F.floor(F.col("we_to") / size))))
     a = alerts.withColumn("bucket", F.floor(F.col("ts_ns") / size))
-    return a.join(e, ["symbol", "bucket"]).where(F.col("ts_ns").between(F.col("we_from"), F.col("we_to"))).drop("bucket")
+    e = e.withColumnsRenamed({"symbol": "_symbol", "bucket": "_bucket"})
+    meet = (F.col("symbol") == F.col("_symbol")) & (F.col("bucket") == F.col("_bucket")) & F.col("ts_ns").between(F.col("we_from"), F.col("we_to"))
+    return a.join(e, meet, how).drop("bucket", "_bucket", "_symbol")
 
 
 def detected(alerts: DataFrame, events: DataFrame, tolerance_sec: float, how: str = "left_semi") -> DataFrame:
@@ -40,7 +50,7 @@ def time_to_detect(alerts: DataFrame, events: DataFrame, tolerance_sec: float) -
     pairs = interval_join(alerts, events.where("polarity = 'positive'"), tolerance_sec)
     delta = F.col("ts_ns") - F.col("event_ts")
     best = F.min(F.struct((delta < 0).alias("late"), F.abs(delta).alias("gap"), F.col("ts_ns").alias("at"), delta.alias("delta")))
-    return pairs.groupBy("event_no").agg(best.alias("b")).select("event_no", (F.col("b.delta") / 1e6).alias("ttd_ms"))
+    return pairs.groupBy("event_no").agg(best.alias("b")).select("event_no", F.col("b.delta").alias("ttd_ns"), (F.col("b.delta") / 1e6).alias("ttd_ms"))
 
 
 def unattributed(alerts: DataFrame, events: DataFrame, tolerance_sec: float) -> DataFrame:
@@ -50,23 +60,27 @@ def unattributed(alerts: DataFrame, events: DataFrame, tolerance_sec: float) ->
 
 
 def summary(alerts: DataFrame, events: DataFrame, tolerance_sec: float) -> DataFrame:
-    """One row: detected and all positives, recall and its interval, quiet windows hit, false positives a quiet day, unattributed alerts."""
-    pairs = interval_join(alerts, events, tolerance_sec)
-    hit = pairs.select("event_no").distinct().withColumn("hit", F.lit(1))
-    e = events.join(hit, "event_no", "left")
-    positive, quiet, got = F.col("polarity") == "positive", F.col("polarity") == "quiet", F.col("hit").isNotNull()
-    counts = e.agg(
-        F.count(F.when(positive & got, 1)).alias("detected"), F.count(F.when(positive, 1)).alias("positives"),
-        F.count(F.when(quiet & got, 1)).alias("quiet_hit"), F.count(F.when(quiet, 1)).alias("quiet_windows"),
+    """One row: detected and all positives, recall and its interval, quiet windows hit, false positives a quiet day, unattributed alerts.
+
+    One join: each alert beside each event whose window it lies in, or alone. Whether it is attributed depends on its
+    time and symbol, so counting alerts that stand alone counts the keys without an event, repeated rows included.
+    """
+    pairs = interval_join(alerts, events.select("event_no", "ts_ns", "symbol", "polarity", "duration_sec"), tolerance_sec, how="left")
+    positive, quiet = F.col("polarity") == "positive", F.col("polarity") == "quiet"
+    number = F.col("event_no")
+    hits = pairs.agg(
+        F.count_distinct(F.when(positive, number)).alias("detected"), F.count_distinct(F.when(quiet, number)).alias("quiet_hit"),
+        F.count(F.when(quiet, 1)).alias("quiet_alerts"), F.count(F.when(number.isNull(), 1)).alias("unattributed"),
+    )
+    counts = events.agg(
+        F.count(F.when(positive, 1)).alias("positives"), F.count(F.when(quiet, 1)).alias("quiet_windows"),
         (F.coalesce(F.sum(F.when(quiet, F.col("duration_sec"))), F.lit(0.0)) / DAY).alias("quiet_days"),
     )
-    fp = pairs.where("polarity = 'quiet'").agg(F.count("*").alias("quiet_alerts"))
-    free = unattributed(alerts, events, tolerance_sec).agg(F.count("*").alias("unattributed"))
     n = alerts.agg(F.count("*").alias("alerts"))
     low, high = wilson(F.col("detected"), F.col("positives"))
-    one = counts.join(fp, F.lit(True)).join(free, F.lit(True)).join(n, F.lit(True))  # each is one row
+    one = counts.join(hits, F.lit(True)).join(n, F.lit(True))  # each is one row
     rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    return one.select("*", rate("detected", "positives").alias("recall"), low.alias("recall_low"), high.alias("recall_high"), rate("quiet_alerts", "quiet_days").alias("fp_per_day"))
+    return one.select("*", rate("detected", "positives").alias("recall"), low.alias("recall_low"), high.alias("recall_high"), rate("quiet_hit", "quiet_windows").alias("quiet_rate"), rate("quiet_alerts", "quiet_days").alias("fp_per_day"))
 
 
 def per_event_type(alerts: DataFrame, events: DataFrame, tolerance_sec: float) -> DataFrame:
@@ -90,3 +104,70 @@ def outside_coverage(alerts: DataFrame, events: DataFrame, tolerance_sec: float)
     t = int(tolerance_sec * NS)
     span = alerts.agg((F.min("ts_ns") - t).alias("first"), (F.max("ts_ns") + t).alias("last"))
     return events.where("polarity = 'positive'").join(F.broadcast(span), (F.col("ts_ns") < F.col("first")) | (F.col("ts_ns") > F.col("last"))).drop("first", "last")
+
+
+def time_resolution(stamps: DataFrame, column: str = "ts_ns") -> DataFrame:
+    """resolution_ns: the greatest common divisor of all gaps between times, 0 if there is one time at most.
+
+    It is that of all distances from any one of the times, so no order is needed: each task hands on one time and the
+    divisor of its own distances. Nulls are left out.
+    """
+    rows = stamps.where(F.col(column).isNotNull()).select(F.col(column).cast("bigint").alias("t"), F.lit(0).cast("bigint").alias("g"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, divisor = None, 0
+        for batch in batches:
+            if batch.num_rows:
+                t, g = (c.to_numpy() for c in batch.columns)
+                first = int(t[0]) if first is None else first
+                divisor = math.gcd(divisor, int(np.gcd.reduce(np.abs(t - first))), int(np.gcd.reduce(g)))
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([divisor])], ["t", "g"])
+
+    parts = rows.mapInArrow(fold, "t bigint, g bigint").coalesce(1).mapInArrow(fold, "t bigint, g bigint")
+    return parts.agg(F.coalesce(F.max("g"), F.lit(0).cast("bigint")).alias("resolution_ns"))
+
+
+def ttd_summary(alerts: DataFrame, events: DataFrame, tolerance_sec: float) -> DataFrame:
+    """One row on the times to detection: how many, mean, upper median, how many fired before the event's own time, the
+    earliest; and the median and the input's resolution in the unit that the resolution allows: days, seconds or ms."""
+    ttd = time_to_detect(alerts, events, tolerance_sec).select(F.col("ttd_ns").alias("ttd"))
+    middle = at_ranks(ttd, [], "ttd", {"median": F.floor(F.col("n") / 2)})
+    counts = ttd.agg(F.count("*").alias("n"), F.coalesce(F.avg("ttd"), F.lit(0.0)).alias("mean"), F.count(F.when(F.col("ttd") < 0, 1)).alias("early"), F.least(F.min("ttd"), F.lit(0).cast("bigint")).alias("earliest"))
+    both = alerts.select("ts_ns").unionByName(events.select("ts_ns"))
+    one = counts.join(middle.select("median"), F.lit(True), "left").join(time_resolution(both), F.lit(True))
+    fine, day = F.col("resolution_ns") < NS, F.lit(DAY * NS)
+    size = F.when(fine, 1_000_000).when(F.col("resolution_ns") >= day, day).otherwise(NS)
+    median = F.coalesce("median", F.lit(0).cast("bigint"))
+    return one.select(
+        "n", (F.col("mean") / 1e6).alias("mean_ms"), (median / 1e6).alias("median_ms"), "early", (F.col("earliest") / 1e6).alias("earliest_ms"), "resolution_ns",
+        F.when(fine, "ms").when(F.col("resolution_ns") >= day, "day").otherwise("s").alias("unit"), (median / size).alias("median_units"), (F.col("resolution_ns") / size).alias("resolution_units"),
+    )
+
+
+def evaluation(alerts: DataFrame, events: DataFrame, tolerance_sec: float, kinds: list[str] | None = None) -> DataFrame:
+    """All figures of an evaluation as one row; kinds leaves the other alerts out of all but the time that they cover."""
+    own = alerts.where(F.col("kind").isin(kinds)) if kinds else alerts
+    beside = lambda df, column: df.agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias(column))  # noqa: E731  # a row a kind or event type
+    span = alerts.agg(F.min("ts_ns").alias("first_alert_ns"), F.max("ts_ns").alias("last_alert_ns"))
+    missed = detected(own, events.where("polarity = 'positive'"), tolerance_sec, "left_anti").select("ts_ns", "symbol", "event_type", "description")
+    outside = outside_coverage(alerts, events, tolerance_sec).agg(F.count("*").alias("outside_coverage"))
+    one = poisson_intervals(summary(own, events, tolerance_sec).withColumn("quiet_alerts", F.col("quiet_alerts").cast("long")), "quiet_alerts", "quiet_days")
+    for part in (ttd_summary(own, events, tolerance_sec), span, outside, beside(per_event_type(own, events, tolerance_sec), "per_event_type"), beside(per_kind(own, events, tolerance_sec), "per_kind"), beside(missed, "missed_events")):
+        one = one.join(part, F.lit(True))
+    return one
+
+
+def artifact(spark: SparkSession, alerts_path: str, events_path: str, tolerance_sec: float, kinds: list[str] | None = None) -> DataFrame:
+    """One row with one JSON text: an evaluation of two files, with their paths and content hashes, the settings and the time."""
+    alerts = alerts_csv(spark, alerts_path)
+    events = catalog_csv(spark, events_path).withColumn("event_no", F.monotonically_increasing_id())
+    result = evaluation(alerts, events, tolerance_sec, kinds)
+    hashed = lambda path, name: file_sha256(spark, path).select(F.col("sha256").alias(name))
+    one = result.select(F.struct("*").alias("results")).join(hashed(alerts_path, "alerts_sha256"), F.lit(True)).join(hashed(events_path, "events_sha256"), F.lit(True))
+    inputs = F.struct(
+        F.lit(alerts_path).alias("alerts_path"), "alerts_sha256", F.lit(events_path).alias("events_path"), "events_sha256", F.lit(float(tolerance_sec)).alias("tolerance_sec"),
+        F.array(*map(F.lit, kinds or [])).cast("array<string>").alias("kinds"),
+    )
+    at = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    return one.select(F.to_json(F.struct(F.lit("driftwatch.evaluation/1").alias("schema"), at.alias("generated_at"), inputs.alias("inputs"), "results")).alias("json"))

@@ -41,18 +41,21 @@ def ks_two_sample(rows: DataFrame, value: str, is_first: str, key: str) -> DataF
     return rows.select(key, F.abs(share(first) - share(~first)).alias("d")).groupBy(key).agg(F.coalesce(F.max("d"), F.lit(0.0)).alias("ks"))
 
 
-def kendall_tau(wide: DataFrame, order: str, names: list[str]) -> DataFrame:
-    """tau-b of each pair of columns, from all pairs of days: for daily series, whose length is bounded by the calendar."""
-    a, b = wide.alias("a"), wide.alias("b")
-    pairs = a.join(b, F.col(f"a.{order}") < F.col(f"b.{order}"))
+def kendall_tau(wide: DataFrame, order: str, names: list[str], days: int = 252) -> DataFrame:
+    """tau-b of each pair of columns within each block of so many rows in order: block, x, y, tau.
+
+    Rows are compared within a block only, so the work grows with the rows; the last block may be shorter.
+    """
+    rows = wide.withColumn("block", F.floor((F.col(order) - 1) / days))
+    a, b = rows.alias("a"), rows.alias("b")
+    pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col(f"a.{order}") < F.col(f"b.{order}")))
     sign = {n: F.signum(F.col(f"a.{n}") - F.col(f"b.{n}")) for n in names}
     out = []
     for i, x in enumerate(names):
         for y in names[i + 1 :]:
-            s = F.sum(sign[x] * sign[y])
-            tau = s / F.sqrt(F.sum(F.abs(sign[x])) * F.sum(F.abs(sign[y])))
+            tau = F.sum(sign[x] * sign[y]) / F.sqrt(F.sum(F.abs(sign[x])) * F.sum(F.abs(sign[y])))
             out.append(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), tau.alias("tau")))
-    return pairs.agg(F.array(*out).alias("p")).select(F.inline("p"))
+    return pairs.groupBy(F.col("a.block").alias("block")).agg(F.array(*out).alias("p")).select("block", F.inline("p"))
 
 
 def joint_pmf(wide: DataFrame, names: list[str], bins: int = 4) -> DataFrame:
@@ -111,13 +114,21 @@ def rank_correlation(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def average_uniform(x: np.ndarray) -> np.ndarray:
+    """Each column's ranks over n + 1; equal values share the mean of theirs."""
+    ordered = np.sort(x, axis=0)
+    rank = lambda k: (np.searchsorted(ordered[:, k], x[:, k], "left") + np.searchsorted(ordered[:, k], x[:, k], "right") + 1) / 2
+    return np.clip(np.column_stack([rank(k) for k in range(x.shape[1])]) / (len(x) + 1), EDGE, 1 - EDGE)
+
+
 class TCopula:
-    """Student's t copula: rank correlation, and the degrees of freedom of greatest likelihood. df None: Gaussian."""
+    """Student's t copula: rank correlation, and the degrees of freedom of greatest likelihood on average ranks, the first
+    of equal ones. Gaussian: no degrees of freedom. Values are scored by the reference's empirical distribution."""
 
     def __init__(self, reference: np.ndarray, gaussian: bool = False):
         self.sorted = np.sort(reference, axis=0)
         self.r = nearest_positive(rank_correlation(reference))
-        u = self.uniform(reference)
+        u = average_uniform(reference)
         self.df = None if gaussian else max(DEGREES, key=lambda df: (self.density(u, df).sum(), -df))
 
     def uniform(self, x: np.ndarray) -> np.ndarray:
@@ -173,6 +184,29 @@ def walk_forward(returns: DataFrame, names: list[str], ref: int = 252, roll: int
     return dealt.groupBy("block").applyInPandas(score, "t bigint, rolling_ll double, z double, df int")
 
 
+def dependence_shift(returns: DataFrame, names: list[str], ref: int = 252, roll: int = 5, z_thresh: float = 3.0) -> DataFrame:
+    """One row: z of the last roll days under a copula of the oldest ref of the last ref + 3 * roll days; symbol, t, price
+    (the rolling log-likelihood), score, df, alert. No row with fewer than ref days, or without spread.
+
+    A job for a schedule: it looks at some hundred daily rows, which one task fits and scores.
+    """
+    lookback = ref + 3 * roll
+    last = returns.orderBy(F.desc("t")).limit(lookback)
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        x = pdf[names].to_numpy()
+        if len(x) < ref:
+            return pd.DataFrame({"t": [], "price": [], "score": [], "df": []}).astype({"t": "int64", "df": "int32"})
+        model = TCopula(x[:ref])
+        null = np.convolve(model.log_likelihood(x[:ref]), np.ones(roll), "valid")
+        own, sd = float(model.log_likelihood(x[-roll:]).sum()), float(null.std(ddof=1))
+        return pd.DataFrame({"t": [int(pdf["t"].iloc[-1])], "price": [own], "score": [(own - null.mean()) / max(sd, 1e-12)], "df": [np.int32(model.df)]})[[sd >= 1e-12]]
+
+    out = last.groupBy(F.lit("all").alias("_g")).applyInPandas(score, "t bigint, price double, score double, df int")
+    return out.select(F.concat_ws(",", *map(F.lit, names)).alias("symbol"), "t", "price", "score", "df", (F.abs("score") >= z_thresh).alias("alert"))
+
+
 def poisson_interval(k: int, exposure: float, level: float = 0.95) -> tuple[float, float]:
     """Garwood's interval of a rate: k events in an exposure."""
     if exposure <= 0:

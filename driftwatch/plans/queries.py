@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftwatch.functions import scalar as S
+from driftwatch.operators import control as C
 from driftwatch.operators import detect as D
 from driftwatch.operators import evaluate as E
+from driftwatch.operators import gates as G
 from driftwatch.operators import models as M
 from driftwatch.operators import windows as W
 from driftwatch.operators.kernels import Params
+from driftwatch.sources import files
 from driftwatch.sources import views as V
+from driftwatch.streaming import live
 
 #: Half an hour on either side of a point event. The test events are sparse: gaps of hours don't end a session there.
 TOLERANCE = 1800.0
@@ -59,15 +64,70 @@ def alert_export_format(spark, d):
 
 @query
 def webhook_payload(spark, d):
-    a = V.alerts(spark, d).where("abs(score) >= 20")
-    return a.groupBy(F.floor(F.col("ts_ns") / 86_400_000_000_000).alias("batch")).agg(F.count("*").alias("n"), F.concat_ws(",", F.sort_array(F.collect_set("symbol"))).alias("symbols")).withColumn("asset_class", S.asset_class(F.lit("crypto")))
+    """Prices in cents and scores in thousandths, so that both engines write the same digits."""
+    a = V.alerts(spark, d).withColumn("price", F.round(F.col("price") * 100).cast("bigint")).withColumn("score", F.round(F.col("score") * 1000).cast("bigint"))
+    return live.webhook_bodies(a, "crypto", 12_000.0, window_sec=3600)
 
 
 @query
 def health_status(spark, d):
-    x = V.ticks(spark, d).groupBy("symbol").agg(F.count("*").alias("n"), F.max("ts_ns").alias("last"))
-    idle = (F.max("last").over(Window.partitionBy()) - F.col("last")) / 1e9
-    return x.select("symbol", F.when(F.col("n") == 0, "starting").when(idle > 7200, "down").when(idle > 600, "degraded").otherwise("ok").alias("status"))
+    """Each user's events as a service: its detector died with a last event error, its feed is off after a last event
+    signup; users whose last event is a click have no feed to ask."""
+    now = V.table(spark, d, "events").agg(F.max("ts").alias("now"))
+    seconds = lambda a, b: (F.unix_micros(F.col(a).cast("timestamp")) - F.unix_micros(F.col(b).cast("timestamp"))) / 1e6
+    last = F.max_by("event_type", F.struct("ts", "event_id"))
+    u = V.table(spark, d, "events").groupBy("user_id").agg(last.alias("last"), F.max(F.when(F.col("value") > 20, F.col("ts"))).alias("tick"), F.min("ts").alias("start"))
+    x = u.join(F.broadcast(now), F.lit(True))  # one row
+    connected = F.when(F.col("last") != "click", F.col("last") != "signup")
+    return x.select("user_id", C.health(F.col("last") != "error", connected, seconds("now", "tick"), seconds("now", "start"), F.lit(86_400.0)).alias("status"))
+
+
+@query
+def tick_export_format(spark, d):
+    return V.ticks(spark, d).select("ts_ns", "symbol", S.text_of(F.col("price"), ".6f").alias("price"))
+
+
+@query
+def wide_to_replay(spark, d):
+    return files.wide_to_ticks(V.wide_prices(spark, d), "d", "p3").select("ts_ns", "symbol", r("price").alias("price"))
+
+
+# Settings, watchlists, switches
+@query
+def config_overlay(spark, d):
+    """Defaults by part brand, a layer of the dearer parts, then one of the largest."""
+    p = V.table(spark, d, "part").select(F.col("p_brand").alias("name"), "p_size", "p_retailprice")
+    of = lambda where, value: p.where(where).groupBy("name").agg(F.max(value).cast("string").alias("value"))
+    return C.overlay(of("true", F.lit(0)), of("p_retailprice > 1500", "p_size"), of("p_size >= 50", F.lit("large")))
+
+
+@query
+def pause_resume(spark, d):
+    """Very high prices switch the detectors off, very low ones on again."""
+    t = V.ticks(spark, d)
+    switches = t.where("price >= 300 or price < 0.5").groupBy("ts_ns").agg((F.min("price") < 0.5).alias("active"))
+    return C.while_active(t, switches).select("seq", "symbol")
+
+
+@query
+def watchlist_guard(spark, d):
+    c = V.table(spark, d, "customer").select(F.col("c_mktsegment").alias("symbol"), "c_acctbal")
+    current = c.where("c_acctbal < 5000 and symbol < 'F'")
+    some = C.reconcile(c.where("symbol > 'B'"), current).withColumn("case", F.lit("some"))
+    empty = C.reconcile(c.where("c_acctbal > 1e9"), current).withColumn("case", F.lit("empty"))
+    cleared = C.reconcile(c.where("c_acctbal > 1e9"), current, allow_empty=True).withColumn("case", F.lit("cleared"))
+    return some.unionByName(empty).unionByName(cleared)
+
+
+@query
+def drain_limit(spark, d):
+    return C.drained(V.ticks(spark, d), 2000).groupBy("symbol").agg(F.count("*").alias("n"), F.max("ts_ns").alias("last"))
+
+
+@query
+def inspection_report(spark, d):
+    x = C.inspection(V.alerts(spark, d))
+    return x.select("section", "key", "n", r("per_min").alias("per_min"), r("p50").alias("p50"), r("p95").alias("p95"), r("most").alias("most"))
 
 
 @query
@@ -168,8 +228,8 @@ def threshold_override(spark, d):
 # Aggregates
 @query
 def alert_counts(spark, d):
-    V.alerts(spark, d).createOrReplaceTempView("driftwatch_alerts")
-    return spark.sql("SELECT coalesce(kind, '*') AS kind, coalesce(symbol, '*') AS symbol, count(*) AS n FROM driftwatch_alerts GROUP BY GROUPING SETS ((kind), (symbol), (kind, symbol))")
+    sets = V.alerts(spark, d).groupingSets([["kind"], ["symbol"], ["kind", "symbol"]], "kind", "symbol").agg(F.count("*").alias("n"))
+    return sets.select(F.coalesce("kind", F.lit("*")).alias("kind"), F.coalesce("symbol", F.lit("*")).alias("symbol"), "n")
 
 
 @query
@@ -186,11 +246,8 @@ def percentiles_linear(spark, d):
 
 @query
 def percentiles_rank(spark, d):
-    """By row number instead of a collected list, so a symbol may have any number of rows."""
-    w = Window.partitionBy("symbol")
-    t = V.ticks(spark, d).select("symbol", "price", (F.row_number().over(w.orderBy("price")) - 1).alias("k"), F.count(F.lit(1)).over(w).alias("n"))
-    at = lambda p: F.max(F.when(F.col("k") == F.least(F.col("n") - 1, F.floor(F.col("n") * p / 100)), F.col("price"))).alias(f"p{p}")
-    return t.groupBy("symbol").agg(*map(at, (50, 90, 99)))
+    rank = lambda p: F.least(F.col("n") - 1, F.floor(F.col("n") * p / 100))
+    return W.at_ranks(V.ticks(spark, d), ["symbol"], "price", {f"p{p}": rank(p) for p in (50, 90, 99)})
 
 
 @query
@@ -208,7 +265,7 @@ def throughput(spark, d):
 @query
 def evaluate_summary(spark, d):
     s = E.summary(V.alerts(spark, d), V.catalog(spark, d), TOLERANCE)
-    return s.select("detected", "positives", "quiet_hit", "quiet_windows", "quiet_alerts", "unattributed", "alerts", *(r(c).alias(c) for c in ("quiet_days", "recall", "recall_low", "recall_high", "fp_per_day")))
+    return s.select("detected", "positives", "quiet_hit", "quiet_windows", "quiet_alerts", "unattributed", "alerts", *(r(c).alias(c) for c in ("quiet_days", "recall", "recall_low", "recall_high", "quiet_rate", "fp_per_day")))
 
 
 @query
@@ -223,7 +280,24 @@ def per_kind(spark, d):
 
 @query
 def outside_coverage(spark, d):
-    return E.outside_coverage(V.alerts(spark, d).where("seq > 1000"), V.catalog(spark, d), TOLERANCE).select("event_no")
+    """Alerts of the highest scores alone, which span less time than the events."""
+    return E.outside_coverage(V.alerts(spark, d).where("score >= 14.5"), V.catalog(spark, d), TOLERANCE).select("event_no")
+
+
+@query
+def ttd_summary(spark, d):
+    x = E.ttd_summary(V.alerts(spark, d), V.catalog(spark, d), TOLERANCE)
+    return x.select("n", "early", "resolution_ns", "unit", *(r(c, 3).alias(c) for c in ("mean_ms", "median_ms", "earliest_ms", "median_units", "resolution_units")))
+
+
+@query
+def ts_resolution(spark, d):
+    """Of all alerts' and events' times; those of daily prices; and those of a grid of three minutes."""
+    both = V.alerts(spark, d).select("ts_ns").union(V.catalog(spark, d).select("ts_ns"))
+    days = V.prices(spark, d).select((F.unix_date("d").cast("bigint") * 86_400_000_000_000).alias("ts_ns"))
+    grid = V.ticks(spark, d).select((F.floor(F.col("ts_ns") / 180_000_000_000) * 180_000_000_000 + 7).alias("ts_ns"))
+    parts = [E.time_resolution(x).withColumn("times", F.lit(name)) for name, x in (("alerts", both), ("days", days), ("grid", grid))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query
@@ -247,14 +321,16 @@ def joint_pmf(spark, d):
 # Windows, sorting, sets
 @query
 def rolling_sum5(spark, d):
-    return W.rolling_sum(V.returns(spark, d), "t", "r0", 5, "s").select("t", r("s", 9).alias("s"))
+    """Of eight series side by side."""
+    x = V.returns(spark, d).selectExpr("t", LONG_RETURNS)
+    return W.rolling_sum(x, "t", "ret", 5, "s", keys=("asset",)).select("t", "asset", r("s", 9).alias("s"))
 
 
 @query
 def null_z(spark, d):
-    x = V.returns(spark, d).select("t", "r0")
-    w = Window.partitionBy()
-    return x.select("t", r((F.col("r0") - F.avg("r0").over(w)) / F.greatest(F.stddev_samp("r0").over(w), F.lit(1e-12))).alias("z"))
+    """Of eight series side by side."""
+    x = V.returns(spark, d).selectExpr("t", LONG_RETURNS)
+    return W.null_scores(x, "ret", keys=("asset",)).select("t", "asset", r("z").alias("z"))
 
 
 @query
@@ -278,9 +354,85 @@ def rolling_alert_density(spark, d):
 
 @query
 def realized_vol(spark, d):
-    x = W.realized_volatility(V.returns(spark, d), "t", "r0", 20).where("vol is not null")
-    m = F.percentile("vol", F.lit(0.5)).over(Window.partitionBy())
-    return x.select("t", r("vol", 9).alias("vol"), (F.col("vol") < m).alias("below_median"))
+    """Of eight series side by side."""
+    x = W.realized_volatility(V.returns(spark, d).selectExpr("t", LONG_RETURNS), "t", "ret", 20, keys=("asset",)).where("vol is not null")
+    middle = x.groupBy("asset").agg(F.percentile("vol", F.lit(0.5)).alias("m"))
+    return x.join(middle, "asset").select("t", "asset", r("vol", 9).alias("vol"), (F.col("vol") < F.col("m")).alias("below_median"))
+
+
+def _gate_scores(spark, d):
+    """Two scores of the same days, and a volatility: rolling sums of two returns against all days."""
+    x = V.returns(spark, d)
+    of = lambda name: W.null_scores(W.rolling_sum(x, "t", name, 5, "s"), "s", f"z_{name}").select("t", f"z_{name}")
+    return of("r0").join(of("r1"), "t").join(W.realized_volatility(x, "t", "r2", 20).select("t", "vol"), "t")
+
+
+@query
+def quiet_windows(spark, d):
+    return W.quiet_starts(_gate_scores(spark, d), "t", "z_r0", "vol", calm=2.5)
+
+
+@query
+def gate_corroboration(spark, d):
+    x = G.corroboration(_gate_scores(spark, d), "z_r0", "z_r1", 2.0, 1.5)
+    return x.select("n_reference", "n_new", "n_both", "n_new_alone", r("corroborated").alias("corroborated"), r("lift").alias("lift"))
+
+
+@query
+def gate_quiet_firings(spark, d):
+    x = _gate_scores(spark, d)
+    return G.quiet_firings(x, "t", "z_r1", W.quiet_starts(x, "t", "z_r0", "vol", calm=2.5), new_thresh=1.0).withColumn("per_day", r("per_day"))
+
+
+#: Event, type, method, peak z and its day of the published gate's runs.
+GATE_RUNS = """
+COVID crisis gaussian 0.9665402505523115 6
+COVID crisis t 3.774591583374151 0
+COVID crisis mps_chi2 1.0473388275447715 0
+COVID crisis mps_chi4 -0.19442212156961672 3
+COVID crisis mps_chi8 -1.033719443126788 3
+TerraLuna crisis gaussian -0.42968654267720213 10
+TerraLuna crisis t -0.7506177213189158 7
+TerraLuna crisis mps_chi2 -2.0895859216096992 14
+TerraLuna crisis mps_chi4 -1.2192336704714715 14
+TerraLuna crisis mps_chi8 -1.7270987874400274 10
+SVB crisis gaussian -15.221280016201849 1
+SVB crisis t -6.078581639802564 1
+SVB crisis mps_chi2 -1.6022804048912764 10
+SVB crisis mps_chi4 -2.1206316536133203 10
+SVB crisis mps_chi8 -3.468631055142081 10
+Q-NC-2 quiet gaussian -0.7789873437397918 7
+Q-NC-2 quiet t -0.8772283224147148 7
+Q-NC-2 quiet mps_chi2 -1.1980188758427812 3
+Q-NC-2 quiet mps_chi4 -1.2321555722984816 3
+Q-NC-2 quiet mps_chi8 -1.8714722119299385 2
+Q-NC-3 quiet gaussian -1.1317115319198379 2
+Q-NC-3 quiet t -1.1743565570985575 2
+Q-NC-3 quiet mps_chi2 -1.4632609084963764 10
+Q-NC-3 quiet mps_chi4 -2.0420466016254815 13
+Q-NC-3 quiet mps_chi8 -2.5565855736190053 11
+"""
+GATE_ROWS = [(e, t, m, float(z), int(k)) for e, t, m, z, k in map(str.split, GATE_RUNS.strip().splitlines())]
+
+
+def _gate_runs(spark):
+    return spark.createDataFrame(GATE_ROWS, "event string, type string, method string, peak_z double, peak_day int")
+
+
+@query
+def gate_merge(spark, d):
+    x = G.merged(_gate_runs(spark))
+    return x.select("event", "best", "best_day", "gauss_day", "t_day", *(r(c, 9).alias(c) for c in ("best_z", "gauss_z", "t_z")))
+
+
+@query
+def gate_best(spark, d):
+    return G.best_by_event(_gate_runs(spark), "mps_").select("event", "best", r("best_z", 9).alias("best_z"))
+
+
+@query
+def gate_verdict(spark, d):
+    return G.verdict(_gate_runs(spark)).withColumn("threshold", r("threshold", 9))
 
 
 @query
@@ -321,9 +473,7 @@ def watchlist_diff(spark, d):
 
 @query
 def digest_windows(spark, d):
-    a = V.alerts(spark, d).where("abs(score) >= 6").withColumn("w", F.floor(F.col("ts_ns") / 3_600_000_000_000))
-    names = F.sort_array(F.collect_set("symbol"))
-    return a.groupBy("w").agg(F.count("*").alias("n"), F.concat_ws(", ", F.slice(names, 1, 3)).alias("names"), F.size(names).cast("bigint").alias("n_symbols"))
+    return live.digests(V.alerts(spark, d), 60, 6.0, 3600)
 
 
 @query
@@ -351,7 +501,7 @@ def ecdf_transform(spark, d):
 
 @query
 def kendall_tau(spark, d):
-    return M.kendall_tau(V.returns(spark, d).where("t <= 252"), "t", ["r0", "r1", "r2", "r3"]).withColumn("tau", r("tau", 9))
+    return M.kendall_tau(V.returns(spark, d), "t", ["r0", "r1", "r2", "r3"]).withColumn("tau", r("tau", 9))
 
 
 @query
@@ -366,6 +516,18 @@ def t_copula_score(spark, d):
     return x.select("t", r("z").alias("z"), "df")
 
 
+@query
+def dependence_shift(spark, d):
+    x = M.dependence_shift(V.returns(spark, d), RETURNS)
+    return x.select("symbol", "t", r("price").alias("price"), r("score").alias("score"), "df", "alert")
+
+
+@query
+def poisson_ci(spark, d):
+    counts = V.alerts(spark, d).where("abs(score) >= 12").groupBy("symbol").agg(F.count("*").alias("k"), ((F.max("ts_ns") - F.min("ts_ns")) / 8.64e13).alias("days"))
+    return M.poisson_intervals(counts, "k", "days").select("symbol", "k", r("rate_low").alias("rate_low"), r("rate_high").alias("rate_high"))
+
+
 @query
 def walk_forward(spark, d):
     x = M.walk_forward(V.returns(spark, d), RETURNS)
@@ -391,8 +553,8 @@ def ewma_mad(spark, d):
     return x.groupBy("symbol").agg(F.count("z").alias("n_scored"), r(F.max_by("mean", last), 9).alias("mean"), r(F.max_by("mad", last), 9).alias("mad"))
 
 
-def _of_kind(spark, d, kind, events):
-    return D.detect(events, PARAMS).where(F.col("kind") == kind).select("symbol", "seq", r("score").alias("score"))
+def _of_kind(spark, d, kind, events, params=PARAMS):
+    return D.detect(events, params, kinds=[kind]).select("symbol", "seq", r("score").alias("score"))
 
 
 @query
@@ -423,7 +585,7 @@ def p2_quantile(spark, d):
 
 @query
 def spread_widen(spark, d):
-    return _of_kind(spark, d, "spread_widen", D.from_quotes(V.quotes(spark, d)))
+    return _of_kind(spark, d, "spread_widen", D.from_quotes(V.quotes(spark, d)), Params(spread_z=0.9))
 
 
 @query
@@ -434,12 +596,12 @@ def quote_rate_spike(spark, d):
 @query
 def burst(spark, d):
     p = Params(session_gap=604_800.0, z_thresh=2.0, cusum_h=3.0, burst_window=86_400.0, burst_k=2.0, burst_cooldown=86_400.0)
-    return D.detect(D.from_ticks(V.ticks(spark, d)), p).where("kind = 'burst'").select("symbol", "seq", r("score").alias("score"))
+    return _of_kind(spark, d, "burst", D.from_ticks(V.ticks(spark, d)), p)
 
 
 @query
 def regime_shift(spark, d):
-    return _of_kind(spark, d, "regime_shift", D.from_ticks(V.ticks(spark, d)))
+    return _of_kind(spark, d, "regime_shift", D.from_ticks(V.ticks(spark, d)), replace(PARAMS, regime_ks=0.17, regime_cooldown=86_400.0))
 
 
 @query
@@ -451,13 +613,3 @@ def full_detector(spark, d):
 def sweep_grid(spark, d):
     x = D.sweep(V.ticks(spark, d), [2.0, 3.0, 4.0], [3.0, 5.0, 8.0], PARAMS)
     return x.select("z_thresh", "cusum_h", "z_alerts", "cusum_alerts", r("pct_ticks").alias("pct_ticks"), r("max_abs_score").alias("max_abs_score"))
-
-
-@query
-def ts_resolution(spark, d):
-    """The greatest common divisor of the gaps between different times: a fold by symbol, then over the symbols."""
-    stamps = V.alerts(spark, d).select("symbol", "ts_ns").union(V.catalog(spark, d).select("symbol", "ts_ns")).distinct()
-    gaps = stamps.select("symbol", (F.col("ts_ns") - F.lag("ts_ns").over(W.by_symbol("ts_ns"))).alias("gap")).where("gap > 0")
-    # a common divisor divides the least gap, so only the remainders of its decimal powers need counting
-    powers = [10**k for k in range(10)]
-    return gaps.groupBy("symbol").agg(F.greatest(*(F.when(F.max(F.col("gap") % p) == 0, F.lit(p)).otherwise(F.lit(1)) for p in powers)).cast("bigint").alias("resolution_ns"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftwatch.functions.scalar import rfc3339_ns
+from driftwatch.functions.scalar import rfc3339_ns, text_of
 from driftwatch.schemas import ALERT_ROW, CATALOG, TICK
 
 #: Where live feeds are found by name, and what an unknown name gives.
@@ -37,7 +39,7 @@ def catalog_csv(spark: SparkSession, path: str) -> DataFrame:
     Defaults: event_type unknown, description empty, polarity positive, duration 0.
     """
     header = spark.read.text(path).first()
-    names = header["value"].split(",") if header else []
+    names = next(csv.reader([header["value"].removeprefix("\ufeff")]), []) if header else []
     known = dict(part.split() for part in CATALOG.split(", "))
     if unknown := [n for n in names if n not in known]:
         raise ValueError(f"unknown columns {unknown} in {path}")
@@ -69,3 +71,24 @@ def messages(lines: DataFrame) -> DataFrame:
     kept = m.where(F.col("m")["T"].isin("t", "q"))
     names = {"price": "p", "size": "s", "bid": "bp", "ask": "ap", "bid_size": "bs", "ask_size": "as"}
     return kept.select(F.col("m")["S"].alias("symbol"), rfc3339_ns(F.col("m")["t"]).alias("ts_ns"), F.col("m")["T"].alias("etype"), *(number(k).alias(n) for n, k in names.items()))
+
+
+def file_sha256(spark: SparkSession, path: str) -> DataFrame:
+    """path and sha256 of each file, of up to 2 GB, under a path."""
+    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def write_alerts_csv(alerts: DataFrame, path: str) -> None:
+    """Alerts as files with a header: prices with six places, scores with four."""
+    rows = alerts.select("ts_ns", "symbol", "kind", text_of(F.col("price"), ".6f").alias("price"), text_of(F.col("score"), ".4f").alias("score"))
+    rows.write.mode("overwrite").csv(path, header=True)
+
+
+def write_ticks_csv(ticks: DataFrame, path: str) -> None:
+    """Ticks as files that ticks_csv and replay read; a wide table's column goes by wide_to_ticks first."""
+    ticks.select("ts_ns", "symbol", text_of(F.col("price"), ".6f").alias("price")).write.mode("overwrite").csv(path, header=True)
+
+
+def wide_to_ticks(wide: DataFrame, day: str, column: str) -> DataFrame:
+    """One column of a daily table as ticks at midnight, nulls left out."""
+    return wide.where(F.col(column).isNotNull()).select((F.unix_date(day).cast("bigint") * 86_400_000_000_000).alias("ts_ns"), F.lit(column).alias("symbol"), F.col(column).cast("double").alias("price"))

@@ -36,16 +36,18 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 11th tick as an alert of one of three kinds."""
-    kind = F.element_at(F.array(F.lit("robust_z"), F.lit("cusum"), F.lit("burst")), (F.col("seq") % 3 + 1).cast("int"))
-    return ticks(spark, sf_dir).where("seq % 11 = 0").select("ts_ns", "symbol", "seq", kind.alias("kind"), "price", ((F.col("price") - 50) / 10).alias("score"))
+    """Every tick whose price is low or high, but not extreme, as an alert. The score is its distance from 50 in tens; its
+    sign and size give the kind."""
+    score = (F.col("price") - 50) / 10
+    kind = F.when(score >= 8, "burst").when(score > 0, "robust_z").otherwise("cusum")
+    return ticks(spark, sf_dir).where("price between 1 and 20 or (price >= 80 and price < 200)").select("ts_ns", "symbol", "seq", kind.alias("kind"), "price", score.alias("score"))
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 97th tick as a labelled event: even ones are quiet windows of two hours, odd ones points in time."""
-    quiet = F.col("seq") % 2 == 0
-    kind = F.element_at(F.array(F.lit("halt"), F.lit("news"), F.lit("outage")), (F.col("seq") % 3 + 1).cast("int"))
-    return ticks(spark, sf_dir).where("seq % 97 = 0").select(
+    """Every tick of an extreme price as a labelled event: the highest are points in time, the lowest open quiet windows of two hours."""
+    quiet = F.col("price") < 1
+    kind = F.when(quiet, "calm").when(F.col("price") >= 250, "outage").when(F.col("price") >= 220, "halt").otherwise("news")
+    return ticks(spark, sf_dir).where("price < 1 or price >= 200").select(
         F.col("seq").alias("event_no"), "ts_ns", "symbol", kind.alias("event_type"),
         F.when(quiet, "quiet").otherwise("positive").alias("polarity"), F.when(quiet, 7200.0).otherwise(0.0).alias("duration_sec"),
     )
