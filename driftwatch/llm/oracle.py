@@ -16,14 +16,16 @@ covered AS (SELECT r, count(DISTINCT pos + k) AS n_repeat_words FROM often, rang
 lines AS (SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
 f AS (SELECT d.r, doc_id, host, len(regexp_extract_all(text, '{_WORD}')) AS n_words, length(regexp_replace(text, '{_SPACE}', '', 'g')) AS word_chars,
   length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
-  coalesce(n_repeat_words, 0) AS n_repeat_words FROM d JOIN lines USING (r) LEFT JOIN covered USING (r)),
-b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f),
-hosts AS (SELECT host, count(*) AS n, count(*) FILTER (base_failed) AS k FROM b WHERE host IS NOT NULL GROUP BY host),
-moments AS (SELECT least(greatest(sum(k) / sum(n), 1e-6), 1 - 1e-6)::DOUBLE AS m, var_samp(k / n) AS v, avg(1 / n) AS inv FROM hosts),
-prior AS (SELECT m, CASE WHEN v - m * (1 - m) * inv > 0 THEN least(greatest(m * (1 - m) / (v - m * (1 - m) * inv) - 1, 1), 1000) ELSE 1000 END AS strength FROM moments),
-rates AS (SELECT host, (k + m * strength) / (n + strength) AS rate FROM hosts, prior)
+  coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines FROM d JOIN lines USING (r) LEFT JOIN covered USING (r)),
+b AS (SELECT *, few_words OR repetition AS base_failed FROM (SELECT *, n_words < 10 AS few_words, 100 * n_repeat_words > 20 * n_words AS repetition, 10 * n_symbols > word_chars AS symbols, 10 * n_dup_lines > 3 * n_lines AS repeated_lines FROM f)),
+fails AS (UNPIVOT (SELECT host, few_words::INTEGER AS few_words, repetition::INTEGER AS repetition, symbols::INTEGER AS symbols, repeated_lines::INTEGER AS repeated_lines FROM b WHERE host IS NOT NULL)
+  ON few_words, repetition, symbols, repeated_lines INTO NAME rule VALUE failed),
+hosts AS (SELECT host, rule, count(*) AS n, sum(failed) AS k FROM fails GROUP BY host, rule),
+moments AS (SELECT rule, least(greatest(sum(k) / sum(n), 1e-6), 1 - 1e-6)::DOUBLE AS m, var_samp(k / n) AS v, avg(1 / n) AS inv FROM hosts GROUP BY rule),
+prior AS (SELECT rule, m, CASE WHEN v - m * (1 - m) * inv > 0 THEN least(greatest(m * (1 - m) / (v - m * (1 - m) * inv) - 1, 1), 1000) ELSE 1000 END AS strength FROM moments),
+rates AS (SELECT host, max((round((k + m * strength) / (n + strength), 9), rule)) AS worst FROM hosts JOIN prior USING (rule) GROUP BY host)
 SELECT doc_id, n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT coalesce(rate > 0.5, false) AS kept, round(rate, 9) AS host_rate
+  NOT base_failed AND NOT coalesce(worst[1] > 0.5, false) AS kept, worst[2] AS host_rule, worst[1] AS host_rate
 FROM b LEFT JOIN rates USING (host)
 """
 

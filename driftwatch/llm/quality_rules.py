@@ -10,6 +10,17 @@ from driftwatch.llm.common import WHITE, staged
 SYMBOLS = "#*$%&|<>"
 #: Words in a window whose repetition counts.
 WINDOW = 5
+#: What fails a document, by rule: few words or much repetition (the base rules), many symbols, many repeated lines.
+RULES = {
+    "few_words": "n_words < 10",
+    "repetition": "100 * n_repeat_words > 20 * n_words",
+    "symbols": "10 * n_symbols > word_chars",
+    "repeated_lines": "10 * n_dup_lines > 3 * n_lines",
+}
+#: A host is rejected if its shrunken rate of failures by one rule exceeds this.
+MAX_RATE = 0.5
+#: How strong a prior is at least and at most, in documents.
+STRENGTHS = 1.0, 1000.0
 
 
 def _windows(words: str) -> Column:
@@ -19,7 +30,7 @@ def _windows(words: str) -> Column:
 
 
 def document_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """One row per document: counts over its whole text, and whether it fails the base rules.
+    """One row per document: counts over its whole text, which rules it fails (fails_...), and whether one of the base rules.
 
     A null text has no words. Windows are compared within a document by 64-bit hashes: the odds that a text of
     20,000 words has an accidental match are below 1e-10.
@@ -36,6 +47,7 @@ def document_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     second = first.select(
         "doc_id", "host", "word_chars", "n_symbols",
         F.size("words").cast("long").alias("n_words"),
+        F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         _windows("words").alias("h"),
     )
@@ -47,28 +59,38 @@ def document_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # a repeated window adds the words up to the next one's start, WINDOW at most
     adds = F.transform("starts", lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("starts"), k + 1) - x, F.lit(WINDOW))))
     repeated = F.coalesce(F.aggregate(adds, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0)).cast("long")
-    out = fourth.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeated.alias("n_repeat_words"))
-    return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    out = fourth.select("doc_id", "host", "n_words", "n_lines", "word_chars", "n_symbols", "n_dup_lines", repeated.alias("n_repeat_words"))
+    return out.withColumns({f"fails_{rule}": F.expr(cond) for rule, cond in RULES.items()}).withColumn("base_failed", F.col("fails_few_words") | F.col("fails_repetition"))
 
 
-def host_verdicts(features: DataFrame, max_rate: float = 0.5) -> DataFrame:
-    """One row per host: its failure rate, shrunken by a beta prior fitted to all hosts by moments, and the verdict.
+def host_verdicts(features: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
+    """One row per host: its documents, for each rule its failure rate (rate_...) shrunken towards all hosts' by a beta
+    prior, the worst rule and its rate, and whether that exceeds max_rate.
 
-    Documents without a host belong to none. With no host, or no spread among hosts, the prior is as strong as
-    1,000 documents. A host is rejected when its shrunken rate exceeds max_rate.
+    A rule's prior is fitted to all hosts by moments: its mean is the share of all documents that fail, and it is as
+    strong as the spread of hosts' rates allows beyond what sampling alone adds. Without such spread, or with one host,
+    it is as strong as 1,000 documents. Documents without a host belong to none.
     """
-    hosts = features.where(F.col("host").isNotNull()).groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("k"))
-    rate = F.col("k") / F.col("n")
-    row = hosts.agg((F.sum("k") / F.sum("n")).alias("m"), F.var_samp(rate).alias("v"), F.avg(1 / F.col("n")).alias("inv")).first()
-    m = min(max(row["m"] if row["m"] is not None else 0.5, 1e-6), 1 - 1e-6)
-    noise = m * (1 - m) * (row["inv"] or 0.0)  # what sampling alone adds to the spread of rates
-    spread = max((row["v"] or 0.0) - noise, 0.0)
-    strength = min(max(m * (1 - m) / spread - 1, 1.0), 1000.0) if spread > 0 else 1000.0
-    shrunk = (F.col("k") + F.lit(m * strength)) / (F.col("n") + F.lit(strength))
-    return hosts.select("host", F.col("n").alias("host_docs"), shrunk.alias("host_rate"), (shrunk > max_rate).alias("host_rejected"))
-
-
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = 0.5) -> DataFrame:
+    fails = lambda rule: F.sum(F.col(f"fails_{rule}").cast("long")).alias(f"k_{rule}")
+    hosts = features.where(F.col("host").isNotNull()).groupBy("host").agg(F.count("*").alias("host_docs"), *map(fails, RULES))
+    mean = lambda rule: F.least(F.greatest(F.sum(f"k_{rule}") / F.sum("host_docs"), F.lit(1e-6)), F.lit(1 - 1e-6)).alias(f"m_{rule}")
+    spread = lambda rule: F.var_samp(F.col(f"k_{rule}") / F.col("host_docs")).alias(f"v_{rule}")
+    moments = hosts.agg(F.avg(1 / F.col("host_docs")).alias("inv"), *map(mean, RULES), *map(spread, RULES))
+    x = hosts.join(F.broadcast(moments), F.lit(True))  # one row
+
+    def rate(rule: str) -> Column:
+        m, v, k = F.col(f"m_{rule}"), F.col(f"v_{rule}"), F.col(f"k_{rule}")
+        beyond = v - m * (1 - m) * F.col("inv")
+        low, high = map(F.lit, STRENGTHS)
+        strength = F.when(beyond > 0, F.least(F.greatest(m * (1 - m) / beyond - 1, low), high)).otherwise(high)
+        return (k + m * strength) / (F.col("host_docs") + strength)
+
+    rated = x.select("host", "host_docs", *(rate(rule).alias(f"rate_{rule}") for rule in RULES))
+    worst = F.array_max(F.array(*(F.struct(F.round(f"rate_{rule}", 9).alias("rate"), F.lit(rule).alias("rule")) for rule in RULES)))
+    return rated.withColumn("w", worst).select("host", "host_docs", *(f"rate_{rule}" for rule in RULES), F.col("w.rule").alias("host_rule"), F.col("w.rate").alias("host_rate"), (F.col("w.rate") > max_rate).alias("host_rejected"))
+
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
     """Features and verdict of each row of docs; other columns of docs are ignored, so their names can't clash.
 
     Rows are kept apart: a repeated row gives a repeated result. Null text: no words, so it fails the base rules.
@@ -81,5 +103,5 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rejected = F.coalesce(F.col("host_rejected"), F.lit(False))
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & ~rejected).alias("kept"), F.round("host_rate", 9).alias("host_rate"),
+        (~F.col("base_failed") & ~rejected).alias("kept"), "host_rule", "host_rate",
     )
