@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,17 +41,38 @@ def _edges(text: str) -> list[tuple[int, int]]:
 class WindowSet:
     """Windows of a block of benchmark items, found by their anchor: the longest word, the first one on ties.
 
-    anchors: word -> its place in a window -> number of words -> window -> items.
+    Items are kept once, as words parted by spaces. A window is a stretch of that: windows of one anchor, place of the
+    anchor and number of words lie side by side, sorted by hash; a hit of the hash is compared with the words.
     """
 
     def __init__(self, items: list[tuple[str, str | None]]):
-        self.anchors: dict[bytes, dict[tuple[int, int], dict[tuple[bytes, ...], set[str]]]] = {}
-        for item, text in items:
+        self.items = [item for item, _ in items]
+        parts, rows, anchors, at = [], [], {}, 0
+        for k, (_, text) in enumerate(items):
             words = words_of(text)
+            ends = list(accumulate(len(w) + 1 for w in words))
             for i in range(max(1, len(words) - WINDOW + 1) if words else 0):
-                window = tuple(words[i : i + WINDOW])
-                at = max(range(len(window)), key=lambda k: (len(window[k]), -k))
-                self.anchors.setdefault(window[at], {}).setdefault((at, len(window)), {}).setdefault(window, set()).add(item)
+                window = words[i : i + WINDOW]
+                place = max(range(len(window)), key=lambda j: (len(window[j]), -j))
+                anchor = anchors.setdefault(window[place], len(anchors))
+                start = at + (ends[i - 1] if i else 0)
+                rows.append((anchor, place, len(window), xxhash.xxh64_intdigest(b" ".join(window)), start, at + ends[i + len(window) - 1] - 1, k))
+            parts.append(b" ".join(words) + b" " if words else b"")
+            at += len(parts[-1])
+        self.text = b"".join(parts)
+        columns = list(zip(*rows)) or [()] * 7
+        group = np.array(columns[0], np.int64) << 16 | np.array(columns[1], np.int64) << 8 | np.array(columns[2], np.int64)
+        hashes = np.array(columns[3], np.uint64)
+        order = np.lexsort((hashes, group))
+        group = group[order]
+        self.hashes = hashes[order]
+        self.start, self.end, self.item = (np.array(c, np.int64)[order] for c in columns[4:])
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
+        self.bounds = np.append(first, len(group))
+        self.place, self.size = (group[first] >> 8 & 255).astype(np.int64), (group[first] & 255).astype(np.int64)
+        # an anchor's groups: the number of the first, and how many
+        own = np.searchsorted(group[first] >> 16, np.arange(len(anchors) + 1))
+        self.anchors = {w: int(own[k]) << 8 | int(own[k + 1] - own[k]) for w, k in anchors.items()}
 
     def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Occurrences as (first word, end), and the items they belong to."""
@@ -57,21 +81,42 @@ class WindowSet:
             return found, items
         get = self.anchors.get
         for i, w in enumerate(words):
-            if places := get(w):
-                for (at, n), windows in places.items():
-                    if i >= at and (own := windows.get(tuple(words[i - at : i - at + n]))):
-                        found.append((i - at, i - at + n))
-                        items |= own
+            if (groups := get(w)) is None:
+                continue
+            for g in range(groups >> 8, (groups >> 8) + (groups & 255)):
+                at, n = int(self.place[g]), int(self.size[g])
+                if i < at or i - at + n > len(words):
+                    continue
+                window = b" ".join(words[i - at : i - at + n])
+                low, high = int(self.bounds[g]), int(self.bounds[g + 1])
+                h = np.uint64(xxhash.xxh64_intdigest(window))
+                k = low + int(np.searchsorted(self.hashes[low:high], h))
+                own = set()
+                while k < high and self.hashes[k] == h:
+                    if self.text[self.start[k] : self.end[k]] == window:
+                        own.add(self.items[self.item[k]])
+                    k += 1
+                if own:
+                    found.append((i - at, i - at + n))
+                    items |= own
         return found, items
 
 
+#: About what a block holds in memory: bytes a window, and bytes an item and a different anchor beside their text.
+WINDOW_BYTES, ITEM_BYTES = 32, 250
+
+
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, max_bytes: int) -> Iterator[WindowSet]:
-    """The benchmark, block by block, so that what is broadcast at once is bounded whatever the benchmark's size."""
+    """The benchmark, block by block, so that what is broadcast at once is bounded whatever the benchmark's size.
+
+    A block is full when its text, windows and anchors, each word counted as one, would hold max_bytes of memory.
+    """
     items, held = [], 0
     rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col).cast("string"))
     for item, text in rows.toLocalIterator():
         items.append((item, text))
-        held += len(text or "")
+        words = words_of(text)
+        held += len(text or "") + ITEM_BYTES + WINDOW_BYTES * len(words) + ITEM_BYTES * len(set(words)) // 2
         if held >= max_bytes:
             yield WindowSet(items)
             items, held = [], 0
@@ -138,13 +183,13 @@ def _over_blocks(rows: DataFrame, text_col: str, blocks: Iterator[WindowSet], fi
     return rows.mapInArrow(last(spark.sparkContext.broadcast(block)), schema)
 
 
-def decontamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_bytes: int = 32 << 20) -> DataFrame:
+def decontamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_bytes: int = 64 << 20) -> DataFrame:
     """One row per row of docs: words, words inside an occurrence of a benchmark window, and the items that occur.
 
     Null text: no words, no hits. Null or word-less item text: no windows. Null item id: the empty string. Items with
     the same id count as one. Repeated rows give repeated results, a null id stays null, other columns are ignored, an
-    empty benchmark leaves everything clean. Nothing is shuffled. A benchmark of more than max_bytes of text is
-    broadcast and scanned for block by block.
+    empty benchmark leaves everything clean. Nothing is shuffled. A benchmark that would hold more than max_bytes of
+    memory is broadcast and scanned for block by block; each further block stages docs anew.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
@@ -159,7 +204,7 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     return _over_blocks(rows, "text", _blocks(benchmark, item_col, item_text_col, max_bytes), finish, schema)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", action: str = "drop", max_bytes: int = 32 << 20) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", action: str = "drop", max_bytes: int = 64 << 20) -> DataFrame:
     """docs without contamination: action "drop" leaves out contaminated rows, "cut" removes the words that are hit.
 
     All columns stay. What is cut goes from the first hit word's start to the last one's end; rows without hits are
