@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from driftwatch.llm.common import small_batches, staged
 from driftwatch.llm.tokens import END_ID, encoder
 
-#: Tokens of a sequence; pieces that a partition packs at once; rounds of exchange.
-CAPACITY, GROUP, ROUNDS = 1024, 5_000, 6
+#: Tokens of a sequence; pieces that a partition packs at once.
+CAPACITY, GROUP = 1024, 5_000
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -44,8 +44,13 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
 
 
 def least_bins(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
-    """A lower bound on the bins: the best of the dual feasible functions that round up what exceeds capacity - t and leave out what is at most t."""
-    counts = np.bincount(lengths, minlength=capacity + 1)
+    """A lower bound on the bins that items take."""
+    return least_bins_of(np.bincount(lengths, minlength=capacity + 1), capacity)
+
+
+def least_bins_of(counts: np.ndarray, capacity: int = CAPACITY) -> int:
+    """A lower bound from the number of items of each length: the best of the dual feasible functions that round up what
+    exceeds capacity - t and leave out what is less than t."""
     total = counts * np.arange(capacity + 1)
     below = np.concatenate([[0], np.cumsum(counts)])  # below[x]: items shorter than x
     weight = np.concatenate([[0], np.cumsum(total)])
@@ -103,7 +108,7 @@ def _packed(items: DataFrame, round_no: int, capacity: int, last: bool) -> DataF
                 again[np.argsort(fill, kind="stable")[: 4 + 4 * gap + made // 16]] = True
             grp = table.column("grp").to_numpy()[0]
             label = ((round_no << 56) | (int(grp) << 24)) + bins  # a group has fewer than 2**24 bins, a round fewer than 2**32 groups
-            return pa.RecordBatch.from_arrays([table.column(c).combine_chunks() for c in ("row", "length")] + [pa.array(label), pa.array(offsets), pa.array(again[bins])], ["row", "length", "sequence_id", "offset", "again"])
+            return pa.RecordBatch.from_arrays([table.column(c).combine_chunks() for c in ("row", "length")] + [pa.array(label), pa.array(offsets), pa.array(again[bins]), pa.array(np.full(len(bins), gap == 0))], ["row", "length", "sequence_id", "offset", "again", "certified"])
 
         for batch in batches:  # sorted by group
             grp = batch.column(0).to_numpy()
@@ -120,39 +125,51 @@ def _packed(items: DataFrame, round_no: int, capacity: int, last: bool) -> DataF
 
     parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = items.repartition(parts, "grp").sortWithinPartitions("grp", "row")
-    return dealt.select("grp", "row", "length").mapInArrow(run, "row bigint, length bigint, sequence_id bigint, offset bigint, again boolean")
+    return dealt.select("grp", "row", "length").mapInArrow(run, "row bigint, length bigint, sequence_id bigint, offset bigint, again boolean, certified boolean")
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
-    """cut (with a column length) with sequence_id and offset: no sequence over capacity, no gap in it.
+def pack(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
+    """cut (with a column length) with sequence_id and offset: no sequence over capacity, no gap in it; and certified:
+    whether a bound shows that the piece's group has as few sequences as it can.
 
     Full pieces are sequences of their own. The rest is dealt at random to groups of about ``group`` pieces, each packed
     by best-fit decreasing. A dual feasible function bounds each group's bins from below; where the bound isn't met,
-    the group gives up its emptiest bins, whose pieces are dealt anew to fewer groups and packed again. The last round
-    keeps what it gets. Groups are bounded, so a task's memory is, whatever the number of rows.
+    the group gives up its emptiest bins, whose pieces are dealt anew to fewer groups and packed again, until all groups
+    are certified or a single group is left, which keeps what it gets. Groups are bounded, so a task's memory is,
+    whatever the number of rows.
     """
     numbered = staged(cut.withColumn("_row", F.monotonically_increasing_id()), "pieces")
-    full = numbered.where(F.col("length") >= capacity).select("_row", F.col("_row").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    full = numbered.where(F.col("length") >= capacity).select("_row", F.col("_row").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))
     rest = numbered.where(F.col("length") < capacity).select(F.col("_row").alias("row"), "length")
-    done = None
-    for k in range(1, rounds + 1):
-        groups = max(1, round(rest.count() / group))
-        last = k == rounds or (k > 1 and groups == 1)
+    done, k, before, left = None, 0, None, rest.count()
+    while done is None or left:
+        k += 1
+        groups = max(1, round(left / group))
+        # a round in which all is given up again would be followed by others like it
+        last = k > 1 and (groups == 1 or left == before)
         seed = F.pmod(F.xxhash64("row", F.lit(k)), F.lit(groups)).cast("long")
         got = staged(_packed(rest.withColumn("grp", seed), k, capacity, last), "packed")
-        kept = got.where(~F.col("again")).select(F.col("row").alias("_row"), "sequence_id", "offset")
+        kept = got.where(~F.col("again")).select(F.col("row").alias("_row"), "sequence_id", "offset", "certified")
         done = kept if done is None else done.unionByName(kept)
         rest = got.where("again").select("row", "length")
-        if last or rest.isEmpty():
-            break
-    placed = full.unionByName(done)
-    return numbered.join(placed, "_row").drop("_row")
+        before, left = left, 0 if last else rest.count()
+    return numbered.join(full.unionByName(done), "_row").drop("_row")
+
+
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row: sequences made, a lower bound on them for all pieces together, the gap between the two, and the pieces in
+    groups that are certified. The bound takes a histogram of lengths, of at most capacity rows."""
+    counts = packed.groupBy("length").agg(F.count("*").alias("n")).toArrow()
+    lengths, n = counts.column("length").to_numpy(), counts.column("n").to_numpy()
+    bound = least_bins_of(np.bincount(lengths, n, capacity + 1).astype(np.int64), capacity)
+    one = packed.agg(F.count_distinct("sequence_id").alias("sequences"), F.count(F.when(F.col("certified"), 1)).alias("certified_pieces"))
+    return one.select("sequences", F.lit(bound).cast("long").alias("bound"), (F.col("sequences") - bound).alias("gap"), "certified_pieces")
 
 
 def packing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: where each piece of each row of docs went.
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified: where each piece of each row of docs went.
 
     Repeated rows are packed as often as they come, a null id stays null, a null or empty text is one piece of one id,
     other columns are ignored. An empty table gives an empty result.
     """
-    return pack(pieces(docs, id_col, text_col, tokenizer)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack(pieces(docs, id_col, text_col, tokenizer)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified")
