@@ -32,6 +32,7 @@ def microprice_drift(bid="bid", ask="ask", bid_size="bid_size", ask_size="ask_si
 
 
 def severity(kind="kind", score="score") -> Column:
+    # Kinds with a severity of their own, and the ladder of the others.
     size, k = F.abs(score), F.col(kind)
     return (
         F.when(k == "crossed_book", "ANOMALY").when(k == "burst", "WARNING").when(k == "obi_extreme", "ALERT")
@@ -61,6 +62,7 @@ def fmt(value: Column, digits: int = 2) -> Column:
 
 def narrative(kind="kind", symbol="symbol", score="score", details="details") -> Column:
     """One sentence on an alert; details is JSON."""
+    # The sentences by kind and the keys of details that they tell.
     s, k, x, sev = F.col(symbol), F.col(kind), F.col(score), severity(kind, score)
     num = lambda key: F.get_json_object(details, f"$.{key}").cast("double")
     word = lambda key: F.coalesce(F.get_json_object(details, f"$.{key}"), F.lit("?"))

@@ -61,7 +61,8 @@ KINDS = ("cusum", "robust_z", "regime_shift", "volume_spike", "crossed_book", "s
 _ORDER = {k: i for i, k in enumerate(KINDS)}
 _PRICE_KINDS = frozenset(KINDS[:3])
 
-#: An alert of an event of an array: its place, the order of its kind, kind, price, score, details.
+#: An alert of an event of an array: its place, the order of its kind, kind, price, score, details. The keys of details are
+#: fixed values by kind.
 Alert = tuple[int, int, str, float, float, dict]
 
 
