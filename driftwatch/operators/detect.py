@@ -1,12 +1,13 @@
 """The detectors over tables: events dealt out by symbol, sorted, and fed to each symbol's small state in a stream.
 
-A task never holds a symbol's events, only its state and a batch, so a symbol may have any number of rows. What follows
-from the order of a symbol's events (resets, cooldowns, latches) can't be split; how many symbols there are bounds the
-parallelism.
+A task never holds a symbol's events, only its state and a batch, so a symbol may have any number of rows. What forgets
+its past (EWMA means and deviations, and the scores by them) is cut by time where a symbol is hot. What depends on all
+of a symbol's events before (resets, cooldowns, markers) can't be cut; there the number of symbols bounds the parallelism.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import replace
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from driftwatch.functions.scalar import microprice_drift, mid
 from driftwatch.operators.kernels import LIBRARY, P2, Cusum, Ewma, Params, Returns, Symbol, as_rows, robust_z
+from driftwatch.operators.windows import in_pieces
 from driftwatch.schemas import ALERT
 
 _ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}
@@ -26,9 +28,16 @@ Step = Callable[[str, list[np.ndarray]], list | None]
 
 def in_order(rows: DataFrame, fresh: Callable[[str], Step], schema: str) -> DataFrame:
     """What a step makes of the rows of each symbol in the order of (ts_ns, seq), run by run. Each symbol has a step of
-    its own, made by fresh. The columns after symbol come as arrays, nulls as NaN."""
+    its own, made by fresh. The columns after symbol come as arrays, nulls as NaN.
+
+    Rows with a _bucket, which in_pieces deals out, have a step for each symbol and bucket in place of each symbol, and
+    what it makes of rows that aren't the bucket's own is left out: a step of such rows returns as many rows as it gets.
+    """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, "symbol").sortWithinPartitions("symbol", "ts_ns", "seq")
+    cut = "_bucket" in rows.columns
+    keys = ["symbol", "_bucket"] if cut else ["symbol"]
+    values = [c for c in rows.columns if c not in ("symbol", "_bucket", "_own")]
+    dealt = rows.repartition(parts, *keys).sortWithinPartitions(*keys, "ts_ns", "seq").select("symbol", *values, *(["_bucket", "_own"] if cut else []))
     fields = [tuple(f.split()) for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,22 +46,42 @@ def in_order(rows: DataFrame, fresh: Callable[[str], Step], schema: str) -> Data
             if not batch.num_rows:
                 continue
             names = batch.column(0).to_pylist()
-            arrays = [c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]
+            if cut:
+                names = list(zip(names, batch.column(len(values) + 1).to_pylist()))
+            arrays = [c.to_numpy(zero_copy_only=False) for c in batch.columns[1 : len(values) + 1]]
             start = 0
             while start < len(names):
                 end = start + 1
                 while end < len(names) and names[end] == names[start]:
                     end += 1
+                name = names[start][0] if cut else names[start]
                 if names[start] != symbol or own is None:
-                    symbol, own = names[start], fresh(names[start])
-                columns = own(symbol, [c[start:end] for c in arrays])
+                    symbol, own = names[start], fresh(name)
+                columns = own(name, [c[start:end] for c in arrays])
                 if columns is not None and len(columns[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, (_, t) in zip(columns, fields)], [n for n, _ in fields])
+                    out = pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, (_, t) in zip(columns, fields)], [n for n, _ in fields])
+                    yield out.filter(batch.column(len(values) + 2).slice(start, end - start)) if cut else out
                 start = end
 
     return dealt.mapInArrow(run, schema)
 
 
+#: Rows of a piece into which a hot symbol is cut for what forgets its past.
+PIECE_ROWS = 1_000_000
+
+
+def remembered(params: Params) -> int:
+    """Rows after which what an EWMA mean and the deviation from it began with is below the last digit of a double."""
+    return 2 * math.ceil(math.log(1e-18) / math.log(1 - params.alpha))
+
+
+def split(rows: DataFrame, params: Params, piece_rows: int | None = None) -> DataFrame:
+    """rows whose EWMA can be taken piece by piece: hot symbols are cut by time, each piece led by as many rows before it
+    as are remembered; other tables stay as they are. Results differ in the last digits at most."""
+    cut = None if params.min_obs > remembered(params) else in_pieces(rows, remembered(params), piece_rows or PIECE_ROWS)
+    return rows if cut is None else cut
+
+
 def detect(events: DataFrame, params: Params = LIBRARY, overrides: dict[str, float] | None = None, kinds: Iterable[str] | None = None) -> DataFrame:
     """All alerts of a stream of trades and quotes, or those of some kinds, whose detectors alone then run.
 
@@ -100,7 +129,13 @@ def price_scores(ticks: DataFrame, params: Params = LIBRARY) -> DataFrame:
 
         return own
 
-    return in_order(ticks.where("price is not null").select("symbol", "ts_ns", "seq", "price"), fresh, "symbol string, ts_ns bigint, seq bigint, mean double, mad double, r double, z double")
+    rows = split(ticks.where("price is not null").select("symbol", "ts_ns", "seq", "price"), params)
+    return in_order(rows, fresh, "symbol string, ts_ns bigint, seq bigint, mean double, mad double, r double, z double")
+
+
+def robust_z_alerts(ticks: DataFrame, params: Params = LIBRARY) -> DataFrame:
+    """symbol, ts_ns, seq, z of ticks whose return's z exceeds the threshold, as detect gives them; hot symbols are cut."""
+    return price_scores(ticks, params).where(F.abs("z") > params.z_thresh).select("symbol", "ts_ns", "seq", "z")
 
 
 def sweep(ticks: DataFrame, z_grid: list[float], h_grid: list[float], params: Params = LIBRARY) -> DataFrame:
@@ -142,7 +177,8 @@ def ewma_scores(rows: DataFrame, value: str, params: Params = LIBRARY) -> DataFr
 
         return own
 
-    return in_order(rows.where(F.col(value).isNotNull()).select("symbol", "ts_ns", "seq", F.col(value).alias("x")), fresh, "symbol string, ts_ns bigint, seq bigint, x double, z double")
+    own_rows = split(rows.where(F.col(value).isNotNull()).select("symbol", "ts_ns", "seq", F.col(value).alias("x")), params)
+    return in_order(own_rows, fresh, "symbol string, ts_ns bigint, seq bigint, x double, z double")
 
 
 def volume_spikes(ticks: DataFrame, params: Params = LIBRARY) -> DataFrame:

@@ -136,27 +136,42 @@ def by_time(rows: DataFrame, bucket_sec: int, back_rows: int = 0, back_sec: floa
     """
     size = bucket_sec * 1_000_000_000
     own = rows.withColumn("_bucket", F.floor(F.col("ts_ns") / size)).withColumn("_own", F.lit(True))
-    reach = F.lit(int(back_sec * 1_000_000_000)).cast("bigint")
-    if not back_rows and not back_sec:
-        return own
-    if back_sec:
-        into = F.explode(F.sequence(F.col("_bucket") + 1, F.floor((F.col("ts_ns") + reach) / size)))
-        later = own.where(F.floor((F.col("ts_ns") + reach) / size) > F.col("_bucket")).withColumn("_bucket", into)
-    else:
-        w = Window.partitionBy("symbol").orderBy("_bucket")  # a row a bucket
-        sizes = own.groupBy("symbol", "_bucket").agg(F.count("*").alias("_n")).withColumn("_end", F.sum("_n").over(w))
-        last = F.row_number().over(Window.partitionBy("symbol", "_bucket").orderBy(F.desc("ts_ns"), F.desc("seq")))
-        tails = own.withColumn("_age", last).where(F.col("_age") <= back_rows).join(sizes.select("symbol", "_bucket", "_end"), ["symbol", "_bucket"])
-        # by a row's number in its symbol: a bucket with so many rows before it needs those above that less back_rows
-        tails = tails.withColumn("_i", F.col("_end") - F.col("_age") + 1).withColumn("_part", F.floor(F.col("_i") / back_rows))
-        before = F.col("_end") - F.col("_n")
-        parts = F.explode(F.sequence(F.floor((before - back_rows + 1) / back_rows), F.floor(before / back_rows)))
-        goals = sizes.where(before > 0).select("symbol", F.col("_bucket").alias("_to"), before.alias("_before"), parts.alias("_part"))
-        later = tails.join(goals, ["symbol", "_part"]).where((F.col("_i") <= F.col("_before")) & (F.col("_i") > F.col("_before") - back_rows))
-        later = later.drop("_bucket", "_before", "_end", "_age", "_i", "_part").withColumnRenamed("_to", "_bucket")
+    if not back_sec:
+        return with_rows_before(own, back_rows) if back_rows else own
+    end = F.floor((F.col("ts_ns") + F.lit(int(back_sec * 1_000_000_000)).cast("bigint")) / size)
+    later = own.where(end > F.col("_bucket")).withColumn("_bucket", F.explode(F.sequence(F.col("_bucket") + 1, end)))
     return own.unionByName(later.withColumn("_own", F.lit(False)).select(*own.columns))
 
 
+def with_rows_before(own: DataFrame, back_rows: int) -> DataFrame:
+    """Rows with a _bucket, whose numbers follow their time, and _own; and copies, not their own, of the back_rows rows of
+    the symbol before each bucket's first."""
+    w = Window.partitionBy("symbol").orderBy("_bucket")  # a row a bucket
+    sizes = own.groupBy("symbol", "_bucket").agg(F.count("*").alias("_n")).withColumn("_end", F.sum("_n").over(w))
+    last = F.row_number().over(Window.partitionBy("symbol", "_bucket").orderBy(F.desc("ts_ns"), F.desc("seq")))
+    tails = own.withColumn("_age", last).where(F.col("_age") <= back_rows).join(sizes.select("symbol", "_bucket", "_end"), ["symbol", "_bucket"])
+    # by a row's number in its symbol: a bucket with so many rows before it needs those above that less back_rows
+    tails = tails.withColumn("_i", F.col("_end") - F.col("_age") + 1).withColumn("_part", F.floor(F.col("_i") / back_rows))
+    before = F.col("_end") - F.col("_n")
+    parts = F.explode(F.sequence(F.floor((before - back_rows + 1) / back_rows), F.floor(before / back_rows)))
+    goals = sizes.where(before > 0).select("symbol", F.col("_bucket").alias("_to"), before.alias("_before"), parts.alias("_part"))
+    later = tails.join(goals, ["symbol", "_part"]).where((F.col("_i") <= F.col("_before")) & (F.col("_i") > F.col("_before") - back_rows))
+    later = later.drop("_bucket", "_before", "_end", "_age", "_i", "_part").withColumnRenamed("_to", "_bucket")
+    return own.unionByName(later.withColumn("_own", F.lit(False)).select(*own.columns))
+
+
+def in_pieces(rows: DataFrame, back_rows: int, piece_rows: int) -> DataFrame | None:
+    """rows of symbols cut by time into pieces of some piece_rows rows, each with the back_rows rows before it; None if no
+    symbol has so many rows that it would be cut. A symbol's span of time is cut evenly, so pieces differ in rows."""
+    sizes = rows.groupBy("symbol").agg(F.count("*").alias("_n"), F.min("ts_ns").alias("_from"), F.max("ts_ns").alias("_to"))
+    if (sizes.agg(F.max("_n")).first()[0] or 0) < 2 * piece_rows:
+        return None
+    pieces = F.greatest(F.lit(1), F.floor(F.col("_n") / piece_rows))
+    at = F.floor((F.col("ts_ns") - F.col("_from")) * pieces / (F.col("_to") - F.col("_from") + 1)).cast("bigint")
+    own = rows.join(sizes, "symbol").withColumn("_bucket", at).withColumn("_own", F.lit(True)).drop("_n", "_from", "_to")
+    return with_rows_before(own, back_rows)
+
+
 def null_scores(series: DataFrame, value: str, name: str = "z", keys: tuple[str, ...] = ()) -> DataFrame:
     """z of each value against the mean and sample deviation of its series: one row of moments a series is joined back."""
     moments = series.groupBy(*keys).agg(F.avg(value).alias("_m"), F.greatest(F.stddev_samp(value), F.lit(1e-12)).alias("_s"))

@@ -559,7 +559,7 @@ def _of_kind(spark, d, kind, events, params=PARAMS):
 
 @query
 def robust_z_alerts(spark, d):
-    return _of_kind(spark, d, "robust_z", D.from_ticks(V.ticks(spark, d)))
+    return D.robust_z_alerts(V.ticks(spark, d), PARAMS).select("symbol", "seq", r("z").alias("score"))
 
 
 @query

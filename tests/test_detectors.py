@@ -9,6 +9,7 @@ from driftwatch.operators import detect, evaluate, models
 from driftwatch.operators import kernels as K
 from driftwatch.operators.kernels import LIBRARY, Params, ks_distance
 from driftwatch.plans import queries
+from driftwatch.schemas import ALERT
 from driftwatch.sources import files, views
 from driftwatch.streaming import live
 from tests.plain_detector import P2, Ewma, Symbol
@@ -103,7 +104,8 @@ def test_streams_give_what_tables_give(spark, tmp_path):
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     out = live.detect_stream(stream, queries.PARAMS).writeStream.foreachBatch(live.fan_out(live.table_sink(str(tmp_path / "out")))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     out.awaitTermination()
-    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).drop("batch").collect()))
+    columns = [part.split()[0] for part in ALERT.split(", ")]
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select(columns).collect()))
     assert got == wanted and wanted
 
 
@@ -152,3 +154,24 @@ def test_overrides_change_a_symbols_threshold(spark):
     low = detect.detect(ticks, queries.PARAMS, {"click": 1.0}).where("kind = 'robust_z' and symbol = 'click'").count()
     assert low > detect.detect(ticks, queries.PARAMS).where("kind = 'robust_z' and symbol = 'click'").count()
     assert LIBRARY.z_thresh == 4.0
+
+
+def test_pieces_of_a_hot_symbol_give_what_the_whole_gives(spark, monkeypatch):
+    """Scores of a symbol of 12,000 ticks cut into pieces by time, beside one of few."""
+    rng = np.random.default_rng(3)
+    ts = np.cumsum(rng.choice([0, 10**9, 700 * 10**9], 12_000, p=[0.1, 0.89, 0.01]))
+    rows = [("hot", int(t), k, float(p)) for k, (t, p) in enumerate(zip(ts, 100 * np.exp(np.cumsum(rng.standard_t(2, 12_000) * 1e-3))))]
+    ticks = spark.createDataFrame(rows + [("thin", int(t), k, 5.0 + k % 3) for k, t in enumerate(ts[:50])], "symbol string, ts_ns bigint, seq bigint, price double").repartition(4)
+    p = Params(alpha=0.1)
+    assert detect.remembered(p) < 1000 and detect.split(ticks, p) is ticks
+    read = lambda df: {(r.symbol, r.seq): r[3:] for r in df.collect()}
+    whole = read(detect.price_scores(ticks, p)), read(detect.ewma_scores(ticks, "price", p)), read(detect.robust_z_alerts(ticks, p))
+    monkeypatch.setattr(detect, "PIECE_ROWS", 1000)
+    cut = detect.split(ticks, p)
+    assert cut.where("symbol = 'hot'").select("_bucket").distinct().count() > 5 and cut.where("_own").count() == ticks.count()
+    pieces = read(detect.price_scores(ticks, p)), read(detect.ewma_scores(ticks, "price", p)), read(detect.robust_z_alerts(ticks, p))
+    for a, b in zip(whole, pieces):
+        assert a.keys() == b.keys() and a
+        for k in a:
+            assert [x is None for x in a[k]] == [x is None for x in b[k]]
+            assert [x for x in b[k] if x is not None] == pytest.approx([x for x in a[k] if x is not None], rel=1e-9, abs=1e-12)
