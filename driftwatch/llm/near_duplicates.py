@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwatch.llm.common import small_batches, staged
+from driftwatch.llm.common import SMALL_ROWS, small_batches, staged
 
 #: Words of a shingle; the hash is XXH64 with this seed.
 SHINGLE, SEED = 3, 42
@@ -115,7 +115,9 @@ def links(nodes: DataFrame) -> DataFrame:
     """From distinct fingerprints (fp, node): edges (u, v), u < v, whose components are those of all links.
 
     In each table, fingerprints that agree on its mask share a bucket. A bucket yields a spanning forest of its links,
-    not all pairs. One of more than CHUNK fingerprints is dealt out by chunks, each pair of chunks a cell of its own.
+    not all pairs. One of more than CHUNK fingerprints is dealt out by chunks, each pair of chunks a cell of its own: n
+    different fingerprints of one bucket make about n * n / CHUNK rows, so beyond some 100,000 that agree on a mask of 32
+    bits or so the rows outgrow the table. Copies don't count, as fingerprints are different ones.
     """
     spark = nodes.sparkSession
     masks = covering_masks()
@@ -132,15 +134,16 @@ def links(nodes: DataFrame) -> DataFrame:
     return cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_linked, "u bigint, v bigint").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Edges (u, v), u < v, to (node, component), the smallest node reachable, for all nodes with an edge.
 
     Alternates two steps until edges no longer change: each node links its larger neighbours, then its smaller ones
-    and itself, to the smallest node it sees. Every round is staged in the shared folder.
+    and itself, to the smallest node it sees. Rounds grow with the logarithm of the longest path; every one is staged in
+    the shared folder.
     """
     edges = staged(edges, "links")
     seen = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("m").alias("u"), "v").where("u < v").distinct()
@@ -153,8 +156,6 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         if state == seen:
             break
         seen = state
-    else:
-        raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     return edges.select(F.col("v").alias("node"), F.col("u").alias("component"))
 
 
@@ -179,8 +180,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows that repeat the kept id are one document and stay once: the row whose values' hash is least, so that the
     choice is the same in every run. Rows with a null id are linked to nothing and all stay. An empty table stays empty.
     """
-    gone = near_duplicates(docs, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs[id_col].cast("bigint") == F.col("_gone"), "left_anti")
+    gone = staged(near_duplicates(docs, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    # few ids are broadcast, so that texts stay where they are
+    few = gone.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+    kept = docs.join(F.broadcast(gone) if few else gone, docs[id_col].cast("bigint") == F.col("_gone"), "left_anti")
     repeated = staged(docs.where(docs[id_col].isNotNull()).groupBy(docs[id_col].alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1"), "repeated")
     if repeated.isEmpty():  # else rows would be shuffled twice more for nothing
         return kept
