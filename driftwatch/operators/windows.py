@@ -126,6 +126,18 @@ def at_ranks(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, Colu
     return numbered.groupBy(*keys).agg(*(F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in ranks))
 
 
+def percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """For each key the percentiles at some shares, as columns named as in shares, by linear interpolation between the two
+    nearest ranks; from at_ranks, so without a list of a hot key's values. Nulls are left out."""
+    place = {name: F.lit(float(p)) * (F.col("n") - 1) for name, p in shares.items()}
+    ends = {f"_low_{name}": F.floor(x) for name, x in place.items()} | {f"_high_{name}": F.ceil(x) for name, x in place.items()}
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"))
+    found = at_ranks(rows, keys, value, ends)
+    both = found.join(counts, keys) if keys else found.join(counts, F.lit(True))  # without keys one row
+    between = lambda name: F.col(f"_low_{name}") + (F.col(f"_high_{name}") - F.col(f"_low_{name}")) * (place[name] - F.floor(place[name]))
+    return both.select(*keys, *(between(name).alias(name) for name in shares))
+
+
 def by_time(rows: DataFrame, bucket_sec: int, back_rows: int = 0, back_sec: float = 0) -> DataFrame:
     """rows dealt out by symbol and time bucket for windows that look back so many rows or seconds: columns _bucket, and
     _own, false for copies of rows from before the bucket that its first rows look back to.

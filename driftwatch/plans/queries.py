@@ -239,9 +239,10 @@ def score_stats(spark, d):
 
 @query
 def percentiles_linear(spark, d):
-    shares = [0.5, 0.95, 0.99, 0.999]
-    p = F.percentile("price", F.array(*map(F.lit, shares)))
-    return V.ticks(spark, d).groupBy("symbol").agg(p.alias("p"), r(F.avg("price")).alias("mean"), F.max("price").alias("max")).select("symbol", *(r(F.col("p")[k]).alias(f"p{k}") for k in range(4)), "mean", "max")
+    t = V.ticks(spark, d)
+    p = W.percentiles(t, ["symbol"], "price", {"p0": 0.5, "p1": 0.95, "p2": 0.99, "p3": 0.999})
+    rest = t.groupBy("symbol").agg(r(F.avg("price")).alias("mean"), F.max("price").alias("max"))
+    return p.join(rest, "symbol").select("symbol", *(r(f"p{k}").alias(f"p{k}") for k in range(4)), "mean", "max")
 
 
 @query

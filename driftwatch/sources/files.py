@@ -64,13 +64,21 @@ def synthetic_ticks(spark: SparkSession, symbols: list[str], n: int, anomaly_rat
 
 
 def messages(lines: DataFrame) -> DataFrame:
-    """Trades and quotes of live feeds from lines of JSON, each a list of messages; other and malformed messages are skipped."""
+    """Trades and quotes of live feeds from lines of JSON, each a list of messages; other and malformed messages are skipped.
+
+    seq is a message's place in its list. A number that is missing or malformed is null.
+    """
     # as maps, for names that differ in case alone
-    m = lines.select(F.explode(F.from_json("value", "array<map<string, string>>")).alias("m"))
-    number = lambda key: F.col("m")[key].cast("double")
+    m = lines.select(F.posexplode(F.from_json("value", "array<map<string, string>>")).alias("seq", "m"))
+    number = lambda key: F.col("m")[key].try_cast("double")
     kept = m.where(F.col("m")["T"].isin("t", "q"))
     names = {"price": "p", "size": "s", "bid": "bp", "ask": "ap", "bid_size": "bs", "ask_size": "as"}
-    return kept.select(F.col("m")["S"].alias("symbol"), rfc3339_ns(F.col("m")["t"]).alias("ts_ns"), F.col("m")["T"].alias("etype"), *(number(k).alias(n) for n, k in names.items()))
+    return kept.select(F.col("m")["S"].alias("symbol"), rfc3339_ns(F.col("m")["t"]).alias("ts_ns"), F.col("seq").cast("bigint"), F.col("m")["T"].alias("etype"), *(number(k).alias(n) for n, k in names.items()))
+
+
+def message_stream(spark: SparkSession, folder: str, files_per_batch: int = 1) -> DataFrame:
+    """Trades and quotes from files of such lines as they come into a folder: what a feed's client writes, as a stream for detect_stream."""
+    return messages(spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder))
 
 
 def file_sha256(spark: SparkSession, path: str) -> DataFrame:

@@ -117,6 +117,14 @@ def test_values_at_ranks(spark, ticks):
     assert windows.at_ranks(rows, [], "price", {"mid": F.floor(F.col("n") / 2)}).first().mid == sorted(x for v in by.values() for x in v)[sum(map(len, by.values())) // 2]
 
 
+def test_percentiles(spark, ticks):
+    got = {r.symbol: (r.a, r.b) for r in windows.percentiles(ticks, ["symbol"], "price", {"a": 0.25, "b": 0.999}).collect()}
+    by = {}
+    for r in ticks.collect():
+        by.setdefault(r.symbol, []).append(r.price)
+    assert got.keys() == by.keys() and all(got[s] == pytest.approx(np.quantile(v, [0.25, 0.999])) for s, v in by.items())
+
+
 def test_quiet_starts(spark):
     rng = np.random.default_rng(2)
     z, vol = rng.normal(size=300), np.r_[[None] * 19, rng.uniform(1, 2, 281)]
@@ -258,3 +266,19 @@ def test_webhook_bodies(spark):
     assert [(r.w, r.n) for r in got] == [(1, 2), (2, 2)]
     assert (body["source"], body["feed"], body["asset_class"]) == ("driftwatch", "iex", "equities")
     assert [a["score"] for a in body["alerts"]] == [2.0, 3.0]
+
+
+def test_detectors_over_a_stream_of_messages(spark, tmp_path):
+    """A jump of five per cent among trades that come in as a feed's messages, two files one after the other."""
+    (tmp_path / "in").mkdir()
+    price, lines = 100.0, []
+    for i in range(300):
+        price *= 1.05 if i == 250 else 1.0001
+        lines.append(json.dumps([{"T": "t", "S": "X", "p": price, "s": "no number", "t": f"2024-01-01T00:{i // 60:02d}:{i % 60:02d}.5Z"}, {"T": "error", "code": 402}]))
+    for k in (0, 1):
+        (tmp_path / "in" / f"{k}.json").write_text("\n".join(["junk", *lines[k * 150 : k * 150 + 150]]))
+    alerts = live.detect_stream(files.message_stream(spark, str(tmp_path / "in")))
+    stream = alerts.writeStream.format("memory").queryName("jumps").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    stream.awaitTermination()
+    found = spark.table("jumps").where("kind = 'robust_z'").collect()
+    assert any(r.ts_ns == 1_704_067_200_500_000_000 + 250 * NS and r.score > 4 for r in found)
