@@ -141,7 +141,8 @@ class TCopula:
         if df is None:
             z = np.vectorize(NormalDist().inv_cdf)(u)
             return -0.5 * log_det - 0.5 * np.einsum("ij,jk,ik->i", z, inverse - np.eye(n), z)
-        z = t_ppf(u, df)
+        ranks, at = np.unique(u, return_inverse=True)  # columns share most ranks
+        z = t_ppf(ranks, df)[at].reshape(u.shape)
         q = np.einsum("ij,jk,ik->i", z, inverse, z)
         constant = math.lgamma((df + n) / 2) + (n - 1) * math.lgamma(df / 2) - n * math.lgamma((df + 1) / 2)
         return constant - 0.5 * log_det - (df + n) / 2 * np.log1p(q / df) + ((df + 1) / 2 * np.log1p(z * z / df)).sum(1)
@@ -181,7 +182,9 @@ def walk_forward(returns: DataFrame, names: list[str], ref: int = 252, roll: int
         own, z = _z(model, reference, x[window], roll)
         return pd.DataFrame({"t": t[window][roll - 1 :], "rolling_ll": own, "z": z, "df": np.int32(model.df)})
 
-    return dealt.groupBy("block").applyInPandas(score, "t bigint, rolling_ll double, z double, df int")
+    # so many tasks, although the rows are few: adaptive execution would put all blocks into one
+    parts = int(returns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "block").groupBy("block").applyInPandas(score, "t bigint, rolling_ll double, z double, df int")
 
 
 def dependence_shift(returns: DataFrame, names: list[str], ref: int = 252, roll: int = 5, z_thresh: float = 3.0) -> DataFrame:
