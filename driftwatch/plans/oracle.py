@@ -300,7 +300,7 @@ _BODIES: dict[str, str | tuple[str, str]] = {
         _price_fold("3.0") + ", " + _bursts("SELECT symbol, ts_ns, seq FROM fold WHERE hit <> 0 UNION ALL SELECT symbol, ts_ns, seq FROM fold WHERE abs(z) > 2", 86_400, 2, 86_400),
     ),
     "full_detector": (
-        "SELECT symbol, seq, row_number() OVER (PARTITION BY symbol, seq ORDER BY k) - 1 AS ord, kind, round(price, 6) AS price, round(score, 6) AS score FROM (SELECT * FROM told UNION ALL SELECT b.symbol, b.ts_ns, b.seq, 9, 'burst', value, score FROM bursts b JOIN mixed USING (symbol, seq))",
+        "SELECT symbol, seq, (row_number() OVER (PARTITION BY symbol, seq ORDER BY k) - 1)::INTEGER AS ord, kind, round(price, 6) AS price, round(score, 6) AS score FROM (SELECT * FROM told UNION ALL SELECT b.symbol, b.ts_ns, b.seq, 9, 'burst', value, score FROM bursts b JOIN mixed USING (symbol, seq))",
         f"""mixed AS (SELECT symbol, ts_ns, seq * 2 AS seq, price AS value FROM ticks UNION ALL SELECT symbol, ts_ns, seq * 2 + 1, {MID} FROM quotes),
         prices_seen AS (SELECT symbol, ts_ns, seq, value AS price FROM mixed),
         {_price_fold(source="prices_seen")}, {_regimes(0.25, 60)},
