@@ -1,4 +1,4 @@
-"""The queries op1_... to op10_..., each over its whole table, and SQL for those that SQL can express."""
+"""The queries op1_... to op13_..., each over its whole table, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftwatch.llm import decontaminate, main_text, near_duplicates, oracle, packing, quality_model, quality_rules, secrets, tokens, toxicity, warc
+from driftwatch.llm import decontaminate, filter_audit, main_text, near_duplicates, oracle, packing, quality_model, quality_rules, secrets, tokens, toxicity, warc
 from driftwatch.llm.common import table
 
 
@@ -50,10 +50,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_quality_rules, op2_main_text, op3_toxicity, op4_warc, op5_decontamination, op6_simhash, op7_secret_scan,
-        op8_packing, op9_quality_model, op10_token_counts,
+        op8_packing, op9_quality_model, op10_token_counts, op13_filter_audit,
     )
     return {f.__name__: f for f in own}
 
