@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from driftwatch.llm import decontaminate, filter_audit, main_text, near_duplicates, oracle, packing, quality_model, quality_rules, secrets, tokens, toxicity, warc
+from driftwatch.llm import decontaminate, filter_audit, main_text, near_duplicates, nearest, oracle, packing, quality_model, quality_rules, secrets, tokens, toxicity, warc, whitening
 from driftwatch.llm.common import table
 
 
@@ -50,6 +51,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -57,7 +66,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_quality_rules, op2_main_text, op3_toxicity, op4_warc, op5_decontamination, op6_simhash, op7_secret_scan,
-        op8_packing, op9_quality_model, op10_token_counts, op13_filter_audit,
+        op8_packing, op9_quality_model, op10_token_counts, op11_nearest, op12_whitening, op13_filter_audit,
     )
     return {f.__name__: f for f in own}
 
