@@ -60,6 +60,8 @@ LIVE = replace(LIBRARY, warmup=50, min_obs=100)
 KINDS = ("cusum", "robust_z", "regime_shift", "volume_spike", "crossed_book", "spread_widen", "obi_extreme", "quote_rate_spike", "microprice_drift", "burst")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
 _PRICE_KINDS = frozenset(KINDS[:3])
+#: Kinds whose quantiles' markers remember all of a symbol's events.
+MARKED = frozenset({"spread_widen", "quote_rate_spike"})
 
 #: An alert of an event of an array: its place, the order of its kind, kind, price, score, details. The keys of details are
 #: fixed values by kind.
@@ -248,6 +250,11 @@ class Returns:
         return {"r": r, "mean": mean, "mad": mad, "z": robust_z(r, mean, mad), "scored": ~fresh & (left == 0) & (count + done >= p.min_obs), "broke": fresh & known}
 
 
+    def mark(self) -> bytes:
+        base = self.base
+        return np.array([base.mean, base.mad, min(base.n, self.p.min_obs), self.price, self.warm]).tobytes() + np.int64(self.at).tobytes()
+
+
 class Symbol:
     """One symbol's detectors, or those of some kinds alone."""
 
@@ -258,33 +265,44 @@ class Symbol:
         self.returns, self.cusum = Returns(p), Cusum(p.cusum_k, p.cusum_h)
         self.sizes, self.micro = Ewma(p.alpha, True), Ewma(p.alpha, True)
         self.short, self.ref, self.scored = np.zeros(0), deque(maxlen=p.regime_ref), 0
-        self.regime_until = self.rate_until = self.burst_until = 0
+        self.regime_until = self.rate_until = 0
         self.spreads, self.rates = Quartiles(p.p2_fallback), Quartiles(p.p2_fallback)
         self.n_spreads = self.n_rates = 0
         self.extreme = False
         self.stamps = np.zeros(0, np.int64)
-        self.recent: deque[int] = deque()
-        self.usual = 0.0
+        self.bursts = Bursts(p)
+        self.last = 0
 
     def run(self, is_quote: np.ndarray, ts: np.ndarray, price: np.ndarray, size: np.ndarray, bid: np.ndarray, ask: np.ndarray, bid_size: np.ndarray, ask_size: np.ndarray) -> list[Alert]:
         """Alerts of events in order. What isn't known is NaN: a trade without price and a quote without bid or ask are
         passed over, a missing size is no size."""
-        known = ~np.where(is_quote, np.isnan(bid) | np.isnan(ask), np.isnan(price))
-        mid = np.where(ask > 0, 0.5 * (bid + ask), 0.0)
-        value = np.where(is_quote, mid, price)
+        if len(ts):
+            self.last = int(ts[-1])
+        known, value, priced = self._seen(is_quote, price, bid, ask)
         out: list[Alert] = []
         if self.kinds & _PRICE_KINDS:
-            out += self._on_prices(np.flatnonzero(known & (~is_quote | (self.p.use_quote_mid & (mid > 0)))), value, ts)
+            out += self._on_prices(priced, value, ts)
         if "volume_spike" in self.kinds:
             out += self._on_sizes(np.flatnonzero(known & ~is_quote & (size > 0)), price, size)
         quotes = np.flatnonzero(known & is_quote)
         if len(quotes):
-            out += self._on_quotes(quotes, mid[quotes], ts[quotes], bid[quotes], ask[quotes], bid_size[quotes], ask_size[quotes])
+            out += self._on_quotes(quotes, value[quotes], ts[quotes], bid[quotes], ask[quotes], bid_size[quotes], ask_size[quotes])
         out.sort(key=lambda a: a[:2])
         if "burst" in self.kinds:
             out = self._with_bursts(out, value, ts)
         return out if self.wanted == self.kinds else [a for a in out if a[2] in self.wanted]
 
+    def _seen(self, is_quote, price, bid, ask) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which events aren't passed over, each one's price or middle, and the rows whose prices have returns."""
+        known = ~np.where(is_quote, np.isnan(bid) | np.isnan(ask), np.isnan(price))
+        value = np.where(is_quote, np.where(ask > 0, 0.5 * (bid + ask), 0.0), price)
+        return known, value, np.flatnonzero(known & (~is_quote | (self.p.use_quote_mid & (value > 0))))
+
+    def count_scored(self, is_quote: np.ndarray, ts: np.ndarray, price: np.ndarray, size: np.ndarray, bid: np.ndarray, ask: np.ndarray, *_: np.ndarray) -> int:
+        """How many of the events' returns are scored."""
+        _, value, rows = self._seen(is_quote, price, bid, ask)
+        return int(self.returns.add(value[rows], ts[rows])["scored"].sum())
+
     def _on_prices(self, rows: np.ndarray, value: np.ndarray, ts: np.ndarray) -> list[Alert]:
         p, out = self.p, []
         x = self.returns.add(value[rows], ts[rows])
@@ -316,7 +334,8 @@ class Symbol:
             self.ref.extend(r[k - done - 1] for k in new)
             taken = n
             i = n - done - 1
-            if ts[i] > self.regime_until:
+            # where a symbol is taken up in the middle, only once both windows are full
+            if ts[i] > self.regime_until and before + i + 1 >= p.regime_short and len(self.ref) == p.regime_ref:
                 d = ks_distance(both[before + i + 1 - p.regime_short : before + i + 1], self.ref)
                 if d > p.regime_ks:
                     self.regime_until = int(ts[i]) + int(p.regime_cooldown * NS)
@@ -391,24 +410,72 @@ class Symbol:
 
     def _with_bursts(self, alerts: list[Alert], value: np.ndarray, ts: np.ndarray) -> list[Alert]:
         """Alerts with bursts after those of the event that completes one."""
-        p, out, k = self.p, [], 0
+        out, k = [], 0
         while k < len(alerts):
             i, first = alerts[k][0], k
             while k < len(alerts) and alerts[k][0] == i:
                 k += 1
             out += alerts[first:k]
-            now = int(ts[i])
-            self.recent.extend([now] * (k - first))
-            while self.recent[0] < now - int(p.burst_window * NS):
-                self.recent.popleft()
-            n = len(self.recent)
-            self.usual = (1 - p.burst_alpha) * self.usual + p.burst_alpha * n
-            floor = max(self.usual, 1.0)
-            if n > p.burst_k * floor and now > self.burst_until:
-                self.burst_until = now + int(p.burst_cooldown * NS)
-                out.append((i, 9, "burst", value[i], n / floor, {"intensity_ratio": n / floor, "k_threshold": p.burst_k, "window_sec": p.burst_window, "alerts_in_window": n}))
+            burst = self.bursts.add(int(ts[i]), k - first)
+            if burst:
+                out.append((i, _ORDER["burst"], "burst", value[i], *burst))
         return out
 
+    def mark(self) -> bytes:
+        """What later events can tell of the events before: the same bytes for states with the same future."""
+        p, kinds = self.p, self.kinds
+        parts: list = []
+
+        def mean(e: Ewma) -> None:
+            parts.extend((e.mean, e.mad, float(e.n > 0), float(min(e.n, p.min_obs))))
+
+        if kinds & _PRICE_KINDS:
+            parts.append(np.frombuffer(self.returns.mark(), np.uint8))
+        if "cusum" in kinds:
+            parts += [self.cusum.up, self.cusum.down]
+        if "regime_shift" in kinds:
+            parts += [self.short, np.array(self.ref), np.int64(self.scored), np.int64(self.regime_until if self.regime_until >= self.last else 0)]
+        for kind, e in (("volume_spike", self.sizes), ("microprice_drift", self.micro)):
+            if kind in kinds:
+                mean(e)
+        if "obi_extreme" in kinds:
+            parts.append(float(self.extreme))
+        if kinds & MARKED:
+            parts += [np.array([*q.heights, *q.places, q.n], float) for z in (self.spreads, self.rates) for q in z.parts]
+            parts += [self.stamps, np.int64(self.rate_until if self.rate_until >= self.last else 0), np.int64(self.n_spreads), np.int64(self.n_rates)]
+        if "burst" in kinds:
+            parts.append(np.frombuffer(self.bursts.mark(self.last), np.uint8))
+        return b"|".join(np.asarray(x).tobytes() for x in parts)
+
+
+class Bursts:
+    """Alerts within a window against their usual number."""
+
+    def __init__(self, params: Params):
+        self.p, self.usual, self.until = params, 0.0, 0
+        self.recent: deque[int] = deque()
+
+    def add(self, now: int, n: int) -> tuple[float, dict] | None:
+        """Score and details of the burst that n alerts of one event complete, if they do."""
+        p = self.p
+        self.recent.extend([now] * n)
+        while self.recent[0] < now - int(p.burst_window * NS):
+            self.recent.popleft()
+        inside = len(self.recent)
+        self.usual = (1 - p.burst_alpha) * self.usual + p.burst_alpha * inside
+        floor = max(self.usual, 1.0)
+        if inside <= p.burst_k * floor or now <= self.until:
+            return None
+        self.until = now + int(p.burst_cooldown * NS)
+        return inside / floor, {"intensity_ratio": inside / floor, "k_threshold": p.burst_k, "window_sec": p.burst_window, "alerts_in_window": inside}
+
+    def mark(self, now: int) -> bytes:
+        return np.float64(self.usual).tobytes() + np.int64(self.until if self.until >= now else 0).tobytes() + np.array(self.recent, np.int64).tobytes()
+
+
+def json_of(details: dict) -> str:
+    return json.dumps({a: b.item() if isinstance(b, np.generic) else b for a, b in details.items()})
+
 
 def as_rows(symbol: str, ts: np.ndarray, seq: np.ndarray, alerts: list[Alert]) -> list[tuple]:
     """Alerts as rows of the alert schema, numbered within their event."""
@@ -416,5 +483,5 @@ def as_rows(symbol: str, ts: np.ndarray, seq: np.ndarray, alerts: list[Alert]) -
     for i, _, kind, price, score, details in alerts:
         k = k + 1 if i == last else 0
         last = i
-        out.append((symbol, int(ts[i]), int(seq[i]), k, kind, float(price), float(score), json.dumps({a: b.item() if isinstance(b, np.generic) else b for a, b in details.items()})))
+        out.append((symbol, int(ts[i]), int(seq[i]), k, kind, float(price), float(score), json_of(details)))
     return out

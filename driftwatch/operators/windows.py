@@ -172,18 +172,6 @@ def with_rows_before(own: DataFrame, back_rows: int) -> DataFrame:
     return own.unionByName(later.withColumn("_own", F.lit(False)).select(*own.columns))
 
 
-def in_pieces(rows: DataFrame, back_rows: int, piece_rows: int) -> DataFrame | None:
-    """rows of symbols cut by time into pieces of some piece_rows rows, each with the back_rows rows before it; None if no
-    symbol has so many rows that it would be cut. A symbol's span of time is cut evenly, so pieces differ in rows."""
-    sizes = rows.groupBy("symbol").agg(F.count("*").alias("_n"), F.min("ts_ns").alias("_from"), F.max("ts_ns").alias("_to"))
-    if (sizes.agg(F.max("_n")).first()[0] or 0) < 2 * piece_rows:
-        return None
-    pieces = F.greatest(F.lit(1), F.floor(F.col("_n") / piece_rows))
-    at = F.floor((F.col("ts_ns") - F.col("_from")) * pieces / (F.col("_to") - F.col("_from") + 1)).cast("bigint")
-    own = rows.join(sizes, "symbol").withColumn("_bucket", at).withColumn("_own", F.lit(True)).drop("_n", "_from", "_to")
-    return with_rows_before(own, back_rows)
-
-
 def null_scores(series: DataFrame, value: str, name: str = "z", keys: tuple[str, ...] = ()) -> DataFrame:
     """z of each value against the mean and sample deviation of its series: one row of moments a series is joined back."""
     moments = series.groupBy(*keys).agg(F.avg(value).alias("_m"), F.greatest(F.stddev_samp(value), F.lit(1e-12)).alias("_s"))

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftwatch.operators import detect, evaluate, models
+from driftwatch.operators import detect, evaluate, models, pieces
 from driftwatch.operators import kernels as K
 from driftwatch.operators.kernels import LIBRARY, Params, ks_distance
 from driftwatch.plans import queries
@@ -163,15 +163,11 @@ def test_pieces_of_a_hot_symbol_give_what_the_whole_gives(spark, monkeypatch):
     rows = [("hot", int(t), k, float(p)) for k, (t, p) in enumerate(zip(ts, 100 * np.exp(np.cumsum(rng.standard_t(2, 12_000) * 1e-3))))]
     ticks = spark.createDataFrame(rows + [("thin", int(t), k, 5.0 + k % 3) for k, t in enumerate(ts[:50])], "symbol string, ts_ns bigint, seq bigint, price double").repartition(4)
     p = Params(alpha=0.1)
-    assert detect.remembered(p) < 1000 and detect.split(ticks, p) is ticks
+    assert pieces.cut(ticks, detect.PIECE_ROWS, 1000) is None
     read = lambda df: {(r.symbol, r.seq): r[3:] for r in df.collect()}
     whole = read(detect.price_scores(ticks, p)), read(detect.ewma_scores(ticks, "price", p)), read(detect.robust_z_alerts(ticks, p))
     monkeypatch.setattr(detect, "PIECE_ROWS", 1000)
-    cut = detect.split(ticks, p)
-    assert cut.where("symbol = 'hot'").select("_bucket").distinct().count() > 5 and cut.where("_own").count() == ticks.count()
-    pieces = read(detect.price_scores(ticks, p)), read(detect.ewma_scores(ticks, "price", p)), read(detect.robust_z_alerts(ticks, p))
-    for a, b in zip(whole, pieces):
-        assert a.keys() == b.keys() and a
-        for k in a:
-            assert [x is None for x in a[k]] == [x is None for x in b[k]]
-            assert [x for x in b[k] if x is not None] == pytest.approx([x for x in a[k] if x is not None], rel=1e-9, abs=1e-12)
+    dealt = pieces.cut(ticks, 1000, detect.remembered(p)).rows
+    assert dealt.where("symbol = 'hot' and _own").select("_piece").distinct().count() > 5 and dealt.where("_own").count() == ticks.count()
+    assert whole == (read(detect.price_scores(ticks, p)), read(detect.ewma_scores(ticks, "price", p)), read(detect.robust_z_alerts(ticks, p)))
+    assert all(whole)
