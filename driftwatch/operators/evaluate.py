@@ -110,22 +110,24 @@ def time_resolution(stamps: DataFrame, column: str = "ts_ns") -> DataFrame:
     """resolution_ns: the greatest common divisor of all gaps between times, 0 if there is one time at most.
 
     It is that of all distances from any one of the times, so no order is needed: each task hands on one time and the
-    divisor of its own distances. Nulls are left out.
+    divisor of its own distances, and what they hand on is folded once more. Nulls are left out.
     """
-    rows = stamps.where(F.col(column).isNotNull()).select(F.col(column).cast("bigint").alias("t"), F.lit(0).cast("bigint").alias("g"))
+    rows = stamps.where(F.col(column).isNotNull()).select(F.col(column).cast("bigint").alias("t"))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, divisor = None, 0
         for batch in batches:
             if batch.num_rows:
-                t, g = (c.to_numpy() for c in batch.columns)
+                t = batch.column(0).to_numpy()
                 first = int(t[0]) if first is None else first
-                divisor = math.gcd(divisor, int(np.gcd.reduce(np.abs(t - first))), int(np.gcd.reduce(g)))
+                divisor = math.gcd(divisor, int(np.gcd.reduce(np.abs(t - first))))
         if first is not None:
             yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([divisor])], ["t", "g"])
 
-    parts = rows.mapInArrow(fold, "t bigint, g bigint").coalesce(1).mapInArrow(fold, "t bigint, g bigint")
-    return parts.agg(F.coalesce(F.max("g"), F.lit(0).cast("bigint")).alias("resolution_ns"))
+    parts = rows.mapInArrow(fold, "t bigint, g bigint").agg(F.collect_list(F.struct("t", "g")).alias("_parts"))  # a row a task
+    gcd = lambda a, b: F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.struct(a.alias("a"), b.alias("b")), lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.when(s["b"] != 0, s["a"] % s["b"]).alias("b"))))["a"]  # noqa: E731  # Euclid's steps, of which longs take fewer
+    every = F.flatten(F.transform("_parts", lambda p: F.array(p["g"], F.abs(p["t"] - F.col("_parts")[0]["t"]))))
+    return parts.select(F.aggregate(every, F.lit(0).cast("bigint"), gcd).alias("resolution_ns"))
 
 
 def ttd_summary(alerts: DataFrame, events: DataFrame, tolerance_sec: float) -> DataFrame:

@@ -210,24 +210,50 @@ def dependence_shift(returns: DataFrame, names: list[str], ref: int = 252, roll:
     return out.select(F.concat_ws(",", *map(F.lit, names)).alias("symbol"), "t", "price", "score", "df", (F.abs("score") >= z_thresh).alias("alert"))
 
 
+def gamma_upper(a: float, x: float) -> float:
+    """Q(a, x), the regularised upper incomplete gamma function, in a bounded memory and some root of a steps: the series
+    below a + 1, above it the continued fraction. For a whole a it is P(N < a) of a Poisson variable of mean x."""
+    if x <= 0:
+        return 1.0
+    scale = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1 / a
+        k = a
+        while term > total * 1e-17:
+            k += 1
+            term *= x / k
+            total += term
+        return 1 - scale * total
+    b = x + 1 - a
+    c, d = 1e300, 1 / b
+    h, k = d, 0
+    while True:
+        k += 1
+        step = -k * (k - a)
+        b += 2
+        d, c = step * d + b, b + step / c
+        d = 1 / (d if abs(d) > 1e-300 else 1e-300)
+        c = c if abs(c) > 1e-300 else 1e-300
+        h *= c * d
+        if abs(c * d - 1) < 1e-16 or k > 10_000_000:
+            return scale * h
+
+
 def poisson_interval(k: int, exposure: float, level: float = 0.95) -> tuple[float, float]:
     """Garwood's interval of a rate: k events in an exposure."""
     if exposure <= 0:
         return 0.0, 0.0
     tail = (1 - level) / 2
 
-    def upper_tail(mean: float, n: int) -> float:
-        """P(N >= n) of a Poisson variable."""
-        if n <= 0:
-            return 1.0
-        logs = np.arange(n) * math.log(mean) - mean - np.array([math.lgamma(i + 1) for i in range(n)])
-        return 1 - float(np.exp(logs).sum())
-
     def solve(n: int, goal: float) -> float:
-        low, high = 1e-12, 10.0 + 4 * k + 40
-        for _ in range(200):
+        """The mean at which n or more events have that probability."""
+        spread = 10 * math.sqrt(n) + 20
+        low, high = max(0.0, n - spread), n + spread
+        while high - low > 1e-15 * high:
             m = (low + high) / 2
-            low, high = (m, high) if upper_tail(m, n) < goal else (low, m)
+            if m in (low, high):
+                break
+            low, high = (m, high) if 1 - gamma_upper(n, m) < goal else (low, m)
         return (low + high) / 2
 
     return (solve(k, tail) / exposure if k else 0.0), solve(k + 1, 1 - tail) / exposure
