@@ -210,6 +210,22 @@ _BODIES: dict[str, str | tuple[str, str]] = {
         told AS (SELECT symbol, i, w, true AS fired, w AS sent FROM strong WHERE i = 1
           UNION ALL SELECT symbol, i, w, fired, CASE WHEN fired THEN w ELSE sent END FROM (SELECT n.symbol, n.i, n.w, f.sent, n.w = f.sent OR n.ts_ns - (f.sent + 1) * 60000000000 >= 3600000000000 AS fired FROM told f JOIN strong n ON n.symbol = f.symbol AND n.i = f.i + 1))""",
     ),
+    "trade_quote_asof": """SELECT t.symbol, t.seq, t.price, t.ts_ns - q.ts_ns AS age_ns, round(q.bid, 6) AS bid, round(q.ask, 6) AS ask
+      FROM (SELECT symbol, ts_ns, seq * 2 AS seq, price, ts_ns::HUGEINT * 1000000000 + seq * 2 AS place FROM ticks) t
+      ASOF LEFT JOIN (SELECT symbol, ts_ns, bid, ask, ts_ns::HUGEINT * 1000000000 + seq * 2 + 1 AS place FROM quotes) q ON t.symbol = q.symbol AND t.place >= q.place""",
+    "context_snapshot": (
+        f"""SELECT symbol, n, first_ns, last_ns, last_price, total, CASE WHEN fine THEN round(bid, 6) END AS bid, CASE WHEN fine THEN round(ask, 6) END AS ask, CASE WHEN fine THEN bid_size END AS bid_size,
+          CASE WHEN fine THEN ask_size END AS ask_size, CASE WHEN fine THEN round({MID}, 6) END AS mid, CASE WHEN fine THEN round({SPREAD}, 6) END AS spread_bps
+          FROM ring JOIN (SELECT *, ask > bid AND bid > 0 AS fine FROM book WHERE k = 1) USING (symbol)""",
+        f"""stream AS (SELECT symbol, ts_ns, seq * 2 AS seq, price FROM ticks UNION ALL SELECT symbol, ts_ns, seq * 2 + 1, {MID} FROM quotes WHERE {MID} > 0),
+        ring AS (SELECT symbol, count(*) AS n, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns, round(arg_min(price, k), 6) AS last_price, round(sum(price), 3) AS total
+          FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_ns DESC, seq DESC) AS k FROM stream) WHERE k <= 1000 GROUP BY symbol),
+        book AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_ns DESC, seq DESC) AS k FROM quotes)""",
+    ),
+    "alert_rate_windows": """SELECT w * 7200000000000 AS w_ns, symbol, kind, count(*) AS n, round(max(abs(score)), 6) AS most, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns
+      FROM (SELECT *, ts_ns // 7200000000000 - k AS w FROM alerts, range(3) AS r(k)) GROUP BY ALL""",
+    "alert_sessions": """SELECT symbol, count(*) AS n, round(max(abs(score)), 6) AS most, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns FROM (SELECT *, sum(fresh) OVER (PARTITION BY symbol ORDER BY ts_ns, seq) AS run
+      FROM (SELECT *, CASE WHEN ts_ns - lag(ts_ns) OVER (PARTITION BY symbol ORDER BY ts_ns, seq) < 14400000000000 THEN 0 ELSE 1 END AS fresh FROM alerts)) GROUP BY symbol, run""",
     "ffill_limit2": "SELECT d, " + ", ".join(f"round(p{k}, 6) AS p{k}" for k in range(8)) + " FROM complete",
     "log_returns": "SELECT t, " + ", ".join(f"round(r{k}, 9) AS r{k}" for k in range(8)) + " FROM returns",
     "rank_uniform": "SELECT t, asset, round(greatest(1e-6, least(1 - 1e-6, (k + (same - 1) / 2) / (n + 1))), 9) AS u FROM (SELECT t, asset, rank() OVER (PARTITION BY asset ORDER BY ret) AS k, count(*) OVER (PARTITION BY asset, ret) AS same, count(*) OVER (PARTITION BY asset) AS n FROM long_returns)",

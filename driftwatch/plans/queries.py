@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftwatch.functions import scalar as S
+from driftwatch.operators import asof as A
 from driftwatch.operators import control as C
 from driftwatch.operators import detect as D
 from driftwatch.operators import evaluate as E
@@ -19,6 +20,7 @@ from driftwatch.operators.kernels import Params
 from driftwatch.sources import files
 from driftwatch.sources import views as V
 from driftwatch.streaming import live
+from driftwatch.streaming import windows as T
 
 #: Half an hour on either side of a point event. The test events are sparse: gaps of hours don't end a session there.
 TOLERANCE = 1800.0
@@ -487,6 +489,36 @@ def log_returns(spark, d):
     return V.returns(spark, d).select("t", *(r(c, 9).alias(c) for c in RETURNS))
 
 
+# What was known at a time, and windows by event time
+@query
+def trade_quote_asof(spark, d):
+    """Each trade beside the last quote before it; a trade comes before the quote of its own number."""
+    e = V.event_stream(spark, d)
+    trades, quotes = e.where("etype = 't'").select("symbol", "ts_ns", "seq", "price"), e.where("etype = 'q'")
+    x = A.asof(trades, quotes, ["bid", "ask"])
+    return x.select("symbol", "seq", "price", (F.col("ts_ns") - F.col("right_ts")).alias("age_ns"), r("bid").alias("bid"), r("ask").alias("ask"))
+
+
+@query
+def context_snapshot(spark, d):
+    x = A.context(V.event_stream(spark, d), 1000)
+    ends = lambda f, c: getattr(F, f)(c)
+    total = F.aggregate("prices", F.lit(0.0), lambda s, p: s + p)
+    quote = [r(f"quote.{c}").alias(c) for c in ("bid", "ask", "bid_size", "ask_size", "mid", "spread_bps")]
+    return x.select("symbol", F.size("prices").cast("bigint").alias("n"), ends("array_min", "ts_ns").alias("first_ns"), F.element_at("ts_ns", -1).alias("last_ns"), r(F.element_at("prices", -1)).alias("last_price"), r(total, 3).alias("total"), *quote)
+
+
+@query
+def alert_rate_windows(spark, d):
+    """Windows of six hours, a new one every two."""
+    return T.alert_windows(V.alerts(spark, d), 21_600, 7_200).withColumn("most", r("most"))
+
+
+@query
+def alert_sessions(spark, d):
+    return T.alert_sessions(V.alerts(spark, d), 14_400).withColumn("most", r("most"))
+
+
 # Models
 @query
 def rank_uniform(spark, d):

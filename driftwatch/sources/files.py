@@ -63,17 +63,19 @@ def synthetic_ticks(spark: SparkSession, symbols: list[str], n: int, anomaly_rat
     return rows.select("ts_ns", "symbol", (100 * F.exp(F.sum("x").over(w))).alias("price"), "seq")
 
 
-def messages(lines: DataFrame) -> DataFrame:
+def messages(lines: DataFrame, start: str | None = None) -> DataFrame:
     """Trades and quotes of live feeds from lines of JSON, each a list of messages; other and malformed messages are skipped.
 
-    seq is a message's place in its list. A number that is missing or malformed is null.
+    seq is a message's place in its list, counted from the line's column start if one is named. A number that is missing or
+    malformed is null.
     """
     # as maps, for names that differ in case alone
-    m = lines.select(F.posexplode(F.from_json("value", "array<map<string, string>>")).alias("seq", "m"))
+    first = F.col(start) if start else F.lit(0)
+    m = lines.select(first.alias("first"), F.posexplode(F.from_json("value", "array<map<string, string>>")).alias("place", "m"))
     number = lambda key: F.col("m")[key].try_cast("double")
     kept = m.where(F.col("m")["T"].isin("t", "q"))
     names = {"price": "p", "size": "s", "bid": "bp", "ask": "ap", "bid_size": "bs", "ask_size": "as"}
-    return kept.select(F.col("m")["S"].alias("symbol"), rfc3339_ns(F.col("m")["t"]).alias("ts_ns"), F.col("seq").cast("bigint"), F.col("m")["T"].alias("etype"), *(number(k).alias(n) for n, k in names.items()))
+    return kept.select(F.col("m")["S"].alias("symbol"), rfc3339_ns(F.col("m")["t"]).alias("ts_ns"), (F.col("first") + F.col("place")).cast("bigint").alias("seq"), F.col("m")["T"].alias("etype"), *(number(k).alias(n) for n, k in names.items()))
 
 
 def message_stream(spark: SparkSession, folder: str, files_per_batch: int = 1) -> DataFrame:
