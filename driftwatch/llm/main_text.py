@@ -7,7 +7,8 @@ import math
 import re
 from collections import Counter, deque
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,16 +26,23 @@ CONTENT_TAGS, BOILERPLATE_TAGS = frozenset(("article", "main")), frozenset("nav
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that end an open paragraph.
 ENDS_P = BLOCK - {"br_", "body", "html"}
-BOILERPLATE_NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment-?list|consent|cookies?|disqus|footer|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|popup|promo\w*|related|replies|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|teaser|toolbar|widget)(?:$|[-_\s\d])",
-    re.I,
+#: Names of classes and ids, in whole or as their first or last part: places in a page's layout, which wrappers bear too;
+#: those that an article has of its own as well; and parts that are never an article's.
+LAYOUT_NAMES = frozenset("breadcrumb breadcrumbs footer login menu modal nav navbar navigation pagination popup sidebar signup toolbar".split())
+OPEN_NAMES = frozenset("banner header masthead related teaser widget widgets".split())
+PART_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising comment comments commentlist consent cookie cookies disqus gdpr newsletter notice notices promo promos promotion replies respond share sharing social sponsor sponsored sponsors subscribe".split()
 )
-CONTENT_NAMES = re.compile(r"(?:^|[-_\s])(?:article|content|entry|main|post|story|text|body)(?:$|[-_\s\d])", re.I)
+CONTENT_NAMES = frozenset("article content entry main post story text body".split())
+#: Parts that say how something is, not what it is: has-sidebar, nav-open.
+QUALIFIERS = frozenset("has no with without not is js open opened closed on off enabled disabled active hidden visible".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
 #: Costs of labelling against the classifier, in nats; smoothness of neighbours in the text and of neighbours in one element.
-WEIGHTS = {"bias": -0.6, "content": 3.0, "boilerplate": -7.0, "name": 1.5, "words": 0.45, "links": -4.0, "heading": 0.6, "sentence": 0.8, "rights": -3.0}
+WEIGHTS = {"bias": -0.6, "content": 3.0, "boilerplate": -7.0, "layout": -3.5, "name": 1.5, "words": 0.45, "links": -4.0, "heading": 0.6, "sentence": 0.8, "rights": -3.0}
 ADJACENT, SIBLING = 0.6, 0.5
+#: A form or an element with a layout's name is the page's wrapper if it has so much of the text, and no more of it in links.
+WRAPPER_TEXT, WRAPPER_LINKS = 0.6, 0.4
 
 #: A tag without "<" in its attributes, as nearly all are; the start of any other; what may end one or begin a value.
 _TAG = re.compile(r"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/<>]*+)(?P<attrs>(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)>")
@@ -42,19 +50,25 @@ _START = re.compile(r"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/<>]*+)")
 _STOP, _ANGLE = re.compile("[>\"']"), re.compile("[<>]")
 _LONG_NUMBER = re.compile(r"&#[0-9]{20,};?")
 _RAW_ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
-_NAMES = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_ROLE = re.compile(r"\brole\s*=\s*[\"']?([\w-]+)", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'<>/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>\"']++)))?")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+
+
+#: What an element says of the text in it, and its number: content, name; boilerplate; form, layout and open, which may wrap the page.
+Mark = tuple[str, int]
 
 
 @dataclass
 class Block:
     text: str
     links: int
-    #: The nearest element around it, by number; what elements around it say: content, boilerplate, name.
+    #: The nearest element around it, by number; what elements around it say: content, boilerplate, layout, name.
     parent: int
     hints: frozenset[str]
     heading: bool = False
+    #: The elements that say so.
+    marks: tuple[Mark, ...] = ()
 
 
 @dataclass
@@ -64,7 +78,67 @@ class _Open:
     #: The number of the nearest element around text that isn't a paragraph, list item or heading; whether there is a heading.
     own: int = 0
     heading: bool = False
-    hints: frozenset[str] = field(default_factory=frozenset)
+    marks: tuple[Mark, ...] = ()
+
+
+@lru_cache(65_536)
+def named(names: str) -> str:
+    """What the names of classes and ids say: part, layout, open, content, or nothing."""
+    said = set()
+    for name in names.split():
+        parts = [p.lower() for p in _PART.findall(name)]
+        if not parts or QUALIFIERS.intersection(parts):
+            continue
+        ends = {parts[0], parts[-1]}
+        if ends & PART_NAMES:
+            said.add("part")
+        elif ends & LAYOUT_NAMES:
+            said.add("layout")
+        elif ends & OPEN_NAMES and not (parts[-1] == "header" and CONTENT_NAMES.intersection(parts)):
+            said.add("open")
+        elif CONTENT_NAMES.intersection(parts):
+            said.add("content")
+    return next((x for x in ("part", "layout", "open", "content") if x in said), "")
+
+
+def mark_of(tag: str, attrs: str, inside: tuple[Mark, ...]) -> str:
+    """What an element says of its text: one kind of mark, or nothing. Attributes are read by name: a class called hidden hides nothing."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attrs) if attrs else ():
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    role = found.get("role", "").lower()
+    said = named(f"{found.get('class', '')} {found.get('id', '')}") if "class" in found or "id" in found else ""
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or _NO_DISPLAY.search(found.get("style", "")):
+        return "boilerplate"
+    if tag in ("body", "html"):
+        return ""
+    if said == "part":
+        return "boilerplate"
+    if tag in CONTENT_TAGS or role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody":
+        return "content"
+    if tag == "form":
+        return "form"
+    if tag in BOILERPLATE_TAGS and not (tag == "header" and any(kind == "content" for kind, _ in inside)) or role in BOILERPLATE_ROLES:
+        return "boilerplate"
+    return "name" if said == "content" else said
+
+
+def judged(blocks: list[Block]) -> list[Block]:
+    """blocks with the hints of their marks. A form or layout's name that wraps most of the page's text says nothing of it;
+    an open name within content says less than one outside."""
+    size, links = Counter(), Counter()
+    for b in blocks:
+        for kind, number in b.marks:
+            if kind in ("form", "layout", "open"):
+                size[number] += len(b.text)
+                links[number] += b.links
+    total = sum(len(b.text) for b in blocks)
+    wraps = {number for number, n in size.items() if n >= WRAPPER_TEXT * total and links[number] <= WRAPPER_LINKS * n}
+    for b in blocks:
+        kinds = [kind for kind, number in b.marks if number not in wraps]
+        says = {"form": "boilerplate", "layout": "boilerplate", "open": "layout" if "content" in kinds else "boilerplate"}
+        b.hints = frozenset(says.get(kind, kind) for kind in kinds)
+    return blocks
 
 
 _INNER = frozenset("p li h1 h2 h3 h4 h5 h6".split())
@@ -165,7 +239,7 @@ def blocks_of(page: str | None) -> list[Block]:
         if text:
             links = len(_plain(linked))
             top = stack[-1]
-            out.append(Block(text, min(links, len(text)), top.own, top.hints, top.heading))
+            out.append(Block(text, min(links, len(text)), top.own, frozenset(), top.heading, top.marks))
         parts.clear()
         linked.clear()
 
@@ -206,22 +280,17 @@ def blocks_of(page: str | None) -> list[Block]:
         if tag == "li" and stack[-1].tag == "li":
             pop()
         around = stack[-1]
-        names = " ".join(a or b or c for a, b, c in _NAMES.findall(attrs)) if attrs else ""
-        hints = around.hints
-        role = _ROLE.search(attrs) if attrs else None
-        in_article = "content" in hints
-        if tag in BOILERPLATE_TAGS and not (tag == "header" and in_article) or BOILERPLATE_NAMES.search(names) and tag not in ("body", "html", "article", "main") or role and role[1].lower() in BOILERPLATE_ROLES or _HIDDEN.search(attrs):
-            hints |= {"boilerplate"}
-        elif tag in CONTENT_TAGS or role and role[1].lower() == "main":
-            hints |= {"content"}
-        elif CONTENT_NAMES.search(names) and tag not in ("body", "html"):
-            hints |= {"name"}
+        marks, kind = around.marks, mark_of(tag, attrs, around.marks)
+        if kind in ("content", "name"):  # what forms and layouts' names around it said of wrappers
+            marks = tuple(m for m in marks if m[0] != "form" and (m[0] not in ("layout", "open") or kind == "name"))
+        if kind:
+            marks = (*marks, (kind, number + 1))
         number += 1
         own = around.own if tag in _INNER else number
-        stack.append(_Open(tag, number, own, around.heading or tag in HEADINGS, hints))
+        stack.append(_Open(tag, number, own, around.heading or tag in HEADINGS, marks))
         open_tags[tag] += 1
     flush()
-    return out
+    return judged(out)
 
 
 def leaning(block: Block) -> float:
