@@ -13,13 +13,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwatch.llm.common import held_out, joined_by_id, small_batches, staged
+from driftwatch.llm.common import beside_texts, held_out, joined_by_id, small_batches, staged
 
 #: Numbers of a word vector, words beside a word that count as its context, how many numbers of an index vector aren't zero.
 DIMENSIONS, CONTEXT, NONZERO = 32, 2, 6
-#: A word has a context vector of its own if it is one in so many words of all texts together, and stands in them so
-#: often; its parts alone describe a rarer one. So there are at most ONE_IN vectors, 20 MB, whatever the input.
-ONE_IN, MIN_COUNT = 500_000, 5
+#: A word has a context vector of its own if it stands so often in all texts together; its parts alone describe a rarer one.
+MIN_COUNT = 5
+#: Context vectors, of 40 bytes, that are broadcast; more are looked up for each chunk of the texts.
+BROADCAST_VECTORS = 2_000_000
 #: Labelled rows that the network is fitted to, and parts into which that sample is dealt.
 SAMPLE_ROWS, SAMPLE_PARTS = 20_000, 16
 #: Share of the sample kept from the network to calibrate its probabilities: one in so many.
@@ -27,8 +28,8 @@ CALIBRATE_PART = 5
 #: Hidden units, passes over the sample, rows of a step, rate of learning, weight decay.
 HIDDEN, EPOCHS, STEP, RATE, DECAY = 32, 40, 128, 3e-3, 1e-4
 #: Words whose vectors a worker keeps; words of the texts pooled together; words whose vectors are laid out at a time;
-#: different words, or context vectors, that a task gathers before it hands them on.
-CACHE, GROUP, BLOCK, GATHERED, GATHERED_VECTORS = 400_000, 1 << 18, 1 << 15, 1_000_000, 250_000
+#: context vectors that a task gathers before it hands them on.
+CACHE, GROUP, BLOCK, GATHERED_VECTORS = 400_000, 1 << 18, 1 << 15, 500_000
 #: Index vectors from which each word and each part of a word draws one by its hash.
 POOL = 1 << 14
 #: The seed of the network's start and of the order of its sample.
@@ -257,101 +258,90 @@ def _summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarra
     return key[starts], np.add.reduceat(np.concatenate(values)[order], starts, axis=0) if len(key) else np.concatenate(values)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], most: int, look: Callable[[pa.Array], Iterator[tuple[np.ndarray, np.ndarray]]], row: Callable[[np.ndarray, np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums by key of what look finds in the texts, handed on when some most of them are held."""
-    keys, values, held = [], [], 0
-    for batch in batches:
-        for key, value in look(batch.column(0)):
-            keys.append(key)
-            values.append(value)
-            held += len(key)
-            if held > most:
-                own = _summed(keys, values)
-                keys, values, held = [own[0]], [own[1]], len(own[0])
-                if held > most // 2:
-                    yield row(*own)
-                    keys, values, held = [], [], 0
-    if keys:
-        yield row(*_summed(keys, values))
-
-
-def word_counts(texts: DataFrame) -> DataFrame:
-    """From (text) to (key, n): the hash of each word and how often it stands in all texts."""
-
-    def look(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for _, words, codes, _ in grouped(column):
-            yield hashes_of(words), np.bincount(codes, minlength=len(words)).astype(np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _gathered(batches, GATHERED, look, lambda key, n: pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"]))
-
-    return texts.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def _around(codes: np.ndarray, doc: np.ndarray, drawn: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the words that are wanted, those that occur and the sums of the index vectors up to CONTEXT words beside them, in the same text."""
-    pool, out, met = _pool(), np.zeros((len(drawn), DIMENSIONS), np.int32), np.zeros(len(drawn), bool)
+def _around(codes: np.ndarray, doc: np.ndarray, drawn: np.ndarray) -> np.ndarray:
+    """Of each word the sum of the index vectors up to CONTEXT words beside it, in the same text; and how often it stands."""
+    pool, out = _pool(), np.zeros((len(drawn), DIMENSIONS + 1), np.int32)
     for a in range(0, len(codes), BLOCK):
-        at = a + np.flatnonzero(wanted[codes[a : a + BLOCK]])
-        if not len(at):
-            continue
-        at = at[np.argsort(codes[at], kind="stable")]
+        at = a + np.argsort(codes[a : a + BLOCK], kind="stable")
         v = np.zeros((len(at), DIMENSIONS), np.int8)
         for d in (*range(-CONTEXT, 0), *range(1, CONTEXT + 1)):
             beside = np.clip(at + d, 0, len(codes) - 1)
             v += pool[drawn[codes[beside]]] * ((doc[beside] == doc[at]) & (beside == at + d))[:, None]
         word = codes[at]
         starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-        out[word[starts]] += np.add.reduceat(v, starts, axis=0, dtype=np.int32)
-        met[word[starts]] = True
-    own = np.flatnonzero(met)
-    return own, out[own]
+        out[word[starts], :-1] += np.add.reduceat(v, starts, axis=0, dtype=np.int32)
+        out[word[starts], -1] += np.diff(np.r_[starts, len(word)]).astype(np.int32)
+    return out
+
 
+def _packed(key: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (key, n, vector) of sums whose last column is n; a vector takes one byte a number, or two or four, as it needs."""
+    most = np.abs(v[:, :-1]).max(1, initial=0)
+    for low, high, kind in ((-1, 127, "<i1"), (127, 32767, "<i2"), (32767, 2**31, "<i4")):
+        at = np.flatnonzero((most > low) & (most <= high))
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(v[at, -1].astype(np.int64)), _as_bytes(v[at, :-1], kind)], ["key", "n", "vector"])
 
-def context_vectors(texts: DataFrame, one_in: int, min_count: int) -> DataFrame:
-    """From (text) to (key, vector): for each frequent word the sum of the index vectors of the words up to CONTEXT places
-    beside it, over all texts; as DIMENSIONS whole numbers in bytes, little-endian.
 
-    Words are counted first: a word is frequent if it is one in so many of all words and stands min_count times or more.
-    There are at most one_in frequent words, so the set of their hashes is broadcast.
+def _unpacked(column: pa.Array) -> np.ndarray:
+    out, sizes = np.empty((len(column), DIMENSIONS), np.int64), pc.binary_length(column).to_numpy()
+    for width in (1, 2, 4):
+        at = np.flatnonzero(sizes == width * DIMENSIONS)
+        if len(at):
+            out[at] = _from_bytes(column.take(pa.array(at)), f"<i{width}")
+    return out
+
+
+def context_vectors(texts: DataFrame, min_count: int) -> DataFrame:
+    """From (text) to (key, vector): for each word that stands min_count times or more in all texts together the sum of the
+    index vectors of the words up to CONTEXT places beside it; as DIMENSIONS whole numbers in bytes, little-endian.
+
+    The texts are read once. Each task hands on the sums of all words that it meets, since none can tell which are
+    frequent; those that turn out rare are left out when the sums meet.
     """
-    spark = texts.sparkSession
-    counts = staged(word_counts(texts), "word-counts")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    frequent = counts.where((F.col("n") >= min_count) & (F.col("n") * one_in >= total)).select("key")
-    shared = spark.sparkContext.broadcast(np.sort(frequent.toArrow().column("key").to_numpy().view(np.uint64)))
-
-    def look(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for _, words, codes, lengths in grouped(column):
-            own = hashes_of(words)
-            met, v = _around(codes, np.repeat(np.arange(len(lengths)), lengths), _drawn(own), _member(own, shared.value))
-            yield own[met], v
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _gathered(batches, GATHERED_VECTORS, look, lambda key, v: pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), _as_bytes(v, "<i4")], ["key", "vector"]))
+        keys: list[np.ndarray] = []
+        values: list[np.ndarray] = []
+        held = 0
+        for batch in batches:
+            for _, words, codes, lengths in grouped(batch.column(0)):
+                own = hashes_of(words)
+                keys.append(own)
+                values.append(_around(codes, np.repeat(np.arange(len(lengths)), lengths), _drawn(own)))
+                held += len(own)
+                if held > GATHERED_VECTORS:
+                    key, v = _summed(keys, values)
+                    keys, values, held = [key], [v], len(key)
+                    if held > GATHERED_VECTORS // 2:
+                        yield from _packed(key, v)
+                        keys, values, held = [], [], 0
+        if keys:
+            yield from _packed(*_summed(keys, values))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums by key of rows that come sorted by it."""
         rest: tuple[np.ndarray, np.ndarray] | None = None
+
+        def frequent(key: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+            often = v[:, -1] >= min_count
+            return pa.RecordBatch.from_arrays([pa.array(key[often]), _as_bytes(v[often, :-1])], ["key", "vector"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, v = batch.column(0).to_numpy(), _from_bytes(batch.column(1), "<i4").astype(np.int64)
+            key, v = batch.column(0).to_numpy(), np.column_stack([_unpacked(batch.column(2)), batch.column(1).to_numpy()])
             if rest is not None:
                 key, v = np.concatenate([rest[0], key]), np.concatenate([rest[1], v])
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             key, v = key[starts], np.add.reduceat(v, starts, axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(key[:-1]), _as_bytes(v[:-1])], ["key", "vector"])
+            yield frequent(key[:-1], v[:-1])
             rest = key[-1:], v[-1:]
         if rest is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(rest[0]), _as_bytes(rest[1])], ["key", "vector"])
-
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return texts.mapInArrow(run, "key bigint, vector binary").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(add, "key bigint, vector binary")
-
+            yield frequent(*rest)
 
-def _member(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    return keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x if len(keys) else np.zeros(len(x), bool)
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return texts.mapInArrow(run, "key bigint, n bigint, vector binary").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(add, "key bigint, vector binary")
 
 
 def _as_bytes(v: np.ndarray, kind: str = "<i8") -> pa.Array:
@@ -364,9 +354,10 @@ def _from_bytes(column: pa.Array, kind: str = "<i8") -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, DIMENSIONS)
 
 
-def contexts_of(texts: DataFrame, one_in: int | None = None, min_count: int | None = None) -> Broadcast:
-    """The Contexts of a (text) table's frequent words, less their mean; every row of it counts."""
-    sums = staged(context_vectors(texts, one_in or ONE_IN, min_count or MIN_COUNT), "contexts")
+def contexts_of(texts: DataFrame, min_count: int | None = None) -> Broadcast | DataFrame:
+    """The Contexts of a (text) table's frequent words, less their mean; every row of it counts. As a table (key, vector)
+    where they are too many to broadcast."""
+    sums = staged(context_vectors(texts, min_count or MIN_COUNT), "contexts")
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, v = 0, np.zeros(DIMENSIONS)
@@ -383,15 +374,27 @@ def contexts_of(texts: DataFrame, one_in: int | None = None, min_count: int | No
             v = np.rint(_unit(_from_bytes(batch.column(1)) - mean) * 127).astype(np.int8)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in v], pa.binary())], ["key", "vector"])
 
-    got = sums.mapInArrow(unit, "key bigint, vector binary").toArrow()
+    units = sums.mapInArrow(unit, "key bigint, vector binary")
+    if sum(parts.column("n").to_pylist()) > BROADCAST_VECTORS:
+        return staged(units, "unit-contexts")
+    got = units.toArrow()
     keys = got.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     vectors = np.frombuffer(b"".join(got.column("vector").to_pylist()), np.int8).reshape(-1, DIMENSIONS)
     return texts.sparkSession.sparkContext.broadcast(Contexts(keys[order], vectors[order]))
 
 
-def _numbered(docs: DataFrame, contexts: Broadcast, text_col: str, finish: Callable[[np.ndarray], list[pa.Array]], added: str) -> DataFrame:
+def _numbered(docs: DataFrame, contexts: Broadcast | DataFrame, id_col: str, text_col: str, finish: Callable[[np.ndarray], list[pa.Array]], added: str) -> DataFrame:
     """docs with the columns that finish makes of their texts' numbers."""
+    if isinstance(contexts, DataFrame):
+        keys_of = lambda texts: (k for _, words, _, _ in grouped(pa.array(texts, pa.string())) for k in hashes_of(words).view(np.int64).tolist())
+
+        def prepare(known: dict[int, bytes]) -> Vectors:
+            keys = np.fromiter(known, np.int64, len(known)).view(np.uint64)
+            order = np.argsort(keys)
+            return Vectors(Contexts(keys[order], np.frombuffer(b"".join(known.values()), np.int8).reshape(-1, DIMENSIONS)[order]))
+
+        return beside_texts(docs, id_col, text_col, keys_of, "bigint", lambda by_chunk: by_chunk.join(contexts, "key"), "vector", "binary", prepare, lambda texts, vectors: finish(pooled(pa.array(texts, pa.string()), vectors)), added)
     at, names = docs.columns.index(text_col), docs.columns
     made = [part.split()[0] for part in added.split(", ")]
 
@@ -405,7 +408,7 @@ def _numbered(docs: DataFrame, contexts: Broadcast, text_col: str, finish: Calla
 
 @dataclass
 class Model:
-    contexts: Broadcast
+    contexts: Broadcast | DataFrame
     classifier: Classifier
 
 
@@ -424,7 +427,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = known.where(F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)))
     sample = staged(joined_by_id(rows, chosen, "_id").select("_id", "y", "text"), "quality-sample").repartition(SAMPLE_PARTS)
     as_bytes = lambda x: [pa.array([row.astype(np.float32).tobytes() for row in x], pa.binary())]
-    got = _numbered(sample, contexts, "text", as_bytes, "x binary").select("y", "x").toArrow()
+    got = _numbered(sample, contexts, "_id", "text", as_bytes, "x binary").select("y", "x").toArrow()
     y = got.column("y").to_numpy().astype(float)
     x = np.array([np.frombuffer(b, np.float32) for b in got.column("x").to_pylist()], float).reshape(-1, FEATURES)
     if not len(y):
@@ -445,5 +448,5 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     model = fit(docs, labels, id_col, text_col, label_col)
     shared = docs.sparkSession.sparkContext.broadcast(model.classifier)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = _numbered(rows, model.contexts, "text", lambda x: [pa.array(shared.value.score(x))], "score double")
+    out = _numbered(rows, model.contexts, "doc_id", "text", lambda x: [pa.array(shared.value.score(x))], "score double")
     return out.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))

@@ -500,12 +500,28 @@ def test_context_vectors_cover_all_texts(spark, odd, monkeypatch):
             v = sums.setdefault(w, np.zeros(quality_model.DIMENSIONS, np.int64))
             if around:
                 v += quality_model._pool()[quality_model._drawn(quality_model.hashes_of(around))].sum(0, dtype=np.int64)
-    total = sum(counts.values())
-    wanted = {int(quality_model.hashes_of([w]).view(np.int64)[0]): v.tolist() for w, v in sums.items() if counts[w] >= 3 and counts[w] * 500 >= total}
-    assert 0 < len(wanted) < sum(n >= 3 for n in counts.values())
+    wanted = {int(quality_model.hashes_of([w]).view(np.int64)[0]): v.tolist() for w, v in sums.items() if counts[w] >= 3}
+    assert 0 < len(wanted) < len(counts)
     df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
-    got = {r.key: np.frombuffer(r.vector, "<i8").tolist() for r in quality_model.context_vectors(df, 500, 3).collect()}
-    assert got == wanted
+    read = lambda: {r.key: np.frombuffer(r.vector, "<i8").tolist() for r in quality_model.context_vectors(df, 3).collect()}
+    assert read() == wanted
+    monkeypatch.setattr(quality_model, "GATHERED_VECTORS", 100)
+    assert read() == wanted
+
+
+def test_every_word_of_five_has_a_context_vector_at_any_size(spark):
+    """The words of a text have vectors beside many more words as they have alone."""
+    few, many = [("alpha beta gamma delta " * 5,)], [(" ".join(f"w{k}x{j}" for j in range(3000)),) for k in range(20)]
+    keys = lambda rows: {r.key for r in quality_model.context_vectors(spark.createDataFrame(rows, "text string"), quality_model.MIN_COUNT).collect()}
+    assert len(keys(few)) == 4 and keys(few + many) == keys(few)
+
+
+def test_context_vectors_by_chunk_give_the_same_scores(spark, monkeypatch):
+    docs, labels = documents(spark), table(spark, SF, "labels")
+    read = lambda: {r.doc_id: r.score for r in quality_model.quality(docs, labels).collect()}
+    whole = read()
+    monkeypatch.setattr(quality_model, "BROADCAST_VECTORS", 10)
+    assert read() == pytest.approx(whole, abs=1e-4)
 
 
 def test_pooled_numbers_do_not_depend_on_groups(odd, monkeypatch):
