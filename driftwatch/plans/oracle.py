@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from driftwatch.plans.queries import GATE_ROWS
-
 VIEWS = """
 ticks AS (SELECT event_type AS symbol, epoch_us(ts) * 1000 AS ts_ns, event_id AS seq, value AS price, (1 + user_id % 50)::DOUBLE AS size FROM events WHERE value > 0),
 quotes AS (SELECT symbol, ts_ns, seq,
@@ -138,7 +136,20 @@ GATE = f"""days AS (SELECT t, a.z AS z0, b.z AS z1, vol FROM {_ROLLED("r0")} a J
 fits AS (SELECT t FROM (SELECT t, count(*) OVER w AS n, max(abs(z0)) OVER w AS most, quantile_cont(vol, 0.5) OVER w AS here FROM days WINDOW w AS (ORDER BY t ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING))
   WHERE n = 30 AND most < 2.5 AND here < (SELECT quantile_cont(vol, 0.5) FROM days)),
 one AS (SELECT min(t) AS s1 FROM fits), two AS (SELECT s1, (SELECT min(t) FROM fits WHERE t >= s1 + 30) AS s2 FROM one), picked AS (SELECT s1, s2, (SELECT min(t) FROM fits WHERE t >= s2 + 30) AS s3 FROM two)"""
-RUNS = "runs AS (SELECT * FROM (VALUES " + ", ".join(f"('{e}', '{t}', '{m}', {z!r}::DOUBLE, {k})" for e, t, m, z, k in GATE_ROWS) + """) AS v(event, type, method, peak_z, peak_day)),
+RUNS = GATE + """, onsets AS (SELECT concat('crisis ', onset) AS event, 'crisis' AS type, onset FROM (SELECT arg_min(t, (round(z0, 9), t)) AS onset FROM days WHERE t BETWEEN 300 AND 2099 GROUP BY (t - 300) // 600)
+  UNION ALL SELECT concat('quiet ', onset), 'quiet', onset FROM (SELECT unnest([s1, s2, s3]) AS onset FROM picked) WHERE onset IS NOT NULL),
+spans AS (SELECT *, greatest(1, onset - 282) AS first FROM onsets WHERE onset - 30 - greatest(1, onset - 282) >= 232),
+around AS (SELECT event, type, asset, ret, CASE WHEN t < onset - 30 THEN 'ref' ELSE 'eval' END AS part, CASE WHEN t < onset - 30 THEN t - first ELSE t - onset END AS day
+  FROM long_returns JOIN spans ON (t >= first AND t < onset - 30) OR (t >= onset AND t < onset + 20)),
+zs AS (SELECT *, (ret - avg(ret) FILTER (part = 'ref') OVER w) / greatest(stddev_samp(ret) FILTER (part = 'ref') OVER w, 1e-12) AS z FROM around WINDOW w AS (PARTITION BY event, asset)),
+binned AS (SELECT *, (z > 0)::INTEGER AS b2, (z > -1)::INTEGER + (z > 0)::INTEGER + (z > 1)::INTEGER AS b4 FROM zs),
+logs AS (SELECT *, -0.5 * z * z AS gaussian, -3 * ln(1 + z * z / 5) AS t,
+  ln((count(*) FILTER (part = 'ref') OVER (PARTITION BY event, asset, b2) + 1) / (count(*) FILTER (part = 'ref') OVER (PARTITION BY event, asset) + 2)) AS mps_2,
+  ln((count(*) FILTER (part = 'ref') OVER (PARTITION BY event, asset, b4) + 1) / (count(*) FILTER (part = 'ref') OVER (PARTITION BY event, asset) + 4)) AS mps_4 FROM binned),
+lls AS (UNPIVOT (SELECT event, type, part, day, sum(gaussian) AS gaussian, sum(t) AS t, sum(mps_2) AS mps_2, sum(mps_4) AS mps_4 FROM logs GROUP BY ALL) ON gaussian, t, mps_2, mps_4 INTO NAME method VALUE ll),
+rolls AS (SELECT event, type, method, part, day - 4 AS day, s FROM (SELECT *, sum(ll) OVER w AS s, count(*) OVER w AS n FROM lls WINDOW w AS (PARTITION BY event, method, part ORDER BY day ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) WHERE n = 5),
+nulls AS (SELECT event, method, avg(s) AS m, stddev_samp(s) AS sd FROM rolls WHERE part = 'ref' GROUP BY ALL),
+runs AS (SELECT event, type, method, round(min(z), 9) AS peak_z, arg_min(day, (z, day))::INTEGER AS peak_day FROM (SELECT r.*, (s - m) / sd AS z FROM rolls r JOIN nulls USING (event, method) WHERE part = 'eval') GROUP BY ALL),
 best AS (SELECT event, type, arg_max(method, (abs(peak_z), method)) AS best, arg_max(peak_z, (abs(peak_z), method)) AS best_z, arg_max(peak_day, (abs(peak_z), method)) AS best_day FROM runs WHERE starts_with(method, 'mps_') GROUP BY event, type)"""
 
 _BODIES: dict[str, str | tuple[str, str]] = {
@@ -294,13 +305,14 @@ _BODIES: dict[str, str | tuple[str, str]] = {
         GATE,
     ),
     "gate_merge": (
-        "SELECT event, best, best_day, g.peak_day AS gauss_day, t.peak_day AS t_day, round(best_z, 9) AS best_z, round(g.peak_z, 9) AS gauss_z, round(t.peak_z, 9) AS t_z FROM best JOIN runs g USING (event) JOIN runs t USING (event) WHERE g.method = 'gaussian' AND t.method = 't' AND g.type = 'crisis'",
+        "SELECT event, best, best_day, g.peak_day AS gauss_day, t.peak_day AS t_day, round(best_z, 6) AS best_z, round(g.peak_z, 6) AS gauss_z, round(t.peak_z, 6) AS t_z FROM best JOIN runs g USING (event) JOIN runs t USING (event) WHERE g.method = 'gaussian' AND t.method = 't' AND g.type = 'crisis'",
         RUNS,
     ),
-    "gate_best": ("SELECT event, best, round(best_z, 9) AS best_z FROM best", RUNS),
+    "gate_best": ("SELECT event, best, round(best_z, 6) AS best_z FROM best", RUNS),
+    "gate_peaks": ("SELECT event, type, method, round(peak_z, 6) AS peak_z, peak_day FROM runs", RUNS),
     "gate_verdict": (
         """SELECT *, CASE WHEN c1 AND c2 AND c3 AND c4 AND c5 THEN 'full' WHEN c1 AND c4 AND c5 THEN 'partial' ELSE 'fail' END AS decision FROM (
-        SELECT n_far, n_timely, n_beyond_t, n_spurious, n_spurious_t, round(threshold, 9) AS threshold, n_far >= 2 AS c1, n_timely >= 2 AS c2, n_beyond_t >= 1 AS c3, n_spurious <= 1 AS c4, n_spurious <= n_spurious_t AS c5 FROM (
+        SELECT n_far, n_timely, n_beyond_t, n_spurious, n_spurious_t, round(threshold, 6) AS threshold, n_far >= 2 AS c1, n_timely >= 2 AS c2, n_beyond_t >= 1 AS c3, n_spurious <= 1 AS c4, n_spurious <= n_spurious_t AS c5 FROM (
         SELECT threshold, (SELECT count(*) FROM crisis WHERE far) AS n_far, (SELECT count(*) FROM crisis WHERE far AND best_day <= g_day + 2) AS n_timely, (SELECT count(*) FROM crisis WHERE abs(best_z) > abs(t_z)) AS n_beyond_t,
           (SELECT count(*) FROM best WHERE type = 'quiet' AND abs(best_z) >= threshold) AS n_spurious, (SELECT count(*) FROM runs WHERE type = 'quiet' AND method = 't' AND abs(peak_z) >= threshold) AS n_spurious_t
         FROM (SELECT quantile_cont(abs(best_z), 0.5) AS threshold FROM best WHERE type = 'crisis')))""",

@@ -17,6 +17,7 @@ from driftwatch.operators import gates as G
 from driftwatch.operators import models as M
 from driftwatch.operators import windows as W
 from driftwatch.operators.kernels import Params
+from driftwatch.operators.pieces import kept
 from driftwatch.sources import files
 from driftwatch.sources import views as V
 from driftwatch.streaming import live
@@ -387,55 +388,47 @@ def gate_quiet_firings(spark, d):
     return G.quiet_firings(x, "t", "z_r1", W.quiet_starts(x, "t", "z_r0", "vol", calm=2.5), new_thresh=1.0).withColumn("per_day", r("per_day"))
 
 
-#: Event, type, method, peak z and its day of the published gate's runs.
-GATE_RUNS = """
-COVID crisis gaussian 0.9665402505523115 6
-COVID crisis t 3.774591583374151 0
-COVID crisis mps_chi2 1.0473388275447715 0
-COVID crisis mps_chi4 -0.19442212156961672 3
-COVID crisis mps_chi8 -1.033719443126788 3
-TerraLuna crisis gaussian -0.42968654267720213 10
-TerraLuna crisis t -0.7506177213189158 7
-TerraLuna crisis mps_chi2 -2.0895859216096992 14
-TerraLuna crisis mps_chi4 -1.2192336704714715 14
-TerraLuna crisis mps_chi8 -1.7270987874400274 10
-SVB crisis gaussian -15.221280016201849 1
-SVB crisis t -6.078581639802564 1
-SVB crisis mps_chi2 -1.6022804048912764 10
-SVB crisis mps_chi4 -2.1206316536133203 10
-SVB crisis mps_chi8 -3.468631055142081 10
-Q-NC-2 quiet gaussian -0.7789873437397918 7
-Q-NC-2 quiet t -0.8772283224147148 7
-Q-NC-2 quiet mps_chi2 -1.1980188758427812 3
-Q-NC-2 quiet mps_chi4 -1.2321555722984816 3
-Q-NC-2 quiet mps_chi8 -1.8714722119299385 2
-Q-NC-3 quiet gaussian -1.1317115319198379 2
-Q-NC-3 quiet t -1.1743565570985575 2
-Q-NC-3 quiet mps_chi2 -1.4632609084963764 10
-Q-NC-3 quiet mps_chi4 -2.0420466016254815 13
-Q-NC-3 quiet mps_chi8 -2.5565855736190053 11
-"""
-GATE_ROWS = [(e, t, m, float(z), int(k)) for e, t, m, z, k in map(str.split, GATE_RUNS.strip().splitlines())]
-
-
-def _gate_runs(spark):
-    return spark.createDataFrame(GATE_ROWS, "event string, type string, method string, peak_z double, peak_day int")
+def _onsets(spark, d):
+    """Crises: the days of the deepest fall of r0's rolling sum in each of three stretches; and the quiet windows' starts."""
+    x = _gate_scores(spark, d)
+    crisis = x.where("t between 300 and 2099").groupBy(F.floor((F.col("t") - 300) / 600).alias("k")).agg(F.min(F.struct(F.round("z_r0", 9), "t")).alias("b"))
+    quiet = W.quiet_starts(x, "t", "z_r0", "vol", calm=2.5)
+    named = lambda df, kind, onset: df.select(F.concat(F.lit(f"{kind} "), onset.cast("string")).alias("event"), F.lit(kind).alias("type"), onset.alias("onset"))
+    return named(crisis, "crisis", F.col("b.t")).unionByName(named(quiet, "quiet", F.col("start")))
+
+
+def _gate_runs(spark, d):
+    """Peaks of models of single columns, which SQL can express; some tens of rows that a verdict looks at many times."""
+    x = G.event_windows(V.returns(spark, d), kept(_onsets(spark, d)))
+    return kept(G.peaks(G.marginal_scores(x, RETURNS)).withColumn("peak_z", F.round("peak_z", 9)))
+
+
+@query
+def gate_peaks(spark, d):
+    return _gate_runs(spark, d).withColumn("peak_z", r("peak_z"))
+
+
+@query
+def gate_copulas(spark, d):
+    """Peaks of the copulas, five models an event."""
+    x = G.event_windows(V.returns(spark, d), kept(_onsets(spark, d)))
+    return G.peaks(G.copula_scores(x, RETURNS)).withColumn("peak_z", r("peak_z"))
 
 
 @query
 def gate_merge(spark, d):
-    x = G.merged(_gate_runs(spark))
-    return x.select("event", "best", "best_day", "gauss_day", "t_day", *(r(c, 9).alias(c) for c in ("best_z", "gauss_z", "t_z")))
+    x = G.merged(_gate_runs(spark, d))
+    return x.select("event", "best", "best_day", "gauss_day", "t_day", *(r(c).alias(c) for c in ("best_z", "gauss_z", "t_z")))
 
 
 @query
 def gate_best(spark, d):
-    return G.best_by_event(_gate_runs(spark), "mps_").select("event", "best", r("best_z", 9).alias("best_z"))
+    return G.best_by_event(_gate_runs(spark, d), "mps_").select("event", "best", r("best_z").alias("best_z"))
 
 
 @query
 def gate_verdict(spark, d):
-    return G.verdict(_gate_runs(spark)).withColumn("threshold", r("threshold", 9))
+    return G.verdict(_gate_runs(spark, d)).withColumn("threshold", r("threshold"))
 
 
 @query

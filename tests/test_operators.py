@@ -3,12 +3,12 @@
 import datetime
 import hashlib
 import json
+import random
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from tests.published_runs import RUNS
 
 from driftwatch.operators import control, evaluate, gates, models, windows
 from driftwatch.plans import queries
@@ -19,23 +19,44 @@ DAY, NS = 86_400 * 10**9, 10**9
 ALERTS = "symbol string, ts_ns bigint, seq bigint, ord int, kind string, price double, score double, details string"
 
 
-def stamp(text):
-    return int(datetime.datetime.fromisoformat(text).replace(tzinfo=datetime.timezone.utc).timestamp()) * NS
-
-
-@pytest.mark.parametrize("run", range(6))
-def test_published_runs(spark, run):
-    alerts, events, tolerance, wanted = RUNS[run]
-    a = [(stamp(d), "S", kind, 1.0, 5.0) for kind, days in alerts.items() for d in days.split()]
-    e = [(k, stamp(d), "S", "x", p, 604_800.0 if p == "quiet" else 0.0) for k, (p, d) in enumerate((p, d) for p, days in events.items() for d in days.split())]
-    a = spark.createDataFrame(a, "ts_ns bigint, symbol string, kind string, price double, score double")
-    e = spark.createDataFrame(e, "event_no bigint, ts_ns bigint, symbol string, event_type string, polarity string, duration_sec double")
+@pytest.mark.parametrize("seed", range(4))
+def test_summary_against_loops(spark, seed):
+    """Random alerts, points in time and quiet weeks of two symbols, some at one time or at a window's very end."""
+    rng = random.Random(seed)
+    tolerance = rng.choice([86_400, 259_200])
+    alerts = [(rng.randrange(300) * DAY, rng.choice("AB"), rng.choice(["cusum", "robust_z"])) for _ in range(90)]
+    events = [(k, rng.randrange(300) * DAY, rng.choice("AB"), rng.choice(["positive", "positive", "quiet"])) for k in range(30)]
+    spans = {k: (ts, ts + 604_800 * NS) if p == "quiet" else (ts - tolerance * NS, ts + tolerance * NS) for k, ts, _, p in events}
+    inside = [(k, p, t) for k, _, s, p in events for t, own, _ in alerts if own == s and spans[k][0] <= t <= spans[k][1]]
+    hit = {k for k, _, _ in inside}
+    wanted = (
+        sum(p == "positive" and k in hit for k, *_, p in events), sum(p == "positive" for *_, p in events), sum(p == "quiet" for _, p, _ in inside), 7.0 * sum(p == "quiet" for *_, p in events),
+        sum(not any(s == own and spans[k][0] <= t <= spans[k][1] for k, _, s, _ in events) for t, own, _ in alerts),
+    )
+    a = spark.createDataFrame([(t, s, k, 1.0, 5.0) for t, s, k in alerts], "ts_ns bigint, symbol string, kind string, price double, score double")
+    e = spark.createDataFrame([(k, t, s, "x", p, 604_800.0 if p == "quiet" else 0.0) for k, t, s, p in events], "event_no bigint, ts_ns bigint, symbol string, event_type string, polarity string, duration_sec double")
     s = evaluate.summary(a, e, tolerance).first()
     assert (s.detected, s.positives, s.quiet_alerts, s.quiet_days, s.unattributed) == wanted
-    if run == 0:
-        t = evaluate.ttd_summary(a, e, tolerance).first()
-        assert (t.n, t.unit, t.resolution_ns) == (6, "day", DAY)
-        assert (s.recall_low, s.recall_high) == pytest.approx((0.313, 0.832), abs=1e-3)
+
+
+def test_wilson_and_units_of_days(spark):
+    events = [(k, k * 20 * DAY, "S", "x", "positive", 0.0) for k in range(1, 11)]
+    a = spark.createDataFrame([(k * 20 * DAY + (k % 2) * DAY, "S", "cusum", 1.0, 5.0) for k in range(1, 7)], "ts_ns bigint, symbol string, kind string, price double, score double")
+    e = spark.createDataFrame(events, "event_no bigint, ts_ns bigint, symbol string, event_type string, polarity string, duration_sec double")
+    s, t = evaluate.summary(a, e, 86_400).first(), evaluate.ttd_summary(a, e, 86_400).first()
+    assert (s.detected, s.positives) == (6, 10) and (s.recall_low, s.recall_high) == pytest.approx((0.313, 0.832), abs=1e-3)
+    assert (t.n, t.unit, t.resolution_ns, t.median_units) == (6, "day", DAY, 1.0)
+
+
+def test_time_resolution_takes_all_tasks(spark):
+    """Stamps of many partitions are folded where they lie: the plan has no step that brings all rows to one task."""
+    df = spark.range(0, 40_000, 1, 8).select((F.col("id") * 6_000 + 17).alias("ts_ns"))
+    found = evaluate.time_resolution(df)
+    assert found.first()[0] == 6_000
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce" not in plan and "RoundRobin" not in plan
+    large = spark.createDataFrame([(-(2**61),), (2**61,), (2**61 - 12,)], "ts_ns bigint")
+    assert evaluate.time_resolution(large).first()[0] == 4
 
 
 def test_time_resolution(spark):
@@ -140,10 +161,24 @@ def test_quiet_starts(spark):
     assert windows.quiet_starts(days.where("t < 5"), "t", "z", "vol", days=10).count() == 0
 
 
+def runs(spark, crisis, quiet):
+    """Peaks of gaussian, t and two trains by event."""
+    rows = [(f"{kind} {k}", kind, m, z, day) for kind, events in (("crisis", crisis), ("quiet", quiet)) for k, own in enumerate(events) for m, (z, day) in zip(("gaussian", "t", "mps_a", "mps_b"), own)]
+    return spark.createDataFrame(rows, "event string, type string, method string, peak_z double, peak_day int")
+
+
 def test_gate_decisions(spark):
-    v = gates.verdict(spark.createDataFrame(queries.GATE_ROWS, "event string, type string, method string, peak_z double, peak_day int")).first()
-    assert (v.n_far, v.n_timely, v.n_beyond_t, v.n_spurious, v.n_spurious_t, v.decision) == (1, 0, 1, 1, 0, "fail")
-    assert round(v.threshold, 2) == 2.09
+    """By hand: the best train is the farther one; it must be half as far again as the gaussian on two events."""
+    far = [(-2.0, 3), (-3.0, 3), (-1.0, 9), (-4.0, 5)]
+    near = [(-2.0, 3), (-3.0, 3), (-2.9, 9), (2.8, 1)]
+    calm, loud = [(-0.5, 1), (-0.6, 1), (-0.7, 1), (0.8, 1)], [(-0.5, 1), (-0.6, 1), (-9.0, 1), (0.8, 1)]
+    v = gates.verdict(runs(spark, [far, far, near], [calm, calm, loud])).first()
+    assert (v.n_far, v.n_timely, v.n_beyond_t, v.n_spurious, v.n_spurious_t, v.threshold) == (2, 2, 2, 1, 0, 4.0)
+    assert (v.c1, v.c2, v.c3, v.c4, v.c5, v.decision) == (True, True, True, True, False, "fail")
+    assert gates.verdict(runs(spark, [far, far, near], [calm, calm, calm])).first().decision == "full"
+    late = [*far[:3], (-4.0, 6)]
+    assert gates.verdict(runs(spark, [late, late, near], [calm])).first().decision == "partial"
+    assert gates.verdict(runs(spark, [near, near, far], [calm])).first().decision == "fail"
 
 
 @pytest.mark.parametrize("row,wanted", [
