@@ -345,4 +345,16 @@ _BODIES: dict[str, str | tuple[str, str]] = {
     ),
 }
 
+_BODIES["detector_sql"] = _BODIES["full_detector"]
+_BODIES["detected_alerts_evaluation"] = (
+    """SELECT alerts, detected, positives, quiet_windows, quiet_hit, quiet_alerts, unattributed, CASE WHEN positives > 0 THEN round(detected / positives, 6) ELSE 0 END AS recall,
+      CASE WHEN quiet_days > 0 THEN round(quiet_alerts / quiet_days, 6) ELSE 0 END AS fp_per_day FROM (SELECT (SELECT count(*) FROM found) AS alerts,
+      (SELECT count(DISTINCT event_no) FROM hits WHERE polarity = 'positive') AS detected, (SELECT count(*) FROM catalog WHERE polarity = 'positive') AS positives, (SELECT count(*) FROM catalog WHERE polarity = 'quiet') AS quiet_windows,
+      (SELECT count(DISTINCT event_no) FROM hits WHERE polarity = 'quiet') AS quiet_hit, (SELECT count(*) FROM hits WHERE polarity = 'quiet') AS quiet_alerts,
+      (SELECT count(*) FROM found f WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.ts_ns = f.ts_ns AND h.symbol = f.symbol)) AS unattributed, (SELECT sum(duration_sec) / 86400 FROM catalog WHERE polarity = 'quiet') AS quiet_days)""",
+    _price_fold() + """, found AS (SELECT symbol, ts_ns, seq FROM fold WHERE abs(z) > 4),
+    hits AS (SELECT c.event_no, c.polarity, f.ts_ns, f.symbol FROM catalog c JOIN found f ON f.symbol = c.symbol
+      AND f.ts_ns BETWEEN CASE WHEN c.duration_sec > 0 THEN c.ts_ns ELSE c.ts_ns - 1800000000000 END AND CASE WHEN c.duration_sec > 0 THEN c.ts_ns + (c.duration_sec * 1000000000)::BIGINT ELSE c.ts_ns + 1800000000000 END)""",
+)
+
 SQL: dict[str, str] = {name: _sql(*body) if isinstance(body, tuple) else _sql(body) for name, body in _BODIES.items()}

@@ -18,9 +18,10 @@ from driftwatch.operators import models as M
 from driftwatch.operators import windows as W
 from driftwatch.operators.kernels import Params
 from driftwatch.operators.pieces import kept
+from driftwatch.operators.table_function import register_detectors
 from driftwatch.sources import files
 from driftwatch.sources import views as V
-from driftwatch.streaming import live
+from driftwatch.streaming import live, mail
 from driftwatch.streaming import windows as T
 
 #: Half an hour on either side of a point event. The test events are sparse: gaps of hours don't end a session there.
@@ -512,6 +513,30 @@ def alert_sessions(spark, d):
     return T.alert_sessions(V.alerts(spark, d), 14_400).withColumn("most", r("most"))
 
 
+@query
+def digest_mails(spark, d):
+    """What the sender of digests tells of all alerts, with an hour's silence by symbol."""
+    x = mail.mails(V.alerts(spark, d), "crypto", 60, 6.0, 3600)
+    return x.select("digest_ns", "part", "n", "n_symbols", "subject", F.length("body").alias("body_chars"))
+
+
+@query
+def detector_sql(spark, d):
+    """full_detector by the table function."""
+    register_detectors(spark, PARAMS)
+    V.event_stream(spark, d).createOrReplaceTempView("driftwatch_events")
+    x = spark.sql("SELECT * FROM detect_alerts(TABLE(driftwatch_events) PARTITION BY symbol ORDER BY (ts_ns, seq))")
+    return x.select("symbol", "seq", "ord", "kind", r("price").alias("price"), r("score").alias("score"))
+
+
+@query
+def detected_alerts_evaluation(spark, d):
+    """Robust z alerts, as the detector gives them, against the labelled events."""
+    a = D.robust_z_alerts(V.ticks(spark, d), PARAMS).select("ts_ns", "symbol", F.lit("robust_z").alias("kind"), F.col("z").alias("score"))
+    x = E.summary(a, V.catalog(spark, d), TOLERANCE)
+    return x.select("alerts", "detected", "positives", "quiet_windows", "quiet_hit", "quiet_alerts", "unattributed", r("recall").alias("recall"), r("fp_per_day").alias("fp_per_day"))
+
+
 # Models
 @query
 def rank_uniform(spark, d):
