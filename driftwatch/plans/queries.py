@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from driftwatch.functions import scalar as S
 from driftwatch.operators import asof as A
+from driftwatch.operators import born as B
 from driftwatch.operators import control as C
 from driftwatch.operators import detect as D
 from driftwatch.operators import evaluate as E
@@ -416,6 +417,13 @@ def gate_copulas(spark, d):
     return G.peaks(G.copula_scores(x, RETURNS)).withColumn("peak_z", r("peak_z"))
 
 
+@query
+def gate_stability(spark, d):
+    """Born machines of four returns, in pairs of windows a year long."""
+    x = B.stability(V.returns(spark, d), RETURNS[:4])
+    return x.select("start", r("divergence", 3).alias("divergence"), "c4", "c5")
+
+
 @query
 def gate_merge(spark, d):
     x = G.merged(_gate_runs(spark, d))
