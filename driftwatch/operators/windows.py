@@ -61,10 +61,18 @@ def quote_rate(quotes: DataFrame, window: int = 20, bucket_sec: int = DAY) -> Da
     return own_rows(by_time(quotes, bucket_sec, back_rows=window - 1).withColumn("rate", value)).select(*quotes.columns, "rate")
 
 
+def within_each(rows: DataFrame, spans: dict[str, int], bucket_sec: int = DAY) -> DataFrame:
+    """For each name how many rows of the symbol lie in so many seconds up to a row, both ends included. Rows are dealt out
+    once, with what the longest span looks back to."""
+    longest = max(spans.values())
+    dealt = by_time(rows, max(bucket_sec, longest), back_sec=longest)
+    counts = {name: F.count(F.lit(1)).over(in_bucket("ts_ns").rangeBetween(-seconds * 1_000_000_000, 0)) for name, seconds in spans.items()}
+    return own_rows(dealt.withColumns(counts)).select(*rows.columns, *spans)
+
+
 def within(rows: DataFrame, seconds: int, name: str = "n_within", bucket_sec: int = DAY) -> DataFrame:
     """How many rows of the symbol lie in the given seconds up to a row, both ends included."""
-    w = in_bucket("ts_ns").rangeBetween(-seconds * 1_000_000_000, 0)
-    return own_rows(by_time(rows, max(bucket_sec, seconds), back_sec=seconds).withColumn(name, F.count(F.lit(1)).over(w))).select(*rows.columns, name)
+    return within_each(rows, {name: seconds}, bucket_sec)
 
 
 def rolling_sum(series: DataFrame, order: str, value: str, k: int, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -159,6 +167,10 @@ def with_rows_before(own: DataFrame, back_rows: int) -> DataFrame:
     """Rows with a _bucket, whose numbers follow their time, and _own; and copies, not their own, of the back_rows rows of
     the symbol before each bucket's first."""
     w = Window.partitionBy("symbol").orderBy("_bucket")  # a row a bucket
+    if back_rows == 1:  # the last row of the bucket before
+        last = own.groupBy("symbol", "_bucket").agg(F.max_by(F.struct(*own.columns), F.struct("ts_ns", "seq")).alias("_row"))
+        copies = last.withColumn("_to", F.lead("_bucket").over(w)).where("_to is not null").select("_row.*", "_to").drop("_bucket").withColumnRenamed("_to", "_bucket")
+        return own.unionByName(copies.withColumn("_own", F.lit(False)).select(*own.columns))
     sizes = own.groupBy("symbol", "_bucket").agg(F.count("*").alias("_n")).withColumn("_end", F.sum("_n").over(w))
     last = F.row_number().over(Window.partitionBy("symbol", "_bucket").orderBy(F.desc("ts_ns"), F.desc("seq")))
     tails = own.withColumn("_age", last).where(F.col("_age") <= back_rows).join(sizes.select("symbol", "_bucket", "_end"), ["symbol", "_bucket"])

@@ -347,9 +347,7 @@ def peak_drop(spark, d):
 
 @query
 def burst_max_window(spark, d):
-    a = V.alerts(spark, d)
-    for n in (1, 10, 3600):
-        a = W.within(a, n, f"n{n}")
+    a = W.within_each(V.alerts(spark, d), {f"n{n}": n for n in (1, 10, 3600)})
     return a.groupBy("symbol").agg(*(F.max(f"n{n}").alias(f"n{n}") for n in (1, 10, 3600)))
 
 
