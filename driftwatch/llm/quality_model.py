@@ -275,16 +275,23 @@ def _around(codes: np.ndarray, doc: np.ndarray, drawn: np.ndarray) -> np.ndarray
 
 
 def _packed(key: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (key, n, vector) of sums whose last column is n; a vector takes one byte a number, or two or four, as it needs."""
+    """Rows (key, n, vector) of sums whose last column is n; a vector takes half a byte a number, one, two or four, as it
+    needs: most words are met a few times by a task, and their numbers are small."""
     most = np.abs(v[:, :-1]).max(1, initial=0)
-    for low, high, kind in ((-1, 127, "<i1"), (127, 32767, "<i2"), (32767, 2**31, "<i4")):
+    for low, high, kind in ((-1, 7, ""), (7, 127, "<i1"), (127, 32767, "<i2"), (32767, 2**31, "<i4")):
         at = np.flatnonzero((most > low) & (most <= high))
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(v[at, -1].astype(np.int64)), _as_bytes(v[at, :-1], kind)], ["key", "n", "vector"])
+            own = v[at, :-1]
+            packed = _as_bytes(own, kind) if kind else _as_bytes((own[:, ::2] + 8) << 4 | own[:, 1::2] + 8, "<u1")
+            yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(v[at, -1].astype(np.int64)), packed], ["key", "n", "vector"])
 
 
 def _unpacked(column: pa.Array) -> np.ndarray:
     out, sizes = np.empty((len(column), DIMENSIONS), np.int64), pc.binary_length(column).to_numpy()
+    at = np.flatnonzero(sizes == DIMENSIONS // 2)
+    if len(at):
+        pairs = np.frombuffer(b"".join(column.take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1)
+        out[at, ::2], out[at, 1::2] = (pairs >> 4).astype(np.int64) - 8, (pairs & 15).astype(np.int64) - 8
     for width in (1, 2, 4):
         at = np.flatnonzero(sizes == width * DIMENSIONS)
         if len(at):
@@ -346,7 +353,7 @@ def context_vectors(texts: DataFrame, min_count: int) -> DataFrame:
 
 def _as_bytes(v: np.ndarray, kind: str = "<i8") -> pa.Array:
     """Rows of whole numbers as binary values."""
-    width = DIMENSIONS * int(kind[-1])
+    width = v.shape[1] * int(kind[-1])
     return pa.Array.from_buffers(pa.binary(), len(v), [None, pa.py_buffer((np.arange(len(v) + 1) * width).astype("<i4").tobytes()), pa.py_buffer(np.ascontiguousarray(v, kind).tobytes())])
 
 
