@@ -155,7 +155,8 @@ best AS (SELECT event, type, arg_max(method, (abs(peak_z), method)) AS best, arg
 _BODIES: dict[str, str | tuple[str, str]] = {
     "scan_symbol_filter": "SELECT ts_ns, symbol, price FROM ticks WHERE symbol = 'click'",
     "unpivot_bars": "SELECT (d - DATE '1970-01-01')::BIGINT * 86400000000000 AS ts_ns, asset::VARCHAR AS symbol, round(px, 6) AS close FROM prices",
-    "catalog_validate": "SELECT polarity, count(*) AS n, count(*) FILTER (polarity NOT IN ('positive', 'quiet') OR duration_sec < 0 OR ts_ns IS NULL) AS n_bad, sum(duration_sec) AS quiet_sec FROM catalog GROUP BY polarity",
+    "catalog_validate": """SELECT polarity, count(*) AS n, count(*) FILTER (polarity NOT IN ('positive', 'quiet') OR duration_sec < 0 OR ts_ns IS NULL) AS n_bad, sum(duration_sec) AS quiet_sec
+      FROM (SELECT CASE WHEN event_no % 5 = 0 THEN symbol ELSE polarity END AS polarity, CASE WHEN event_no % 7 = 0 THEN -1 ELSE duration_sec END AS duration_sec, CASE WHEN event_no % 11 <> 0 THEN ts_ns END AS ts_ns FROM catalog) GROUP BY polarity""",
     "alert_export_format": "SELECT ts_ns, symbol, kind, printf('%.6f', price) AS price, printf('%.4f', score) AS score FROM alerts",
     "webhook_payload": """SELECT w, n, to_json({'source': 'driftwatch', 'feed': 'crypto', 'asset_class': 'crypto', 'alerts': a})::VARCHAR AS body FROM (
         SELECT ts_ns // 3600000000000 AS w, count(*) AS n, list({'ts_ns': ts_ns, 'symbol': symbol, 'kind': kind, 'price': round(price * 100)::BIGINT, 'score': round(score * 1000)::BIGINT} ORDER BY ts_ns, symbol, kind, price, score) AS a

@@ -58,8 +58,13 @@ def unpivot_bars(spark, d):
 
 @query
 def catalog_validate(spark, d):
+    """The labelled events with faults in some: a polarity that is none, a time below zero, none at all."""
+    c = V.catalog(spark, d).select(
+        F.when(F.col("event_no") % 5 == 0, F.col("symbol")).otherwise(F.col("polarity")).alias("polarity"),
+        F.when(F.col("event_no") % 7 == 0, -1.0).otherwise(F.col("duration_sec")).alias("duration_sec"), F.when(F.col("event_no") % 11 != 0, F.col("ts_ns")).alias("ts_ns"),
+    )
     bad = ~F.col("polarity").isin("positive", "quiet") | (F.col("duration_sec") < 0) | F.col("ts_ns").isNull()
-    return V.catalog(spark, d).groupBy("polarity").agg(F.count("*").alias("n"), F.count(F.when(bad, 1)).alias("n_bad"), F.sum("duration_sec").alias("quiet_sec"))
+    return c.groupBy("polarity").agg(F.count("*").alias("n"), F.count(F.when(bad, 1)).alias("n_bad"), F.sum("duration_sec").alias("quiet_sec"))
 
 
 @query

@@ -96,12 +96,19 @@ def digests(alerts: DataFrame, window_sec: int = 60, min_score: float = 6.0, coo
     return by.select("w", "n", F.concat_ws(", ", F.slice("_names", 1, 3)).alias("names"), "n_symbols", subject.alias("subject"))
 
 
+#: Alerts of a body at most.
+BODY_ALERTS = 10_000
+
+
 def webhook_bodies(alerts: DataFrame, feed: str, min_score: float = 0.0, source: str = "driftwatch", window_sec: int = 1) -> DataFrame:
-    """w, n and the JSON body of the alerts of each window of so many seconds, in order of time, symbol and kind."""
-    chosen = alerts.where(F.abs("score") >= min_score)
+    """w, n and the JSON body of the alerts of each window of so many seconds, in order of time, symbol and kind. A window
+    of more than BODY_ALERTS alerts has several bodies, of n alerts each."""
+    chosen = alerts.where(F.abs("score") >= min_score).withColumn("w", F.floor(F.col("ts_ns") / (window_sec * 1_000_000_000)))
+    counts = chosen.groupBy("w").agg(F.ceil(F.count("*") / BODY_ALERTS).alias("_bodies"))
+    part = F.pmod(F.xxhash64("ts_ns", "symbol", "kind", "price", "score"), F.col("_bodies"))
     rows = F.sort_array(F.collect_list(F.struct("ts_ns", "symbol", "kind", "price", "score")))
     body = F.struct(F.lit(source).alias("source"), F.lit(feed).alias("feed"), asset_class(F.lit(feed)).alias("asset_class"), rows.alias("alerts"))
-    return chosen.groupBy(F.floor(F.col("ts_ns") / (window_sec * 1_000_000_000)).alias("w")).agg(F.count("*").alias("n"), F.to_json(body).alias("body"))
+    return chosen.join(counts, "w").groupBy("w", part.alias("_part")).agg(F.count("*").alias("n"), F.to_json(body).alias("body")).drop("_part")
 
 
 def fan_out(*sinks: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
