@@ -17,7 +17,7 @@ from driftwatch.llm.common import beside_texts, held_out, joined_by_id, small_ba
 
 #: Characters of the longest n-grams; orders above SHARED are counted by class, those up to it for both classes together.
 ORDER, SHARED = 5, 2
-#: Rows of all tables of counts that may be broadcast, some 100 MB; longer ones are joined.
+#: Rows of all tables of counts that may be broadcast, some 280 MB; longer ones are joined.
 SMALL_COUNTS = 6_000_000
 #: What each order takes off a count and gives to the shorter n-grams.
 DISCOUNT = 0.75
