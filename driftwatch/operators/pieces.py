@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}
 #: Rows of a piece; a symbol with fewer than two pieces' rows stays whole. Parts of a piece that are counted to cut evenly.
-PIECE_ROWS, PARTS = 250_000, 64
+PIECE_ROWS, PARTS = 1_000_000, 64
 #: Rows of a table of symbols or stretches that may be broadcast, some 30 MB; tasks over which pieces are dealt at most.
 BROADCAST_ROWS, MAX_TASKS = 500_000, 20_000
 

@@ -1,6 +1,5 @@
 """Operators over tables against plain Python, on small tables with nulls, ties and gaps."""
 
-import datetime
 import hashlib
 import json
 import random
@@ -11,7 +10,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftwatch.operators import control, evaluate, gates, models, windows
-from driftwatch.plans import queries
 from driftwatch.sources import files
 from driftwatch.streaming import live
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from driftwatch.operators import detect as D
 from driftwatch.operators import pieces
-from driftwatch.operators.kernels import KINDS, LIBRARY, MARKED, Params
+from driftwatch.operators.kernels import KINDS, MARKED, Params
 
 P = Params(alpha=0.1, burst_alpha=0.05, regime_ref=40, regime_stride=10, regime_short=50, regime_ks=0.3, regime_cooldown=30.0, z_thresh=3.0, cusum_h=4.0, spread_z=2.0, vol_z=2.0, micro_z=2.0, burst_k=1.5, burst_window=60.0, burst_cooldown=40.0)
 WHOLE = 10**9
