@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,46 +47,81 @@ def severity(kind="kind", score="score") -> Column:
 def text_of(value: Column, spec: str) -> Column:
     """A number as text by the exact value, as format() gives it; the JVM's formats round the shortest decimals half up."""
 
-    @F.pandas_udf("string")
-    def run(numbers: pd.Series) -> pd.Series:
-        return numbers.map(lambda x: None if pd.isna(x) else format(x, spec))
+    @F.arrow_udf("string")
+    def run(numbers: pa.Array) -> pa.Array:
+        return pa.array([None if x is None or x != x else format(x, spec) for x in numbers.to_pylist()], pa.string())
 
     return run(value.cast("double"))
 
 
-def signed(value: Column) -> Column:
-    return text_of(value, "+.2f")
+def _written(x: float, spec: str) -> str | None:
+    """A number by format()'s spec; ``~2`` is for people: two places, or two significant digits of very large and small ones."""
+    if x != x:
+        return None
+    if spec.startswith("~"):
+        spec = f".{spec[1:]}{'g' if abs(x) >= 1e6 or 0 < abs(x) < 1e-3 else 'f'}"
+    return format(x, spec)
+
+
+def sentence(parts: Column) -> Column:
+    """An array of (text, number, spec) as one text, numbers by spec and texts where there is no number. A single pass
+    writes the chosen parts, whatever their number. Null where a part has neither text nor number, or a number that is none."""
+
+    @F.arrow_udf("string")
+    def run(rows: pa.Array) -> pa.Array:
+        texts, numbers, specs = (c.to_pylist() for c in rows.flatten().flatten())
+        said = [t if x is None else _written(x, s) for t, x, s in zip(texts, numbers, specs)]
+        ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(rows), 0).to_pylist()]).tolist()
+        return pa.array([None if a == b or None in said[a:b] else "".join(said[a:b]) for a, b in zip(ends, ends[1:])], pa.string())
+
+    return run(parts)
+
+
+def _part(text: Column, number: Column, spec: str) -> Column:
+    return F.struct(text.cast("string").alias("text"), number.cast("double").alias("number"), F.lit(spec).alias("spec"))
 
 
 def fmt(value: Column, digits: int = 2) -> Column:
     """A number for people: ``-`` for null, few significant digits for very large and small ones, else fixed places."""
-    wide = (F.abs(value) >= 1e6) | ((value != 0) & (F.abs(value) < 1e-3))
-    return F.when(value.isNull(), "-").when(wide, text_of(value, f".{digits}g")).otherwise(text_of(value, f".{digits}f"))
+    return sentence(F.array(_part(F.lit("-"), value, f"~{digits}")))
+
+
+# The sentences by kind, and in braces what they tell: a column, a key of the details, or the first of both
+# that is there; how a number is written; what stands where there is none.
+SENTENCES = {
+    "robust_z": "Price deviation {score|+.2f}σ from baseline on {symbol} (threshold ±{z_threshold|~1|?})",
+    "cusum": "Cumulative drift {score|+.2f} on {symbol} (CUSUM threshold ±{cusum_h|~1|?})",
+    "spread_widen": "Spread {spread_bps|~1|0}bps on {symbol}, {score|+.2f}σ from baseline {baseline_bps|~1|0}bps",
+    "obi_extreme": "Order book {share|.0f}% {side||?}-dominant on {symbol}",
+    "quote_rate_spike": "Quote rate {rate_qps|~1|?}/s on {symbol}, {score|+.2f}σ from baseline {baseline_qps|~1|?}/s",
+    "regime_shift": "Return distribution shifted on {symbol} (KS={ks_statistic,score|~3|-}, threshold {ks_threshold|~2|?})",
+    "burst": "Alert clustering on {symbol} - {alerts_in_window||?} alerts in {window_sec|~0|?}s ({intensity_ratio,score|~1|-}× baseline)",
+    "dependence_shift": "Cross-asset dependence shifted {score|+.2f}σ across the basket",
+    "volume_spike": "Volume spike on {symbol}, trade size {size|~4|?} ({ratio_to_baseline|~1|?}× rolling mean)",
+    "microprice_drift": "Microprice drift {score|+.2f}σ toward {side||?} on {symbol} (informational asymmetry)",
+    "crossed_book": "Crossed book on {symbol} - bid {bid|~4|0} > ask {ask|~4|0} (data error or extreme stress)",
+    None: "{kind} on {symbol} (score {score|+.2f})",
+}
 
 
 def narrative(kind="kind", symbol="symbol", score="score", details="details") -> Column:
-    """One sentence on an alert; details is JSON."""
-    # The sentences by kind and the keys of details that they tell.
-    s, k, x, sev = F.col(symbol), F.col(kind), F.col(score), severity(kind, score)
-    num = lambda key: F.get_json_object(details, f"$.{key}").cast("double")
-    word = lambda key: F.coalesce(F.get_json_object(details, f"$.{key}"), F.lit("?"))
-    some = lambda key, digits: F.when(num(key).isNull(), "?").otherwise(fmt(num(key), digits))
-    or_zero = lambda key, digits: F.when(num(key).isNull(), "0").otherwise(fmt(num(key), digits))
-    say = lambda *parts: F.concat(sev, F.lit(": "), *(F.lit(p) if isinstance(p, str) else p for p in parts))
-    return (
-        F.when(k == "robust_z", say("Price deviation ", signed(x), "σ from baseline on ", s, " (threshold ±", some("z_threshold", 1), ")"))
-        .when(k == "cusum", say("Cumulative drift ", signed(x), " on ", s, " (CUSUM threshold ±", some("cusum_h", 1), ")"))
-        .when(k == "spread_widen", say("Spread ", or_zero("spread_bps", 1), "bps on ", s, ", ", signed(x), "σ from baseline ", or_zero("baseline_bps", 1), "bps"))
-        .when(k == "obi_extreme", say("Order book ", text_of(F.abs(x) * 100, ".0f"), "% ", word("side"), "-dominant on ", s))
-        .when(k == "quote_rate_spike", say("Quote rate ", some("rate_qps", 1), "/s on ", s, ", ", signed(x), "σ from baseline ", some("baseline_qps", 1), "/s"))
-        .when(k == "regime_shift", say("Return distribution shifted on ", s, " (KS=", fmt(F.coalesce(num("ks_statistic"), x), 3), ", threshold ", some("ks_threshold", 2), ")"))
-        .when(k == "burst", say("Alert clustering on ", s, " - ", word("alerts_in_window"), " alerts in ", some("window_sec", 0), "s (", fmt(F.coalesce(num("intensity_ratio"), x), 1), "× baseline)"))
-        .when(k == "dependence_shift", say("Cross-asset dependence shifted ", signed(x), "σ across the basket"))
-        .when(k == "volume_spike", say("Volume spike on ", s, ", trade size ", some("size", 4), " (", some("ratio_to_baseline", 1), "× rolling mean)"))
-        .when(k == "microprice_drift", say("Microprice drift ", signed(x), "σ toward ", word("side"), " on ", s, " (informational asymmetry)"))
-        .when(k == "crossed_book", say("Crossed book on ", s, " - bid ", or_zero("bid", 4), " > ask ", or_zero("ask", 4), " (data error or extreme stress)"))
-        .otherwise(say(k, " on ", s, " (score ", signed(x), ")"))
-    )
+    """One sentence on an alert; details is JSON. The JVM picks the sentence of the alert's kind, its numbers are written in one pass."""
+    columns = {"kind": f"`{kind}`", "symbol": f"`{symbol}`", "score": f"`{score}`", "share": f"100 * abs(`{score}`)"}
+
+    def told(piece: str, braced: bool) -> str:
+        name, spec, absent = (piece.split("|") + ["", ""])[:3] if braced else ("", "", "")
+        found = [columns.get(n, f"get_json_object(`{details}`, '$.{n}')") for n in name.split(",")] if braced else [f"'{piece}'"]
+        other = f"'{absent}'" if absent else "cast(null as string)"
+        text, number = (other, f"coalesce({', '.join(f'try_cast({x} as double)' for x in found)})") if spec else (f"coalesce({', '.join(found)}, {other})", "cast(null as double)")
+        return f"named_struct('text', {text}, 'number', {number}, 'spec', '{spec}')"
+
+    def parts(template: str) -> str:
+        pieces = re.split(r"[{}]", template)  # those at odd places were in braces
+        return f"array({', '.join(told(p, k % 2 == 1) for k, p in enumerate(pieces) if p)})"
+
+    whens = " ".join(f"when '{k}' then {parts(t)}" for k, t in SENTENCES.items() if k)
+    chosen = F.expr(f"case `{kind}` {whens} else {parts(SENTENCES[None])} end")
+    return sentence(F.concat(F.array(_part(F.concat(severity(kind, score), F.lit(": ")), F.lit(None), "")), chosen))
 
 
 def rfc3339_ns(text: Column) -> Column:

@@ -18,16 +18,22 @@ def overlay(defaults: DataFrame, *layers: DataFrame) -> DataFrame:
 def while_active(events: DataFrame, switches: DataFrame, bucket_sec: int = 86_400) -> DataFrame:
     """Events at whose time the last switch (ts_ns, active) was on, or that come before the first. What comes while it is off is dropped for good.
 
-    Switches become spans of inactivity, dealt out by time bucket like the events; a span without end is one row.
+    Of switches at one time the one that turns on holds; a null is no switch. Switches are ordered within time buckets,
+    and a row a bucket carries the last one over. They become spans of inactivity, dealt out by time bucket like the
+    events; a span without end is one row.
     """
     size = bucket_sec * 1_000_000_000
-    w = Window.orderBy("ts_ns")  # a row a switch
-    turned = switches.select("ts_ns", "active", F.lag("active").over(w).alias("_before")).where("_before is null or active <> _before")
-    spans = turned.select(F.col("ts_ns").alias("_from"), "active", F.lead("ts_ns").over(w).alias("_to")).where("not active")
+    own = switches.where("active is not null").select("ts_ns", "active", F.floor(F.col("ts_ns") / size).alias("_bucket"))
+    inside, buckets = Window.partitionBy("_bucket").orderBy("ts_ns", "active"), Window.orderBy("_bucket")  # a row a bucket
+    carried = own.groupBy("_bucket").agg(F.max_by("active", F.struct("ts_ns", "active")).alias("_last")).select("_bucket", F.lag("_last").over(buckets).alias("_carried"))
+    before = F.coalesce(F.lag("active").over(inside), "_carried")
+    turned = own.join(carried, "_bucket").withColumn("_before", before).where("_before is null or active <> _before").select("ts_ns", "active", "_bucket")
+    later = turned.groupBy("_bucket").agg(F.min("ts_ns").alias("_first")).select("_bucket", F.lead("_first").over(buckets).alias("_next"))
+    spans = turned.join(later, "_bucket").select(F.col("ts_ns").alias("_from"), "active", F.coalesce(F.lead("ts_ns").over(inside), "_next").alias("_to")).where("not active")
     last = spans.where("_to is null").select("_from")
     closed = spans.where("_to is not null").withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_from") / size), F.floor(F.col("_to") / size))))
-    inside = (F.floor(F.col("ts_ns") / size) == F.col("_bucket")) & (F.col("ts_ns") >= F.col("_from")) & (F.col("ts_ns") < F.col("_to"))
-    return events.join(closed, inside, "left_anti").join(F.broadcast(last), F.col("ts_ns") >= F.col("_from"), "left_anti")
+    off = (F.floor(F.col("ts_ns") / size) == F.col("_bucket")) & (F.col("ts_ns") >= F.col("_from")) & (F.col("ts_ns") < F.col("_to"))
+    return events.join(closed, off, "left_anti").join(F.broadcast(last), F.col("ts_ns") >= F.col("_from"), "left_anti")
 
 
 def reconcile(desired: DataFrame, current: DataFrame, allow_empty: bool = False) -> DataFrame:

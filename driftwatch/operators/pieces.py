@@ -70,10 +70,14 @@ def cut(rows: DataFrame, piece_rows: int, lead_rows: int) -> Pieces | None:
     Rows are counted by symbol and short stretches of time, some PARTS to a piece; a stretch stays whole. A piece is led by
     lead_rows rows at least, if there are as many.
     """
-    sizes = kept(rows.groupBy("symbol").agg(F.count("*").alias("_n"), F.min("ts_ns").alias("_from"), F.max("ts_ns").alias("_to")))
-    most, pieces = sizes.agg(F.max("_n"), F.sum(F.ceil(F.col("_n") / piece_rows))).first()
-    if (most or 0) < 2 * piece_rows:
-        return None
+    counted = rows.groupBy("symbol").agg(F.count("*").alias("_n"), F.min("ts_ns").alias("_from"), F.max("ts_ns").alias("_to")).persist()
+    try:
+        most, pieces = counted.agg(F.max("_n"), F.sum(F.ceil(F.col("_n") / piece_rows))).first()
+        if (most or 0) < 2 * piece_rows:
+            return None
+        sizes = kept(counted)
+    finally:
+        counted.unpersist()
     spans = sizes.select("symbol", "_from", F.expr(f"(_to - _from) div (ceil(_n / {piece_rows}) * {PARTS}) + 1").alias("_width"))
     placed = rows.join(small(spans), "symbol").withColumn("_part", F.expr("(ts_ns - _from) div _width")).drop("_from", "_width")
     before = Window.partitionBy("symbol").orderBy("_part")  # a row a stretch

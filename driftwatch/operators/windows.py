@@ -116,8 +116,8 @@ def at_ranks(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, Colu
     """For each key the values at some ranks, counted from 0 in ascending order, as columns named as in ranks; there n is
     the key's number of values. Nulls are left out, a rank beyond the values gives null.
 
-    A key's values are cut into pieces between approximate quantiles and counted; only the pieces that hold a wanted
-    rank are sorted, so no task sorts all of a hot key's rows.
+    A key's values are cut into pieces between approximate quantiles and counted; only the different values of the pieces
+    that hold a wanted rank are sorted, so no task sorts all of a hot key's rows, or all that share one value.
     """
     x = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
     cuts = x.groupBy(*keys).agg(F.count("*").alias("n"), F.approx_percentile("_v", F.array(*(F.lit(k / PIECES) for k in range(1, PIECES))), F.lit(1000)).alias("_cuts"))
@@ -130,8 +130,10 @@ def at_ranks(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, Colu
     counts = cut.groupBy(*keys, "_piece").agg(F.count("*").alias("_c")).withColumn("_end", F.sum("_c").over(w))
     hit = join(counts, wanted.select(*keys, F.inline("_ranks")), keys).where((F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_c")))
     inside = cut.join(hit.select(*keys, "_piece", "_name", (F.col("_rank") - F.col("_end") + F.col("_c")).alias("_at")), [*keys, "_piece"])
-    numbered = inside.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "_name").orderBy("_v")) - 1).where("_k = _at")
-    return numbered.groupBy(*keys).agg(*(F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in ranks))
+    # equal values are counted before they are sorted, so that one that fills a piece is a single row
+    values = inside.groupBy(*keys, "_name", "_at", "_v").agg(F.count("*").alias("_c"))
+    upto = values.withColumn("_end", F.sum("_c").over(Window.partitionBy(*keys, "_name").orderBy("_v")))
+    return upto.where((F.col("_at") < F.col("_end")) & (F.col("_at") >= F.col("_end") - F.col("_c"))).groupBy(*keys).agg(*(F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in ranks))
 
 
 def percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:

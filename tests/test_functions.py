@@ -36,6 +36,13 @@ def test_narratives(spark):
         assert r.got == r.wanted
 
 
+def test_narratives_without_numbers(spark):
+    rows = [("burst", "X", 4.0, None), ("cusum", "X", 5.5, '{"cusum_h": "high"}'), ("cusum", None, 5.5, None), (None, "X", 1.0, None), ("other", "X", float("nan"), None), ("other", "X", None, None), ("other", "a|{b}'", 1.0, "no json")]
+    got = [r[0] for r in spark.createDataFrame(rows, "kind string, symbol string, score double, details string").coalesce(1).select(S.narrative()).collect()]
+    assert got == ["WARNING: Alert clustering on X - ? alerts in ?s (4.0× baseline)", "WARNING: Cumulative drift +5.50 on X (CUSUM threshold ±?)", None, None, None, None, "INFO: other on a|{b}' (score +1.00)"]
+    assert spark.createDataFrame([], "kind string, symbol string, score double, details string").select(S.narrative()).collect() == []
+
+
 def test_numbers_for_people(spark):
     values = [None, 0.0, 1.005, -2.5, 0.00012345, 1e6, 12345678.9, 999999.994]
     df = spark.createDataFrame([(v,) for v in values], "v double")

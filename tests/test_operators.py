@@ -136,6 +136,14 @@ def test_values_at_ranks(spark, ticks):
     assert windows.at_ranks(rows, [], "price", {"mid": F.floor(F.col("n") / 2)}).first().mid == sorted(x for v in by.values() for x in v)[sum(map(len, by.values())) // 2]
 
 
+def test_ranks_among_equal_values(spark):
+    rows = spark.range(3000).select((F.col("id") % 2).alias("k"), F.when(F.col("id") % 10 < 8, 5.0).otherwise(F.col("id").cast("double")).alias("v"))
+    got = windows.at_ranks(rows, ["k"], "v", {f"r{r}": F.lit(r) for r in (0, 1199, 1200, 1499, 1500)})
+    for r in got.collect():
+        v = sorted(x.v for x in rows.where(F.col("k") == r.k).collect())
+        assert [r.r0, r.r1199, r.r1200, r.r1499, r.r1500] == [v[0], v[1199], v[1200], v[1499], None]
+
+
 def test_percentiles(spark, ticks):
     got = {r.symbol: (r.a, r.b) for r in windows.percentiles(ticks, ["symbol"], "price", {"a": 0.25, "b": 0.999}).collect()}
     by = {}
@@ -210,6 +218,9 @@ def test_pauses(spark):
     got = rows_of(control.while_active(events, spark.createDataFrame([(t * NS, a) for t, a in switches], "ts_ns bigint, active boolean")), "seq")
     assert got == [(k,) for k in range(0, 400_000, 7000) if on(k)]
     assert control.while_active(events, spark.createDataFrame([], "ts_ns bigint, active boolean")).count() == events.count()
+    table = spark.createDataFrame([(t * NS, a) for t, a in [*switches, (90_000, False), (130_000, None)]], "ts_ns bigint, active boolean")
+    for bucket in (1_000, 100_000, 10_000_000):  # of two switches at one time the one that turns on holds; a null is none
+        assert rows_of(control.while_active(events, table, bucket), "seq") == got
 
 
 def test_dependence_shift(spark):
