@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from typing import Any
 
 import numpy as np
@@ -35,27 +37,39 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: Folders made by this process and not yet deleted.
-_folders: list[str] = []
+#: The folders made by the innermost staging() of this thread or task; None outside of any.
+_owned: ContextVar[list[str] | None] = ContextVar("staged folders", default=None)
 
 
-def new_folder(spark: SparkSession, what: str) -> str:
-    _folders.append(f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}")
-    return _folders[-1]
+@contextmanager
+def staging() -> Iterator[list[str]]:
+    """Gives the list of the folders that operators make inside it, for delete. Each thread has a list of its own, so that
+    runs side by side never see each other's folders. Outside of it folders are nobody's, and stay."""
+    token = _owned.set([])
+    try:
+        yield _owned.get()
+    finally:
+        _owned.reset(token)
+
 
+def adopt(folders: Iterable[str]) -> None:
+    """Add folders that an inner staging() left to the list of this one, if there is one."""
+    if _owned.get() is not None:
+        _owned.get().extend(folders)
 
-def made() -> int:
-    """How many folders there are, for release."""
-    return len(_folders)
+
+def new_folder(spark: SparkSession, what: str) -> str:
+    folder = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    adopt([folder])
+    return folder
 
 
-def release(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
-    """Delete the folders made from the since-th to the until-th. Results that read them must have been written before."""
+def delete(spark: SparkSession, folders: Iterable[str]) -> None:
+    """Delete staged folders. Results that read them must have been written before."""
     context = spark.sparkContext
-    for folder in _folders[since:until]:
+    for folder in folders:
         path = context._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-    del _folders[since:until]
 
 
 def staged(df: DataFrame, what: str) -> DataFrame:
