@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwatch.llm import decontaminate, near_duplicates, packing, secrets, toxicity
-from driftwatch.llm.common import made, new_folder, release, table
+from driftwatch.llm.common import adopt, delete, new_folder, staging, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,16 +54,17 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over the table documents; each one's result is written to the shared folder and read again.
 
-    What a stage and those before it left in the shared folder is deleted once its result is written. The last stage's
-    folders stay, as the result reads them: common.release deletes them when it has been used.
+    What a stage staged, and the result that it read, are deleted once its own result is written. The last stage's folders
+    stay, as the result reads them; a caller that runs this inside common.staging() deletes them when it has been used.
     """
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        since = made()
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            until, folder = made(), new_folder(spark, f"pipeline-{k}")
+    docs, behind = table(spark, sf_dir, "documents"), []
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with staging() as own:
+            docs = stage(spark, docs, sf_dir)
+            folder = new_folder(spark, f"pipeline-{k}")
             docs.write.parquet(folder)
             docs = spark.read.schema(docs.schema).parquet(folder)
-            release(spark, since - (k > 0), until)  # from the stage before's result on
-    return docs
+        delete(spark, [*behind, *(f for f in own if f != folder)])
+        behind = [folder]
+    adopt(behind)
+    return STAGES[-1][1](spark, docs, sf_dir)
