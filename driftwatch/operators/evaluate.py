@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftwatch.functions.scalar import wilson
@@ -45,12 +45,33 @@ def detected(alerts: DataFrame, events: DataFrame, tolerance_sec: float, how: st
     return events.join(hits, "event_no", how)
 
 
+def nearest_alerts(alerts: DataFrame, events: DataFrame, tolerance_sec: float, bucket_sec: int = 3_600) -> DataFrame:
+    """event_no, after and before of events that have a time and a symbol: nanoseconds to the first alert of the symbol in
+    an event's window at or after its time, and from the last one at or before it; null where there is none.
+
+    No pairs are made: both sides are one relation, dealt out by symbol and time bucket, and each bucket gets two rows more,
+    the last alert before it and the first one after it. Rows with an _event are events, the others alerts.
+    """
+    w = windows_of(events, tolerance_sec)
+    e = w.select("symbol", "ts_ns", F.struct("event_no", "we_from", "we_to").alias("_event"))
+    a = alerts.select("symbol", "ts_ns", F.lit(None).cast(e.schema["_event"].dataType).alias("_event"))
+    alert = F.when(F.col("_event").isNull(), F.col("ts_ns"))
+    rows = e.unionByName(a).where("symbol is not null and ts_ns is not null").withColumn("_bucket", F.floor(F.col("ts_ns") / (bucket_sec * NS)))
+    cells = rows.groupBy("symbol", "_bucket").agg(F.min(alert).alias("_first"), F.max(alert).alias("_last"), F.count("_event").alias("_events"))
+    earlier, later = (Window.partitionBy("symbol").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("_bucket"), F.desc("_bucket")))  # a row a bucket
+    beyond = cells.withColumns({"_before": F.max("_last").over(earlier), "_after": F.min("_first").over(later)}).where("_events > 0")
+    carried = beyond.select("symbol", F.explode(F.array("_before", "_after")).alias("ts_ns"), F.lit(None).cast(e.schema["_event"].dataType).alias("_event"), "_bucket").where("ts_ns is not null")
+    upto, onward = (Window.partitionBy("symbol", "_bucket").orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.asc("ts_ns"), F.desc("ts_ns")))
+    seen = rows.unionByName(carried).withColumn("_before", F.max(alert).over(upto)).withColumn("_after", F.min(alert).over(onward)).where("_event is not null")
+    within = lambda c: F.col(c).between(F.col("_event.we_from"), F.col("_event.we_to"))
+    return seen.select("_event.event_no", F.when(within("_after"), F.col("_after") - F.col("ts_ns")).alias("after"), F.when(within("_before"), F.col("ts_ns") - F.col("_before")).alias("before"))
+
+
 def time_to_detect(alerts: DataFrame, events: DataFrame, tolerance_sec: float) -> DataFrame:
     """For each detected positive event the first alert at or after it, or else the nearest before, the earliest on ties."""
-    pairs = interval_join(alerts, events.where("polarity = 'positive'"), tolerance_sec)
-    delta = F.col("ts_ns") - F.col("event_ts")
-    best = F.min(F.struct((delta < 0).alias("late"), F.abs(delta).alias("gap"), F.col("ts_ns").alias("at"), delta.alias("delta")))
-    return pairs.groupBy("event_no").agg(best.alias("b")).select("event_no", F.col("b.delta").alias("ttd_ns"), (F.col("b.delta") / 1e6).alias("ttd_ms"))
+    near = nearest_alerts(alerts, events.where("polarity = 'positive'"), tolerance_sec)
+    best = near.groupBy("event_no").agg(F.coalesce(F.min("after"), -F.min("before")).alias("ttd_ns")).where("ttd_ns is not null")
+    return best.select("event_no", "ttd_ns", (F.col("ttd_ns") / 1e6).alias("ttd_ms"))
 
 
 def unattributed(alerts: DataFrame, events: DataFrame, tolerance_sec: float) -> DataFrame:

@@ -64,6 +64,56 @@ def test_time_resolution(spark):
     assert of([5]) == 0 and of([]) == 0 and of([None]) == 0 and of([4, 4]) == 0
 
 
+def most_rows(found):
+    """The most rows that a step of a collected plan made."""
+    steps, most = [found._jdf.queryExecution().executedPlan()], 0
+    while steps:
+        step = steps.pop()
+        made, children = step.metrics().get("numOutputRows"), step.children()
+        most = max(most, made.get().value() if made.isDefined() else 0)
+        steps += [children.apply(k) for k in range(children.size())]
+    return most
+
+
+EVENTS = "event_no bigint, ts_ns bigint, symbol string, event_type string, polarity string, duration_sec double"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_time_to_detect_against_loops(spark, seed):
+    """Points and spans of two symbols beside ties, repeated numbers, nulls, and the borders of hours, days and windows."""
+    rng = random.Random(seed)
+    tolerance = rng.choice([0, 1_800, 90_000])
+    at = lambda: None if rng.random() < 0.05 else rng.randrange(-40, 40) * 1_800 * NS + rng.choice([0, 0, 1, -1])
+    alerts = [(at(), rng.choice(["A", "B", None])) for _ in range(60)]
+    events = [(rng.randrange(60), at(), rng.choice(["A", "B", "C", None]), "x", rng.choice(["positive", "positive", "quiet"]), rng.choice([0.0, -1.0, 1_800.0, 200_000.5, None])) for _ in range(60)]
+    best = {}
+    for k, t, s, _, polarity, d in events:
+        if t is None or s is None or d is None or polarity != "positive":
+            continue
+        low, high = (t - tolerance * NS, t + tolerance * NS) if d <= 0 else (t, t + int(d * NS))
+        for u, own in alerts:
+            if u is not None and own == s and low <= u <= high:
+                best[k] = min(best.get(k, (True, 10**30)), (u < t, abs(u - t)))
+    a = spark.createDataFrame(alerts, "ts_ns bigint, symbol string")
+    found = evaluate.time_to_detect(a, spark.createDataFrame(events, EVENTS), tolerance).collect()
+    assert best and {r.event_no: r.ttd_ns for r in found} == {k: -gap if late else gap for k, (late, gap) in best.items()} and len(found) == len(best)
+
+
+def test_time_to_detect_makes_no_pairs(spark):
+    """1,000 events beside 1,000 alerts of one hour: no step makes more rows than went in."""
+    n, no = 1_000, "cast(null as string)"
+    alerts = spark.range(n).selectExpr("(id div 2) * 1000000000 + 5 as ts_ns", "'X' as symbol", f"{no} as kind")
+    events = spark.range(n).selectExpr("id as event_no", "(id div 2) * 1000000000 as ts_ns", "'X' as symbol", f"{no} as event_type", "'positive' as polarity", "0d as duration_sec")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = evaluate.time_to_detect(alerts, events, 1_800)
+        assert [r.ttd_ns for r in found.collect()] == [5] * n
+        assert most_rows(found) <= 2 * n + 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def test_ttd_summary_takes_the_upper_median(spark):
     alerts = spark.createDataFrame([(k * DAY + d * 10**6, "X", k, "a", 1.0, 1.0) for k, d in ((1, 5), (2, -7), (3, 11), (4, 1))], "ts_ns bigint, symbol string, seq bigint, kind string, price double, score double")
     events = spark.createDataFrame([(k, k * DAY, "X", "n", "positive", 0.0) for k in range(1, 6)], "event_no bigint, ts_ns bigint, symbol string, event_type string, polarity string, duration_sec double")
