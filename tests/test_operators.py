@@ -123,6 +123,22 @@ def test_ttd_summary_takes_the_upper_median(spark):
     assert (none.n, none.mean_ms, none.median_ms, none.early) == (0, 0.0, 0.0, 0)
 
 
+def test_ttd_summary_makes_no_pairs(spark):
+    """1,000 events beside 1,000 alerts of one hour: no step makes more rows than went in."""
+    n, no = 1_000, "cast(null as string)"
+    alerts = spark.range(n).selectExpr("(id div 2) * 1000000000 + 5 as ts_ns", "'X' as symbol", f"{no} as kind")
+    events = spark.range(n).selectExpr("id as event_no", "(id div 2) * 1000000000 as ts_ns", "'X' as symbol", f"{no} as event_type", "'positive' as polarity", "0d as duration_sec")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = evaluate.ttd_summary(alerts, events, 1_800)
+        t = found.collect()[0]
+        assert (t.n, t.mean_ms, t.median_ms, t.early, t.resolution_ns) == (n, 5e-6, 5e-6, 0, 5)
+        assert most_rows(found) <= 2 * n + 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def test_artifact(spark, tmp_path):
     (tmp_path / "a.csv").write_text("ts_ns,symbol,kind,price,score\n" + "".join(f"{k * DAY},X,cusum,1.0,5.0\n" for k in (1, 2, 9)))
     (tmp_path / "e.csv").write_text(f'"ts_ns","symbol","event_type","description","polarity","duration_sec"\n{DAY},X,halt,why,positive,0\n{30 * DAY},X,news,late,positive,0\n{9 * DAY},X,calm,,quiet,604800\n')
